@@ -11,7 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, license_scan, piece_codec, pii, quality_cnn, sharding, simhash_dedup
+from . import decontamination, html_extract, langid, license_scan, media_columns, piece_codec, pii, quality_cnn, sharding, simhash_dedup
 from .common import id_remainder, read_table
 
 #: The tokenizer file, the same path on every machine.
@@ -51,6 +51,16 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(read_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media_columns.document_media(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "caption")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.placed(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -68,6 +78,8 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_pii": op5_pii,
     "op6_decontamination": op6_decontamination,
+    "op7_html_extract": op7_html_extract,
+    "op8_media_columns": op8_media_columns,
     "op9_sharding": op9_sharding,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
