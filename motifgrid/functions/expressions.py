@@ -20,7 +20,8 @@ def dist2_to_dist(dist2: Column) -> Column:
 
 
 def correlation_to_dist2(r: Column, m: int) -> Column:
-    return F.greatest(F.lit(0.0), F.lit(2.0 * m) * (1 - r))
+    """Null where there is no correlation (``greatest`` alone would skip the null)."""
+    return F.when(r.isNotNull(), F.greatest(F.lit(0.0), F.lit(2.0 * m) * (1 - r)))
 
 
 def correlation_to_dist(r: Column, m: int) -> Column:
