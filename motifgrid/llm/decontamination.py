@@ -98,10 +98,11 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     hits = shingles.join(sketch, "h").filter(F.col("size") >= F.col("least")).select("doc_id", "item_id").distinct()
     hits = materialize(hits, "candidates")
     mine = F.col("candidate")
-    chosen = hits.groupBy(F.col("doc_id").alias("candidate")).agg(F.collect_set("item_id").alias("__items"))
+    chosen = hits.groupBy(F.col("doc_id").alias("candidate")).agg(F.collect_set(F.struct("item_id")).alias("__items"))  # in a struct, since null ids count too
     # the documents with a candidate again, whole, and only those
     again = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    again = again.join(chosen, again["doc_id"].eqNullSafe(mine)).select("doc_id", F.explode("__items").alias("item_id"), shingle_texts(words(F.col("text")), width).alias("has"))
+    again = again.join(chosen, again["doc_id"].eqNullSafe(mine)).select("doc_id", "__items", shingle_texts(words(F.col("text")), width).alias("has"))
+    again = again.select("doc_id", "has", F.inline("__items"))
     both = again.join(table.select("item_id", "shingles", F.col("n").alias("n_shingles")), again["item_id"].eqNullSafe(table["item_id"])).select(again["doc_id"], again["item_id"], "n_shingles", F.size(F.array_intersect("shingles", "has")).alias("n_common"))
     best = both.groupBy("doc_id", "item_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_common").alias("n_common"))
     return best.withColumn("containment", F.col("n_common") / F.col("n_shingles")).filter(F.col("containment") >= threshold - 1e-9)
