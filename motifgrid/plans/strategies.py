@@ -111,12 +111,14 @@ def tiles(p: int, band: int, size: int) -> list[tuple[int, int]]:
     return [(a, b) for a in range(k) for b in range(a, k) if min((b + 1) * size, p) - 1 - a * size > band]
 
 
-def partial_broadcast(series: DataFrame, m: int, band: int, size: int = TILE, half: str = "both", fraction: float = 1.0, seed: int = 0) -> DataFrame:
+def partial_broadcast(series: DataFrame, m: int, band: int, size: int = TILE, half: str = "both", fraction: float = 1.0, seed: int = 0, since: int = 0) -> DataFrame:
     """Partial profile from the whole series on every executor.
 
     Tile rows a and K-1-a share a task, so long and short rows balance; a task
     keeps the best partners of its rows and, block by block, of the columns.
     ``fraction`` below 1 runs a random part of the tiles: an early approximation.
+    ``since`` leaves out tiles whose columns all lie below that position: what
+    an earlier run over a shorter series has covered.
     """
     n = checked_length(series, m)
     spark, p = series.sparkSession, n - m + 1
@@ -140,7 +142,7 @@ def partial_broadcast(series: DataFrame, m: int, band: int, size: int = TILE, ha
                     mine = Best(i0, rows_i)
                     draw = np.random.default_rng([seed, t])
                     for u in range(t, k):
-                        if fraction < 1 and draw.random() >= fraction:
+                        if (u + 1) * size <= since or fraction < 1 and draw.random() >= fraction:
                             continue
                         j0 = u * size
                         rows_j = min(size, p - j0)
