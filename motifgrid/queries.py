@@ -58,7 +58,7 @@ def window_sums(spark, d):
 
 
 def window_mean_std(spark, d):
-    return rounded(series.mean_std(events_series(spark, d), M, 100), "mean", "sd")
+    return series.mean_std(events_series(spark, d), M, 100)  # not rounded: means fall on halves of the last digit
 
 
 def scaled_stats(spark, d):
@@ -305,7 +305,7 @@ ORACLE_SQL = {
     "series_positions": f"WITH {E} SELECT i AS pos, c FROM s",
     "prefix_sums": f"WITH {E} SELECT i AS pos, (sum(c) OVER (ORDER BY i))::BIGINT AS cum, (sum(c * c) OVER (ORDER BY i))::BIGINT AS cum_sq FROM s",
     "window_sums": _frames("SELECT i AS pos, s0, q0 FROM w"),
-    "window_mean_std": _frames(f"SELECT i AS pos, round(s0 / {M * 100}.0::DOUBLE, 6) AS mean, round(sd / {M * 100}.0::DOUBLE, 6) AS sd FROM w"),
+    "window_mean_std": _frames(f"SELECT i AS pos, s0 / {M * 100}.0::DOUBLE AS mean, sd / {M * 100}.0::DOUBLE AS sd FROM w"),
     "scaled_stats": _frames(f"SELECT i AS pos, round(1 / nullif(sd / {M * 100}.0::DOUBLE, 0), 6) AS inv_sd, round((s0 / {M * 100}.0::DOUBLE) * (1 / nullif(sd / {M * 100}.0::DOUBLE, 0)) * sqrt({M}.0::DOUBLE), 6) AS scaled_mean FROM w"),
     "lag_product": f"WITH {E} SELECT a.i AS pos, a.c * b.c AS product FROM s a JOIN s b ON a.i = b.i + {LAG}",
     "initial_dotproducts": f"WITH {E} SELECT b.i - a.i AS diag, sum(a.c * b.c)::BIGINT AS dot FROM s a JOIN s b ON a.i < {M} AND b.i >= a.i AND b.i - a.i <= (SELECT max(i) FROM s) - {M - 1} GROUP BY 1",
