@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from motifgrid.functions.expressions import exact_correlation
 from motifgrid.operators.profiles import best, both_sides, finished
 from motifgrid.operators.series import fits_exactly, window_stats
+from motifgrid.storage import ship_package
 
 from .kernel import Best, tile
 
@@ -51,6 +52,7 @@ def checked_length(series: DataFrame, m: int) -> int:
 
 def collect_values(series: DataFrame, n: int) -> np.ndarray:
     """The series as an array, through Arrow; missing positions and nulls are NaN."""
+    ship_package(series.sparkSession)
     if n > BROADCAST_VALUES:
         raise ValueError(f"{n} values are too many to broadcast; use the shuffle strategy")
     name = value_column(series)
@@ -187,6 +189,7 @@ def partial_shuffle(series: DataFrame, m: int, band: int, size: int = TILE, half
     grid = spark.range(k).select(F.col("id").alias("bi")).select("bi", F.explode(F.sequence(F.col("bi"), F.lit(k - 1))).alias("bj"))
     grid = grid.filter(F.least((F.col("bj") + 1) * size, F.lit(p)) - 1 - F.col("bi") * size > band)
     left, right = cut.select(F.col("b").alias("bi"), F.col("a").alias("x")), cut.select(F.col("b").alias("bj"), F.col("a").alias("y"))
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     joined = grid.repartition(parts, "bi").join(left.hint("shuffle_hash"), "bi").repartition(parts, "bj", "bi").join(right.hint("shuffle_hash"), "bj")

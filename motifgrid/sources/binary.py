@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from motifgrid.storage import plain_path
+from motifgrid.storage import plain_path, ship_package
 
 # Fixed values of the format.
 HEADER, AREA = struct.Struct("<IIQ"), 100
@@ -159,6 +159,7 @@ class BinaryFile(DataSource):
 
 
 def read_binary(spark: SparkSession, path: str, kind: str = "series", **options) -> DataFrame:
+    ship_package(spark)
     spark.dataSource.register(BinaryFile)
     reader = spark.read.format("motifgrid").option("kind", kind)
     for k, v in options.items():
@@ -168,6 +169,7 @@ def read_binary(spark: SparkSession, path: str, kind: str = "series", **options)
 
 def write_binary(df: DataFrame, path: str, kind: str = "series", mode: str = "append") -> None:
     """Write ``pos, value`` (series) or ``pos, dist2, nn`` (profile); ``mode`` append needs a new path, overwrite replaces."""
+    ship_package(df.sparkSession)
     df.sparkSession.dataSource.register(BinaryFile)
     columns = {"series": ("pos", "value"), "profile": ("pos", "dist2", "nn")}[kind]
     rows = df.select(*[F.col(c).cast("bigint" if c in ("pos", "nn") else "double").alias(c) for c in columns])

@@ -1,9 +1,11 @@
-"""The folder that the driver and all executors share, and tables written to it."""
+"""What the driver shares with the executors: a folder, tables written to it, and this package."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever it is installed on the driver; once a session."""
+    context = spark.sparkContext
+    if getattr(context, "_motifgrid_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="motifgrid-"), "motifgrid.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(home):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    z.write(os.path.join(folder, name), os.path.join("motifgrid", os.path.relpath(os.path.join(folder, name), home)))
+    context.addPyFile(target)
+    context._motifgrid_shipped = True
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
