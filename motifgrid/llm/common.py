@@ -7,10 +7,7 @@ back, so a lost executor costs the re-run of one stage, never of the job.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,50 +15,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from motifgrid.storage import discard, materialize, ship_package
+
+__all__ = ["bounded_batches", "discard", "id_remainder", "map_rows", "materialize", "read_table", "whole"]
+
 #: Rows of an Arrow batch handed to Python; bounds a worker's memory to so many texts.
 BATCH_ROWS = 512
 #: Bytes of an Arrow batch, where the Spark version knows such a limit.
 BATCH_BYTES = 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    ``spark.checkpoint.dir`` names it. Where that is unset, a local session
-    gets a temporary folder; on a cluster the lack is an error, because a
-    machine-local folder would lose rows.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = tempfile.mkdtemp(prefix="motifgrid-")
-    spark.sparkContext.setCheckpointDir(made)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once as Parquet to the shared folder and read back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._motifgrid_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table that ``materialize`` wrote and nothing reads any more."""
-    path = getattr(df, "_motifgrid_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches small: long texts come in few rows at a time."""
+    """Before any Python stage: workers know this package, and long texts come in few rows at a time."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -98,7 +64,3 @@ def whole(text: str) -> Column:
 def id_remainder(doc_id: str, of: int = 4) -> Column:
     """crc32 of the id's decimal text modulo ``of``."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(of))
-
-
-def all_of(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

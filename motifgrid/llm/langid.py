@@ -41,8 +41,8 @@ LANGS = 256
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 0.002, 0.01
 #: Characters handled at once.
 PIECE = 1 << 20
-#: Least score that the pipeline accepts.
-ACCEPT = 0.5
+#: Least score that the pipeline accepts: texts in two or three languages are about evenly sure of each, and stay.
+ACCEPT = 0.3
 UNKNOWN = "und"
 
 _table: np.ndarray | None = None
