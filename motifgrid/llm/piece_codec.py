@@ -44,7 +44,7 @@ DROPOUT, SEED = 0.1, 20
 #: Chunks longer than this run alone on a heap.
 LONG = 48
 #: Chunks remembered by a worker.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 _CHUNK = re.compile(r"[ ]+[^ ]*|[^ ]+")
 _M = (1 << 64) - 1
 _C = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -123,25 +123,28 @@ class Codec:
             while self.slots[a] >= 0:
                 a, step = a + 1, step + 1
             self.slots[a], self.joins[a], self.steps = k, self.merge[k], max(self.steps, step)
+        self.order = self.rank[self.joins] << 32  # of the join, ready to take a place below it
+        self.mixed = _mix_all(self.slots.astype(np.uint64) ^ np.uint64(_C[0]))
 
     def _slot(self, code: np.ndarray) -> np.ndarray:
         return (code.astype(np.uint64) * np.uint64(_C[0]) >> self.shift).astype(np.int64)
 
     def lookup(self, code: np.ndarray) -> np.ndarray:
-        """The joined piece of each pair code, or -1."""
+        """The slot of each pair code's merge, or -1."""
         at = self._slot(code)
-        out, held = np.full(len(code), -1, np.int64), self.slots[at]
-        hit = held == code
-        out[hit] = self.joins[at[hit]]
-        rest = np.flatnonzero(~hit & (held >= 0))
-        for step in range(1, self.steps):
+        held = self.slots[at]
+        rest = np.flatnonzero((held != code) & (held >= 0))
+        at[held < 0] = -1
+        for _ in range(1, self.steps):
             if not len(rest):
                 break
-            held = self.slots[at[rest] + step]
-            hit = held == code[rest]
-            out[rest[hit]] = self.joins[at[rest[hit]] + step]
-            rest = rest[~hit & (held >= 0)]
-        return out
+            at[rest] += 1
+            held = self.slots[at[rest]]
+            free = held < 0
+            at[rest[free]] = -1
+            rest = rest[~free & (held != code[rest])]
+        at[rest] = -1
+        return at
 
     def symbols(self, chunk: str) -> list[int]:
         """First symbols of a chunk (blanks are spaces): characters of the model, else their bytes."""
@@ -211,15 +214,15 @@ class Codec:
         while len(sym):
             inner = np.flatnonzero(of[1:] == of[:-1])
             code = sym[inner] * n + sym[inner + 1]
-            joined = self.lookup(code)
-            ok = joined >= 0
-            inner, code, joined = inner[ok], code[ok], joined[ok]
+            slot = self.lookup(code)
+            ok = slot >= 0
+            inner, slot = inner[ok], slot[ok]
             if limit:
-                drawn = _mix_all(key[of[inner]] ^ place[inner].astype(np.uint64) * np.uint64(_C[0]) ^ _mix_all(code.astype(np.uint64) ^ np.uint64(_C[0])))
+                drawn = _mix_all(key[of[inner]] ^ place[inner].astype(np.uint64) * np.uint64(_C[0]) ^ self.mixed[slot])
                 ok = drawn >= np.uint64(limit)
-                inner, joined = inner[ok], joined[ok]
+                inner, slot = inner[ok], slot[ok]
             # rank first, then place: the least value is the agenda's head
-            order = self.rank[joined] << 32 | place[inner]
+            order = self.order[slot] | place[inner]
             owner = of[inner]
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
             best = np.full(many, none)
@@ -230,7 +233,7 @@ class Codec:
                 done.append((of[over] << 32 | place[over], sym[over]))
             head = order == best[owner]
             keep = ~over
-            sym[inner[head]] = joined[head]
+            sym[inner[head]] = self.joins[slot[head]]
             keep[inner[head] + 1] = False
             sym, of, place = sym[keep], of[keep], place[keep]
         if not done:
@@ -238,10 +241,13 @@ class Codec:
         at, sym = (np.concatenate(x) for x in zip(*done))
         return sym[np.argsort(at)].astype(np.int32), np.bincount(at >> 32, minlength=many)
 
+    def decode_bytes(self, ids) -> bytes:
+        """The UTF-8 bytes of a list of pieces, without the dummy prefix."""
+        return b"".join(map(self.out.__getitem__, ids))[1:]
+
     def decode(self, ids) -> str:
         """The text of a list of pieces."""
-        raw = b"".join(map(self.out.__getitem__, ids))
-        return raw[1:].decode("utf-8", "surrogatepass") if raw else ""
+        return self.decode_bytes(ids).decode("utf-8", "surrogatepass")
 
 
 class Encoder:
@@ -259,42 +265,45 @@ class Encoder:
         base = np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed))
         return (_mix_all(base + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_C[0])) % np.uint64(self.variants)).tolist()
 
-    def _learn(self, new: set[tuple[int, str]]) -> None:
-        """Encode chunks that aren't known yet."""
-        if sum(map(len, self.known)) + len(new) > REMEMBERED:
+    def _learn(self, new: list[set[str]]) -> None:
+        """Encode chunks that aren't known yet; ``new`` has a set for each variant."""
+        if sum(map(len, self.known)) + sum(map(len, new)) > REMEMBERED:
             self.known = [{} for _ in range(self.variants)]
-        keyed = list(new)
-        keys = [xxhash.xxh64_intdigest(c.encode("utf-8", "surrogatepass"), self.seed * self.variants + v) for v, c in keyed]
-        short = [k for k, (_, c) in enumerate(keyed) if len(c) <= LONG]
-        for k in {*range(len(keyed))}.difference(short):
-            v, chunk = keyed[k]
-            self.known[v][chunk] = np.array(self.codec.heap(self.codec.symbols(chunk), keys[k], self.dropout), np.int32).tobytes()
-        for at in range(0, len(short), 50_000):
-            part = short[at : at + 50_000]
-            sym, lengths = self.codec.flat_symbols([keyed[k][1] for k in part])
-            pieces, counts = self.codec.batch(sym, lengths, np.array([keys[k] for k in part], np.uint64), self.dropout)
-            raw, ends = pieces.tobytes(), (4 * np.cumsum(counts)).tolist()
-            start = 0
-            for k, end in zip(part, ends):
-                v, chunk = keyed[k]
-                self.known[v][chunk] = raw[start:end]
-                start = end
+        digest = xxhash.xxh64_intdigest
+        for v, chunks in enumerate(new):
+            known, seed = self.known[v], self.seed * self.variants + v
+            short = []
+            for c in chunks:
+                if len(c) <= LONG:
+                    short.append(c)
+                else:
+                    known[c] = np.array(self.codec.heap(self.codec.symbols(c), digest(c.encode("utf-8", "surrogatepass"), seed), self.dropout), np.int32).tobytes()
+            for at in range(0, len(short), 50_000):
+                part = short[at : at + 50_000]
+                keys = np.array([digest(c.encode("utf-8", "surrogatepass"), seed) for c in part], np.uint64)
+                sym, lengths = self.codec.flat_symbols(part)
+                pieces, counts = self.codec.batch(sym, lengths, keys, self.dropout)
+                raw, ends = pieces.tobytes(), (4 * np.cumsum(counts)).tolist()
+                known.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends)]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The pieces of each text."""
-        cut, new, known = [], set(), self.known
+        cut, new, known = [], [set() for _ in self.known], self.known
         for text in texts:
             chunks = _CHUNK.findall(" " + text) if text else []
             drawn = self._draw(text, len(chunks))
-            cut.append((chunks, drawn))
-            new.update([x for x in zip(drawn, chunks) if x[1] not in known[x[0]]])
-        kept = None
-        if new:
-            if sum(map(len, known)) + len(new) > REMEMBERED:
-                kept = known  # this batch may still need what is forgotten now
+            got = [known[v].get(c) for v, c in zip(drawn, chunks)]
+            lacking = [k for k, x in enumerate(got) if x is None]
+            for k in lacking:
+                new[drawn[k]].add(chunks[k])
+            cut.append((chunks, drawn, got, lacking))
+        if any(new):
             self._learn(new)
-        known = self.known if kept is None else [{**a, **b} for a, b in zip(kept, self.known)]
-        return [np.frombuffer(b"".join([known[v][c] for v, c in zip(drawn, chunks)]), np.int32) for chunks, drawn in cut]
+        known = self.known
+        for chunks, drawn, got, lacking in cut:
+            for k in lacking:
+                got[k] = known[drawn[k]][chunks[k]]
+        return [np.frombuffer(b"".join(got), np.int32) for _, _, got, _ in cut]
 
 
 _codecs: dict[str, Codec] = {}
@@ -330,11 +339,11 @@ def encode_rows(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_c
         def run(columns):
             texts = columns[1]
             found = own.encode(texts)
-            back = [own.codec.decode(x.tolist()) for x in found]
+            back = [own.codec.decode_bytes(x.tolist()) for x in found]
             flat = np.concatenate(found) if found else np.zeros(0, np.int32)
             offsets = np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)
             raw = [t.encode() for t in texts]
-            return [columns[0], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), [len(r) for r in raw], [hashlib.sha256(b.encode("utf-8", "replace")).hexdigest() for b in back], [b == t for b, t in zip(back, texts)]]
+            return [columns[0], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), [len(r) for r in raw], [hashlib.sha256(b).hexdigest() for b in back], [b == r for b, r in zip(back, raw)]]
 
         return run
 
