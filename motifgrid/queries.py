@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from motifgrid.operators import profiles, series
 from motifgrid.operators.series import to_fixed, with_positions
-from motifgrid.plans import keyed, partitioning, sampled, strategies
+from motifgrid.functions.expressions import dot_from_dist2
+from motifgrid.plans import keyed, partitioning, sampled, search, strategies
 from motifgrid.sources import files, generate
 from motifgrid.storage import fresh_path, materialize
 
@@ -94,6 +95,21 @@ def distance_row(spark, d):
     return rounded(both.select("j", profiles.correlation_to_dist(r, M).alias("dist")))
 
 
+def similarity_search(spark, d):
+    """The same by Fourier transforms over blocks."""
+    return rounded(search.distance_row(events_series(spark, d), ROW, M, block=3000))
+
+
+def dot_from_distance(spark, d):
+    """Dot products of a diagonal got back from its distances and the window statistics."""
+    e = events_series(spark, d)
+    cells = strategies.cells_sql(e, M, M // 4, LAG, LAG).select("i", "j", profiles.correlation_to_dist2(F.col("r"), M).alias("d2"))
+    st = series.mean_std(e, M, 100)
+    a, b = (st.select(F.col("pos").alias(k), F.col("mean").alias(f"m_{k}"), F.col("sd").alias(f"s_{k}")) for k in ("i", "j"))
+    back = dot_from_dist2(F.col("d2"), F.col("m_i"), F.col("s_i"), F.col("m_j"), F.col("s_j"), M)
+    return cells.join(a, "i").join(b, "j").select("i", F.round(back * 10_000).cast("bigint").alias("dot"))
+
+
 def diagonal_distances(spark, d):
     """Cells of ten diagonals, as squared distances."""
     cells = strategies.cells_sql(events_series(spark, d), M, M // 4, LAG, LAG + 9)
@@ -238,7 +254,7 @@ def generated_walk(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    series_positions, prefix_sums, window_sums, window_mean_std, scaled_stats, lag_product, initial_dotproducts, diagonal_dotproducts, diagonal_cumulative, distance_row, diagonal_distances,
+    series_positions, prefix_sums, window_sums, window_mean_std, scaled_stats, lag_product, initial_dotproducts, diagonal_dotproducts, diagonal_cumulative, distance_row, similarity_search, dot_from_distance, diagonal_distances,
     matrix_profile, matrix_profile_shuffle, matrix_profile_squared, matrix_profile_sql, left_profile, right_profile, merge_profiles, sampled_rows, sampled_profile, refined_profile,
     daily_quantity_profile, daily_order_counts_profile, user_profiles, compare_profiles, validate_summary, top_motifs, top_discords,
     split_work, balanced_pairs, diagonal_blocks, triangle_tiles, tile_ranks, tile_geometry, ascii_roundtrip, bin_roundtrip, profile_roundtrip, generated_walk,
@@ -314,6 +330,7 @@ ORACLE_SQL = {
     "distance_row": f"""WITH {E}, {_windows(M)}, q AS (SELECT b.i - a.i + {ROW} AS j, sum(a.c * b.c)::BIGINT AS q FROM s a JOIN s b ON a.i BETWEEN {ROW} AND {ROW + M - 1} GROUP BY 1 HAVING count(*) = {M}),
 r AS (SELECT j, CASE WHEN x.sd = 0 AND y.sd = 0 THEN 1.0::DOUBLE WHEN x.sd = 0 OR y.sd = 0 THEN 0.0::DOUBLE ELSE ({M} * q - x.s0 * y.s0)::DOUBLE / (x.sd * y.sd) END AS r FROM q JOIN w y ON q.j = y.i JOIN w x ON x.i = {ROW})
 SELECT j, round({_dist(M)}, 6) AS dist FROM r WHERE abs(j - {ROW}) >= {max(1, M // 4)}""",
+    "dot_from_distance": f"WITH {E} SELECT i, dot FROM (SELECT a.i, (sum(a.c * b.c) OVER f)::BIGINT AS dot, count(*) OVER f AS n FROM s a JOIN s b ON b.i = a.i + {LAG} WINDOW f AS (ORDER BY a.i ROWS BETWEEN CURRENT ROW AND {M - 1} FOLLOWING)) WHERE n = {M}",
     "diagonal_distances": f"WITH {E}, {_windows(M)}, {_cells(M, f'b.i BETWEEN a.i + {LAG} AND a.i + {LAG + 9}')} SELECT i, j, round(greatest(0.0, {2 * M}::DOUBLE * (1 - r)), 6) AS dist2 FROM r",
     "matrix_profile": f"{_profile(E, M)} {ALL}",
     "matrix_profile_shuffle": f"{_profile(E, M)} {ALL}",
@@ -352,3 +369,4 @@ y AS ({_sampled(Q, M_DAILY, 7)} SELECT w.i AS pos, {_dist(M_DAILY)} AS dist, nn
     "bin_roundtrip": f"WITH {E} SELECT i AS pos, c / 100.0::DOUBLE AS value FROM s",
     "profile_roundtrip": f"{_profile(Q, M_DAILY)} {ALL}",
 }
+ORACLE_SQL["similarity_search"] = ORACLE_SQL["distance_row"].replace("SELECT j, round(", "SELECT j AS pos, round(")

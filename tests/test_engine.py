@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from motifgrid.operators import profiles, series
-from motifgrid.plans import keyed, kernel, sampled, strategies
+from motifgrid.plans import keyed, kernel, sampled, search, strategies
 
 HOW = ("sql", "broadcast", "shuffle")
 
@@ -224,3 +224,17 @@ def test_early_approximation(spark):
     part = profiles.best(strategies.partial_broadcast(s, 10, 2, 32, fraction=0.5, seed=1))
     whole = {r["pos"]: r["r"] for r in profiles.best(strategies.partial_broadcast(s, 10, 2, 32)).collect()}
     assert all(r["r"] <= whole[r["pos"]] for r in part.collect()) and part.filter(F.col("r").isNull()).count() == 0
+
+
+@pytest.mark.parametrize("block", [16, 1000])
+def test_similarity_search(spark, block):
+    x = np.random.default_rng(7).integers(0, 90, 150)
+    x[60:75] = 4
+    for s, values in ((make(spark, x.tolist()), x), (make(spark, (x / 7).tolist(), "value"), x / 7)):
+        found = {r["pos"]: r["r"] for r in search.search(s, values[20:30].tolist(), block).collect()}
+        want = {k: correlation(values[20:30], values[k : k + 10]) for k in range(141)}
+        assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-7 for k in want)
+        row = search.distance_row(s, 20, 10, block=block)
+        assert row.count() == 141 - 3
+    with pytest.raises(ValueError):
+        search.distance_row(s, 145, 10)
