@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from motifgrid.storage import discard, materialize, ship_package
 
-__all__ = ["bounded_batches", "discard", "id_remainder", "map_rows", "materialize", "read_table", "whole"]
+__all__ = ["bound", "bounded_batches", "discard", "id_remainder", "map_rows", "materialize", "read_table", "whole"]
 
 #: Rows of an Arrow batch handed to Python; bounds a worker's memory to so many texts.
 BATCH_ROWS = 512
@@ -56,6 +56,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row, however often ``use`` reads it.
+
+    The optimizer puts an expression in wherever its alias is read, also inside
+    conditions and lambdas; a lambda's variable is computed once.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def whole(text: str) -> Column:
     """The text column with null as the empty text."""
     return F.coalesce(F.col(text), F.lit(""))

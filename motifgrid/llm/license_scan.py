@@ -18,9 +18,13 @@ empty result; only id and text are read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bound
+
 # Known licence texts and notices, by identifier.
 KNOWN = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -79,20 +83,37 @@ SPELLINGS = (
     ("version ([0-9])", "v$1"),
 )
 
+# Every spelling rule needs one of these in the text, and every copyright line one of those.
+SPELLING_SIGNS = ("licen", "organis", "authoris", "acknowledgement", "merchantibility", "infringement", "favour", "per cent", "copyright ", "version ")
+COPYRIGHT_SIGNS = ("copyright", "(c)", "©")
+
 #: A line that starts like this (at its start, after white space or comment signs) is a copyright line.
 COPYRIGHT = r"(?m)^[ \t#*/;-]*(copyright|\(c\)|©)[^\n]*$"
 
 
+def _has(text: Column, signs: tuple[str, ...]) -> Column:
+    """Whether any sign occurs: byte searches, far cheaper than the rules that they stand before."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(s)) for s in signs])
+
+
 def plain(text: Column) -> Column:
     """Lower case without copyright lines, everything but letters and digits one space."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT, "")
-    return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+
+    def of(low: Column) -> Column:
+        out = F.when(_has(low, COPYRIGHT_SIGNS), F.regexp_replace(low, COPYRIGHT, "")).otherwise(low)
+        return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+
+    return bound(F.lower(F.coalesce(text, F.lit(""))), of)
 
 
 def respelled(plain_text: Column) -> Column:
-    for pattern, common in SPELLINGS:
-        plain_text = F.regexp_replace(plain_text, pattern, common)
-    return plain_text
+    def of(v: Column) -> Column:
+        out = v
+        for pattern, common in SPELLINGS:
+            out = F.regexp_replace(out, pattern, common)
+        return F.when(_has(v, SPELLING_SIGNS), out).otherwise(v)
+
+    return bound(plain_text, of)
 
 
 def canonical(text: Column) -> Column:
@@ -122,9 +143,11 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.split(text, "\n")
     units = F.when(F.size(lines) > 1, F.concat(F.array(text), lines)).otherwise(F.array(text))
-    read = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(units).alias("line", "part"))
-    read = read.select("doc_id", "line", plain(F.col("part")).alias("part")).filter((F.col("part") != "") & (F.length("part") <= 2 * longest))
-    read = read.select("doc_id", F.when(F.col("line") == 0, "document").otherwise("line").alias("unit"), "line", F.sha2(respelled(F.col("part")).cast("binary"), 256).alias("digest"))
+    may = lambda v: (v != "") & (F.length(v) <= 2 * longest)
+    digests = F.transform(units, lambda u: bound(plain(u), lambda v: F.when(may(v), F.sha2(respelled(v).cast("binary"), 256))))
+    # the digests are made inside the generator, so no filter or join computes them again
+    read = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(digests).alias("line", "digest")).filter("digest IS NOT NULL")
+    read = read.withColumn("unit", F.when(F.col("line") == 0, "document").otherwise("line"))
     return read.join(known.select("digest", "license"), "digest").select("doc_id", "unit", "line", "license", "digest")
 
 
