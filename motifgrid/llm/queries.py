@@ -87,4 +87,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": license_scan.oracle(),
     "op6_decontamination": decontamination.ORACLE,
+    "op9_sharding": sharding.ORACLE,
 }

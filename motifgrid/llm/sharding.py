@@ -89,3 +89,20 @@ def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weig
     runs = put.withColumn("__run", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {RUN}"))))
     copies = runs.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(RUN - 1).cast("bigint"), F.col("n") - 1 - F.col("__run") * RUN))))
     return copies.select("doc_id", "size", "text_crc32", "shard", (F.col("__first") + F.col("__at") + F.col("__run") * RUN + F.col("__copy")).cast("bigint").alias("slot"), "grown_shard")
+
+
+#: The same over ``documents`` with equal weights, as DuckDB SQL; the checksum runs byte by byte over its table.
+ORACLE = f"""
+WITH RECURSIVE bits AS (SELECT i, 0 AS k, i::UBIGINT AS v FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END FROM bits WHERE k < 8),
+tab AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS key, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+x AS (SELECT doc_id, key, n, list_prepend(4294967295::UBIGINT, list_transform(range(n), lambda i: ('0x' || h[2 * i + 1 : 2 * i + 2])::UBIGINT)) AS l FROM d),
+c AS (SELECT doc_id, key, (n + 1)::BIGINT AS size, xor(list_reduce(l, lambda a, y: xor(a >> 8, t[(xor(a, y) & 255)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT AS text_crc32 FROM x, tab),
+s AS (SELECT key, s, ('0x' || substr(md5(key || ':' || s), 1, 13))::BIGINT AS h FROM (SELECT DISTINCT key FROM c), range({SHARDS + 1}) r(s)),
+w AS (SELECT key, (arg_max(s, (h, -s)) FILTER (WHERE s < {SHARDS}))::INTEGER AS shard, arg_max(s, (h, -s))::INTEGER AS grown_shard FROM s GROUP BY key),
+b AS (SELECT greatest(1, ceil(count(*) / {BUCKET_ROWS * SHARDS}.0)) AS buckets FROM c)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard
+  ORDER BY floor((('0x' || substr(md5(key || ':bucket'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 * buckets), doc_id NULLS FIRST, size, text_crc32) - 1)::BIGINT AS slot, grown_shard
+FROM c JOIN w USING (key), b
+"""
