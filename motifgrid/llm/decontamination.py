@@ -27,12 +27,10 @@ are an id of their own. Other columns aren't read, so clashes don't matter.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bound, materialize
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Sketch rows (16 bytes each) up to which the sketch table may be broadcast.
@@ -44,11 +42,6 @@ def words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), " ")
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once a row, however often lambdas inside read it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def shingle_texts(w: Column, width: int = WIDTH) -> Column:
     """Distinct shingles of a word array, space-joined."""
 
@@ -56,7 +49,7 @@ def shingle_texts(w: Column, width: int = WIDTH) -> Column:
         many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - width + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, width), " "))
         return F.array_distinct(many)  # fewer words than the width: the slice is all of them
 
-    return _bound(w, of)
+    return bound(w, of)
 
 
 def shingle_hashes(w: Column, width: int = WIDTH) -> Column:
@@ -65,7 +58,7 @@ def shingle_hashes(w: Column, width: int = WIDTH) -> Column:
     def of(h: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - width, F.lit(0))), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(width)]))
 
-    return _bound(F.transform(w, lambda x: F.xxhash64(x)), of)
+    return bound(F.transform(w, lambda x: F.xxhash64(x)), of)
 
 
 def _read(table: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
@@ -93,8 +86,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     sketch = sketches(table, width)
     if sketch.count() <= BROADCAST_ROWS:
         sketch = F.broadcast(sketch)
-    read = _read(docs, id_col, text_col, "doc_id").select("doc_id", F.size("w").alias("size"), shingle_hashes(F.col("w"), width).alias("hs"))
-    shingles = read.select("doc_id", F.greatest(F.col("size") - width + 1, F.lit(1)).alias("size"), F.explode("hs").alias("h"))
+    # everything about a document is made inside the generator, so nothing computes its words again
+    each = lambda w: F.transform(shingle_hashes(w, width), lambda h: F.struct(h.alias("h"), F.greatest(F.size(w) - width + 1, F.lit(1)).alias("size")))
+    rows = bound(words(F.col(text_col)), lambda w: F.when(w[0] != "", each(w)))
+    shingles = docs.select(F.col(id_col).alias("doc_id"), F.inline(rows))
     hits = shingles.join(sketch, "h").filter(F.col("size") >= F.col("least")).select("doc_id", "item_id").distinct()
     hits = materialize(hits, "candidates")
     mine = F.col("candidate")
