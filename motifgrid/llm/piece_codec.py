@@ -112,6 +112,7 @@ class Codec:
 
     def _index_merges(self) -> None:
         """An open hash table of the merges: ``slots`` keys and joins, searched one step on at a collision."""
+        self.kind = np.int32 if self.size**2 < 1 << 31 else np.int64  # of pair codes; short integers run faster
         bits = max(4, (8 * len(self.merge) - 1).bit_length())
         self.shift = np.uint64(64 - bits)
         keys = np.array(list(self.merge), np.int64)
@@ -123,8 +124,9 @@ class Codec:
             while self.slots[a] >= 0:
                 a, step = a + 1, step + 1
             self.slots[a], self.joins[a], self.steps = k, self.merge[k], max(self.steps, step)
-        self.order = self.rank[self.joins] << 32  # of the join, ready to take a place below it
         self.mixed = _mix_all(self.slots.astype(np.uint64) ^ np.uint64(_C[0]))
+        self.order = (self.rank[self.joins] << 8).astype(self.kind)  # of the join, ready to take a place below it
+        self.slots, self.joins = self.slots.astype(self.kind), self.joins.astype(self.kind)
 
     def _slot(self, code: np.ndarray) -> np.ndarray:
         return (code.astype(np.uint64) * np.uint64(_C[0]) >> self.shift).astype(np.int64)
@@ -203,14 +205,14 @@ class Codec:
     def batch(self, sym: np.ndarray, lengths: np.ndarray, key: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
         """The agenda for many chunks: each round merges the best candidate of every chunk.
 
-        Takes the symbols in a row, the chunks' lengths (none is 0) and keys;
+        Takes the symbols in a row, the chunks' lengths (1 to 255) and keys;
         returns the pieces in a row and the chunks' piece counts.
         """
-        n, limit, many = self.size, int(dropout * 2**64), len(lengths)
-        of = np.repeat(np.arange(many), lengths)
-        place = np.arange(len(sym)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        done: list[tuple[np.ndarray, np.ndarray]] = []
-        none = np.int64(1) << 62
+        n, limit, many, kind = self.kind(self.size), int(dropout * 2**64), len(lengths), self.kind
+        of = np.repeat(np.arange(many, dtype=np.int32), lengths)
+        place = (np.arange(len(sym)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(kind)
+        sym, done = sym.astype(kind), []
+        none = np.iinfo(kind).max
         while len(sym):
             inner = np.flatnonzero(of[1:] == of[:-1])
             code = sym[inner] * n + sym[inner + 1]
@@ -225,12 +227,12 @@ class Codec:
             order = self.order[slot] | place[inner]
             owner = of[inner]
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
-            best = np.full(many, none)
+            best = np.full(many, none, kind)
             if len(starts):
                 best[owner[starts]] = np.minimum.reduceat(order, starts)
             over = best[of] == none
             if over.any():
-                done.append((of[over] << 32 | place[over], sym[over]))
+                done.append((of[over].astype(np.int64) << 8 | place[over], sym[over]))
             head = order == best[owner]
             keep = ~over
             sym[inner[head]] = self.joins[slot[head]]
@@ -239,7 +241,7 @@ class Codec:
         if not done:
             return np.zeros(0, np.int32), np.zeros(many, np.int64)
         at, sym = (np.concatenate(x) for x in zip(*done))
-        return sym[np.argsort(at)].astype(np.int32), np.bincount(at >> 32, minlength=many)
+        return sym[np.argsort(at)].astype(np.int32), np.bincount(at >> 8, minlength=many)
 
     def decode_bytes(self, ids) -> bytes:
         """The UTF-8 bytes of a list of pieces, without the dummy prefix."""
