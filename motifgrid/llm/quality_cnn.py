@@ -9,8 +9,8 @@ byte takes part; long texts are read in pieces, so memory stays bounded.
 
 Learning: Adam on a bounded sample, ``PER_CLASS`` labelled rows of each class
 in expectation (chosen by hash of the text, texts of at most ``TRAIN_BYTES``),
-with gradients flowing through the maxima alone; the bias is then moved from
-the sample's class shares to those of all labels.
+with gradients flowing through the maxima alone and both classes weighing the
+same; the bias then takes up the class shares of all labels.
 
 Scoring adds byte-pair tables of the filters (two offsets in one lookup), so a
 byte costs ``WIDTH / 2`` gathers. Narrow: one pass, no shuffle.
@@ -37,6 +37,8 @@ STRIDE = CHUNK // 2
 #: Sample bound: expected labelled rows of each class, and the longest text that may be drawn.
 PER_CLASS, TRAIN_BYTES = 1000, 1 << 16
 EPOCHS, BATCH, RATE = 6, 32, 0.01
+#: Least number of texts shown in training: small samples are passed over more often.
+SHOWN = 12_000
 #: Bytes handled at once; a multiple of the stride.
 PIECE = 1 << 19
 #: Score from which the label is predicted.
@@ -102,14 +104,20 @@ def _traced(net: Net, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.take_along_axis(y, at[:, None, :], 1)[:, 0, :], at + np.arange(len(y))[:, None] * STRIDE
 
 
-def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 11) -> Net:
-    """Fit on whole texts; Adam over mini-batches, gradients through the pooled places."""
+def train(texts: list[str], labels: list[int], epochs: int | None = None, seed: int = 11, prior: float | None = None) -> Net:
+    """Fit on whole texts; Adam over mini-batches, gradients through the pooled places.
+
+    Both classes weigh the same; ``prior``, the share of label 1 among all
+    labels (default: among the given ones), then sets the bias.
+    """
     net, r = fresh(seed), np.random.default_rng(seed)
     share = float(np.mean(labels)) if labels else 0.5
     if len(set(labels)) < 2:
         flat = Net(np.zeros_like(net.filters), net.bias, np.zeros_like(net.out), 0.0)
         flat.out_bias = float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)).clip(-8, 8))
         return flat
+    epochs = max(EPOCHS, -(-SHOWN // len(texts))) if epochs is None else epochs
+    weight, prior = (0.5 / (1 - share), 0.5 / share), share if prior is None else prior
     data = []
     for text in texts:
         raw = text.encode("utf-8", "replace")
@@ -133,7 +141,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
                 pooled = np.maximum(half[:-1], half[1:]) if two else half
                 mean, most, top = pooled.mean(axis=0), pooled.max(axis=0), pooled.argmax(axis=0)
                 x = mean @ net.out[:FILTERS] + most @ net.out[FILTERS:] + held["out_bias"][0]
-                d = 1 / (1 + np.exp(-np.clip(x, -30, 30))) - labels[k]
+                d = (1 / (1 + np.exp(-np.clip(x, -30, 30))) - labels[k]) * weight[labels[k]]
                 grads["out"] += d * np.concatenate([mean, most])
                 grads["out_bias"] += d
                 back = np.tile(d * net.out[:FILTERS] / len(pooled), (len(pooled), 1))
@@ -157,7 +165,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
                 first[name] = 0.9 * first[name] + 0.1 * g
                 second[name] = 0.99 * second[name] + 0.01 * g * g
                 value -= (rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-7)).astype(value.dtype)
-    net.out_bias = float(held["out_bias"][0])
+    net.out_bias = float(held["out_bias"][0] + np.log(prior / (1 - prior)))
     return Net(net.filters, net.bias, net.out, net.out_bias)
 
 
@@ -174,11 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     read = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).filter(F.octet_length("text") <= TRAIN_BYTES)
     rows = read.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("text", "y").collect()
     rows.sort(key=lambda r: (r["text"], r["y"]))  # row order must not matter
-    net = train([r["text"] for r in rows], [r["y"] for r in rows])
-    drawn = [sum(r["y"] == k for r in rows) for k in (0, 1)]
-    if min(drawn):  # the sample is balanced, the labels aren't
-        net.out_bias += float(np.log(sizes[1] / sizes[0]) - np.log(drawn[1] / drawn[0]))
-    return net
+    prior = sizes.get(1, 0) / sum(sizes.values())
+    return train([r["text"] for r in rows], [r["y"] for r in rows], prior=prior if 0 < prior < 1 else None)
 
 
 def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
