@@ -1,17 +1,21 @@
 """The tile kernel: all window pairs of two blocks, folded to the best partner of each row and column.
 
-Values are doubles or whole numbers kept in doubles; for the latter every
-product sum stays below 2^53 (checked by the caller), so results are exact and
-don't depend on tiling. Strips of rows go through one matrix product each
-(short windows) or a running update along the diagonals (long ones).
+Whole values are kept in doubles, and every product sum stays below 2^53
+(checked by the caller), so results are exact and don't depend on tiling. Their
+covariances run down the diagonals: the change from one cell to the next is a
+product of two matrices of rank 4, so a cell costs the same for any window.
+General doubles take a product of normalised windows (nothing cancels) or, for
+long windows, the running form over values centred in each block.
+
+Strips of ``STRIP`` rows keep a tile's work in the processor's cache.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Rows of a strip, and window length from which the running update takes over.
-STRIP, LONG_WINDOW = 64, 192
+#: Rows of a strip, and window length from which general doubles take the running form.
+STRIP, LONG_WINDOW = 16, 512
 
 
 def stats(a: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,30 +46,6 @@ def centred_stats(a: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     return s, sd
 
 
-def dots(x: np.ndarray, y: np.ndarray, m: int, rows: int, columns: int):
-    """Strips ``(first row, dot products)`` of the windows of x with those of y."""
-    wy = np.lib.stride_tricks.sliding_window_view(y, m)[:columns]
-    wx = np.lib.stride_tricks.sliding_window_view(x, m)[:rows]
-    if m < LONG_WINDOW:
-        turned = np.ascontiguousarray(wy.T)
-        for at in range(0, rows, STRIP):
-            yield at, np.ascontiguousarray(wx[at : at + STRIP]) @ turned
-        return
-    edge = wx @ wy[0]
-    row = wy @ wx[0]
-    held = np.empty((STRIP, columns))
-    for at in range(0, rows, STRIP):
-        k = min(STRIP, rows - at)
-        for r in range(at, at + k):
-            if r:
-                new = np.empty(columns)
-                new[0] = edge[r]
-                new[1:] = row[:-1] - x[r - 1] * y[: columns - 1] + x[r + m - 1] * y[m : m + columns - 1]
-                row = new
-            held[r - at] = row
-        yield at, held[:k]
-
-
 def correlate(q: np.ndarray, m: int, s_i, d_i, s_j, d_j) -> np.ndarray:
     """Correlations of a strip, in place; constant windows by rule, missing ones as NaN."""
     q *= m
@@ -81,6 +61,71 @@ def correlate(q: np.ndarray, m: int, s_i, d_i, s_j, d_j) -> np.ndarray:
     return q
 
 
+def covariances(x: np.ndarray, y: np.ndarray, s_i: np.ndarray, s_j: np.ndarray, m: int):
+    """Strips ``(first row, m * dot product - product of sums)`` of the windows of x with those of y; a strip's array is used again."""
+    rows, columns = len(s_i), len(s_j)
+    wx, wy = np.lib.stride_tricks.sliding_window_view(x, m)[:rows], np.lib.stride_tricks.sliding_window_view(y, m)[:columns]
+    edge = m * (wx @ wy[0]) - s_i * s_j[0]
+    row = m * (wy @ wx[0]) - s_i[0] * s_j
+    # what a cell has more than the one before it on its diagonal: a value comes, a value goes, the sums change
+    change_i = np.stack([m * x[m : m + rows - 1], -m * x[: rows - 1], -s_i[1:], s_i[:-1]], axis=1)
+    change_j = np.stack([y[m : m + columns - 1], y[: columns - 1], s_j[1:], s_j[:-1]])
+    out, change = np.empty((STRIP, columns)), np.empty((STRIP, columns - 1))
+    for at in range(0, rows, STRIP):
+        k = min(STRIP, rows - at)
+        first = 1 if at == 0 else 0
+        if k > first:
+            np.matmul(change_i[at + first - 1 : at + k - 1], change_j, out=change[: k - first])
+        for r in range(k):
+            if at + r:
+                np.add((row if r == 0 else out[r - 1])[:-1], change[r - first], out=out[r, 1:])
+                out[r, 0] = edge[at + r]
+            else:
+                out[0] = row
+        row = out[k - 1].copy()
+        yield at, out[:k]
+
+
+def normalised(a: np.ndarray, m: int, s: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Windows of length 1 around 0; constant and incomplete ones are all 0."""
+    w = np.lib.stride_tricks.sliding_window_view(a, m)[: len(s)] - (s / m)[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        w *= (np.sqrt(m) / d)[:, None]
+    w[~np.isfinite(w).all(axis=1)] = 0.0
+    return w
+
+
+def correlations(x: np.ndarray, y: np.ndarray, m: int, exact: bool):
+    """Strips ``(first row, correlations)``; constant windows by rule, pairs with an incomplete window as minus infinity."""
+    if exact or m >= LONG_WINDOW:
+        if not exact:
+            x, y = (a - (np.nanmean(a) if np.isfinite(a).any() else 0.0) for a in (x, y))
+        (s_i, d_i), (s_j, d_j) = ((stats if exact else centred_stats)(a, m) for a in (x, y))
+        x, y = np.nan_to_num(x), np.nan_to_num(y)
+        sums = [np.convolve(a, np.ones(m), "valid") if not exact else np.concatenate([[0.0], np.cumsum(a)])[m:] - np.concatenate([[0.0], np.cumsum(a)])[:-m] for a in (x, y)]
+        strips, scale = covariances(x, y, *sums, m), np.empty((STRIP, len(s_j)))
+    else:
+        (s_i, d_i), (s_j, d_j) = centred_stats(x, m), centred_stats(y, m)
+        zi, zj = normalised(x, m, s_i, d_i), np.ascontiguousarray(normalised(y, m, s_j, d_j).T)
+        strips, scale = ((at, zi[at : at + STRIP] @ zj) for at in range(0, len(s_i), STRIP)), None
+    odd = [(np.flatnonzero(d == 0), np.flatnonzero(np.isnan(d))) for d in (d_i, d_j)]
+    for at, r in strips:
+        k = len(r)
+        if scale is not None:
+            np.multiply.outer(d_i[at : at + k], d_j, out=scale[:k])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                np.divide(r, scale[:k], out=r)
+        if any(len(v) for pair in odd for v in pair):
+            flat_i, bad_i = ((v[(v >= at) & (v < at + k)] - at) for v in odd[0])
+            flat_j, bad_j = odd[1]
+            r[flat_i, :] = 0.0
+            r[:, flat_j] = 0.0
+            r[np.ix_(flat_i, flat_j)] = 1.0
+            r[bad_i, :] = -np.inf
+            r[:, bad_j] = -np.inf
+        yield at, r
+
+
 class Best:
     """Best correlation and least neighbour of a run of positions."""
 
@@ -92,6 +137,16 @@ class Best:
         win = (r > old_r) | ((r == old_r) & (nn < old_n) & (r > -np.inf))
         old_r[win], old_n[win] = r[win], nn[win]
 
+    def hopeful(self, first: int, r: np.ndarray) -> np.ndarray:
+        """Places of ``r`` (from position ``first``) that may change the best."""
+        at = first - self.first
+        return np.flatnonzero((r >= self.r[at : at + len(r)]) & (r > -np.inf))
+
+    def put_at(self, places: np.ndarray, r: np.ndarray, nn: np.ndarray) -> None:
+        """The same for chosen places, each once."""
+        win = (r > self.r[places]) | (nn < self.nn[places])
+        self.r[places[win]], self.nn[places[win]] = r[win], nn[win]
+
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.flatnonzero(self.r > -np.inf)
         return at + self.first, self.r[at], self.nn[at]
@@ -103,24 +158,22 @@ def tile(x: np.ndarray, y: np.ndarray, first_i: int, first_j: int, m: int, band:
     ``half`` limits the sides that are folded: ``right`` fills later neighbours
     of rows, ``left`` earlier neighbours of columns.
     """
-    s_i, d_i = (stats if exact else centred_stats)(x, m)
-    s_j, d_j = (stats if exact else centred_stats)(y, m)
-    rows, columns = len(s_i), len(s_j)
-    if not rows or not columns or first_j + columns - 1 - first_i <= band:
+    rows, columns = len(x) - m + 1, len(y) - m + 1
+    if rows < 1 or columns < 1 or first_j + columns - 1 - first_i <= band:
         return
-    if exact:
-        x, y = np.nan_to_num(x), np.nan_to_num(y)
     numbers = np.arange(columns) + first_j
-    for at, q in dots(x, y, m, rows, columns):
-        k = len(q)
-        r = correlate(q, m, s_i[at : at + k], d_i[at : at + k], s_j, d_j)
+    for at, r in correlations(x, y, m, exact):
+        k = len(r)
         i0 = first_i + at
         if first_j - (i0 + k - 1) <= band:  # the strip touches the band
             r[numbers[None, :] - (np.arange(k) + i0)[:, None] <= band] = -np.inf
-        np.nan_to_num(r, copy=False, nan=-np.inf, posinf=-np.inf, neginf=-np.inf)
         if half != "left":
-            j = r.argmax(axis=1)
-            row_best.put(slice(i0 - row_best.first, i0 - row_best.first + k), r[np.arange(k), j], j + first_j)
+            top = r.max(axis=1)
+            places = row_best.hopeful(i0, top)
+            if len(places):
+                row_best.put_at(places + i0 - row_best.first, top[places], r[places].argmax(axis=1) + first_j)
         if half != "right":
-            i = r.argmax(axis=0)
-            column_best.put(slice(first_j - column_best.first, first_j - column_best.first + columns), r[i, np.arange(columns)], i + i0)
+            top = r.max(axis=0)
+            places = column_best.hopeful(first_j, top)
+            if len(places):
+                column_best.put_at(places + first_j - column_best.first, top[places], r[:, places].argmax(axis=0) + i0)

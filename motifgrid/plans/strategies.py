@@ -5,9 +5,11 @@
 ``shuffle``    blocks of the series are joined to tiles by block number; nothing is replicated whole
 ``auto``       broadcast while the counted length is under ``BROADCAST_VALUES``, else shuffle
 
-The pair triangle is cut into square tiles; tiles inside the exclusion band are
-never made. A task folds its tiles to one best partner a position before
-anything is shuffled.
+The pair triangle is cut into squares of tiles, one task each; a task folds all
+its tiles to one best partner a position before anything is shuffled. With G
+squares a side (about the root of eight times the cores), the partial results
+are G rows a position, and the shuffle strategy sends every value to G tasks.
+Tiles inside the exclusion band are left out.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from .kernel import Best, tile
 
 #: Longest series (8 bytes a value) that is sent whole to every executor.
 BROADCAST_VALUES = 10_000_000
-TILE = 2048
+TILE = 4096
 _PARTIAL = "pos bigint, r double, nn bigint"
 _ARROW = pa.schema([("pos", pa.int64()), ("r", pa.float64()), ("nn", pa.int64())])
 
@@ -107,17 +109,41 @@ def cells_sql(series: DataFrame, m: int, band: int, first: int | None = None, la
 # --- broadcast ----------------------------------------------------------------------------
 
 
-def tiles(p: int, band: int, size: int) -> list[tuple[int, int]]:
-    """Tile coordinates of the pair triangle that reach outside the band."""
+def squares(p: int, size: int, cores: int) -> tuple[int, int]:
+    """Squares a side, and tiles a square's side, for ``p`` windows: about four tasks a core."""
     k = -(-p // size)
-    return [(a, b) for a in range(k) for b in range(a, k) if min((b + 1) * size, p) - 1 - a * size > band]
+    side = -(-k // max(1, round((8 * cores) ** 0.5)))
+    return -(-k // side), side
+
+
+def square_of(task: int, g: int) -> tuple[int, int]:
+    """Row and column of a task in the triangle of squares, row by row."""
+    row = 0
+    while task >= g - row:
+        task -= g - row
+        row += 1
+    return row, row + task
+
+
+def _square(block, row: int, column: int, side: int, size: int, p: int, m: int, band: int, exact: bool, half: str, since: int = 0, keep=None) -> Iterator[pa.RecordBatch]:
+    """All tiles of a square; ``block(b)`` gives the values of a block with its halo."""
+    columns: dict[int, Best] = {}
+    last = -(-p // size) - 1
+    for t in range(row * side, min((row + 1) * side - 1, last) + 1):
+        mine = Best(t * size, min(size, p - t * size))
+        for u in range(max(t, column * side), min((column + 1) * side - 1, last) + 1):
+            if (u + 1) * size <= since or keep is not None and not keep(t, u):
+                continue
+            if u not in columns:
+                columns[u] = Best(u * size, min(size, p - u * size))
+            tile(block(t), block(u), t * size, u * size, m, band, exact, mine, columns[u], half)
+        yield from _out([mine])
+    yield from _out(columns.values())
 
 
 def partial_broadcast(series: DataFrame, m: int, band: int, size: int = TILE, half: str = "both", fraction: float = 1.0, seed: int = 0, since: int = 0) -> DataFrame:
     """Partial profile from the whole series on every executor.
 
-    Tile rows a and K-1-a share a task, so long and short rows balance; a task
-    keeps the best partners of its rows and, block by block, of the columns.
     ``fraction`` below 1 runs a random part of the tiles: an early approximation.
     ``since`` leaves out tiles whose columns all lie below that position: what
     an earlier run over a shorter series has covered.
@@ -128,33 +154,18 @@ def partial_broadcast(series: DataFrame, m: int, band: int, size: int = TILE, ha
     if not exact:
         values = values - (np.nanmean(values) if np.isfinite(values).any() else 0.0)
     shared = spark.sparkContext.broadcast(values)
-    k = -(-p // size)
-    cores = spark.sparkContext.defaultParallelism
-    parts = min(max(1, (k + 1) // 2), 2 * cores)
-    rows = spark.range((k + 1) // 2).select(F.col("id"), F.pmod(F.col("id"), F.lit(parts)).alias("part"))
+    g, side = squares(p, size, spark.sparkContext.defaultParallelism)
+    tasks = g * (g + 1) // 2
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = shared.value
-        columns: dict[int, Best] = {}
+        block = lambda b: a[b * size : min((b + 1) * size, p) + m - 1]
+        keep = None if fraction >= 1 else lambda t, u: np.random.default_rng([seed, t, u]).random() < fraction
         for batch in batches:
-            for low in batch.column(0).to_pylist():
-                for t in sorted({low, k - 1 - low}):
-                    i0 = t * size
-                    rows_i = min(size, p - i0)
-                    mine = Best(i0, rows_i)
-                    draw = np.random.default_rng([seed, t])
-                    for u in range(t, k):
-                        if (u + 1) * size <= since or fraction < 1 and draw.random() >= fraction:
-                            continue
-                        j0 = u * size
-                        rows_j = min(size, p - j0)
-                        if u not in columns:
-                            columns[u] = Best(j0, rows_j)
-                        tile(a[i0 : i0 + rows_i + m - 1], a[j0 : j0 + rows_j + m - 1], i0, j0, m, band, exact, mine, columns[u], half)
-                    yield from _out([mine])
-        yield from _out(columns.values())
-
-    return rows.repartitionByRange(parts, "part").select("id").mapInArrow(run, _PARTIAL)
+            for task in batch.column(0).to_pylist():
+                yield from _square(block, *square_of(task, g), side, size, p, m, band, exact, half, since, keep)
+
+    return spark.range(0, tasks, 1, tasks).mapInArrow(run, _PARTIAL)
 
 
 # --- shuffle ------------------------------------------------------------------------------
@@ -172,10 +183,10 @@ def blocks(series: DataFrame, m: int, size: int, p: int) -> DataFrame:
 
 
 def partial_shuffle(series: DataFrame, m: int, band: int, size: int = TILE, half: str = "both") -> DataFrame:
-    """Partial profile from blocks joined to tiles on both block numbers; no task holds the series.
+    """Partial profile from blocks sent to the squares that need them; no task holds the series.
 
-    The joined rows arrive by column block, so a task folds the columns of a
-    block while its tiles pass and gives out rows tile by tile.
+    A square's blocks arrive together and are held while its tiles run: twice
+    a square's side of values.
     """
     n = checked_length(series, m)
     spark, p = series.sparkSession, n - m + 1
@@ -184,29 +195,30 @@ def partial_shuffle(series: DataFrame, m: int, band: int, size: int = TILE, half
         name = value_column(series)
         mean = series.agg(F.avg(F.when(~F.isnan(F.col(name).cast("double")), F.col(name)))).first()[0] or 0.0
         series = series.select("pos", (F.col(name) - F.lit(mean)).alias("value"))
-    k = -(-p // size)
-    cut = blocks(series, m, size, p)
-    grid = spark.range(k).select(F.col("id").alias("bi")).select("bi", F.explode(F.sequence(F.col("bi"), F.lit(k - 1))).alias("bj"))
-    grid = grid.filter(F.least((F.col("bj") + 1) * size, F.lit(p)) - 1 - F.col("bi") * size > band)
-    left, right = cut.select(F.col("b").alias("bi"), F.col("a").alias("x")), cut.select(F.col("b").alias("bj"), F.col("a").alias("y"))
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    joined = grid.repartition(parts, "bi").join(left.hint("shuffle_hash"), "bi").repartition(parts, "bj", "bi").join(right.hint("shuffle_hash"), "bj")
+    g, side = squares(p, size, spark.sparkContext.defaultParallelism)
+    tasks = g * (g + 1) // 2
+    own, other = F.expr(f"b div {side}"), F.explode(F.sequence(F.lit(0), F.lit(g - 1))).alias("other")
+    sent = blocks(series, m, size, p).select("b", "a", own.alias("own"), other)
+    row, column = F.least("own", "other"), F.greatest("own", "other")
+    # rows above hold g, g - 1, ... squares
+    sent = sent.select((row * g - F.expr("least(own, other) * (least(own, other) - 1) div 2") + column - row).cast("bigint").alias("task"), "b", "a")
+    placed = sent.repartitionByRange(tasks, "task").sortWithinPartitions("task", "b")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
         for batch in batches:
-            held: dict[int, Best] = {}
-            bi, bj = batch.column("bi").to_pylist(), batch.column("bj").to_pylist()
-            for t, (i, j) in enumerate(zip(bi, bj)):
-                x, y = (batch.column(c)[t].values.to_numpy(zero_copy_only=False) for c in ("x", "y"))
-                for b, a in ((i, x), (j, y)):
-                    if b not in held:
-                        held[b] = Best(b * size, len(a) - m + 1)
-                tile(x, y, i * size, j * size, m, band, exact, held[i], held[j], half)
-            yield from _out(held.values())
-
-    return joined.select("bi", "bj", "x", "y").mapInArrow(run, _PARTIAL)
+            for k, (task, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if task != now and now is not None:
+                    yield from _square(held.__getitem__, *square_of(now, g), side, size, p, m, band, exact, half)
+                    held = {}
+                now = task
+                held[b] = batch.column(2)[k].values.to_numpy(zero_copy_only=False)
+        if now is not None:
+            yield from _square(held.__getitem__, *square_of(now, g), side, size, p, m, band, exact, half)
+
+    return placed.mapInArrow(run, _PARTIAL)
 
 
 # --- the query ----------------------------------------------------------------------------

@@ -25,6 +25,8 @@ def correlation(a, b):
     if flat_a or flat_b:
         return 1.0 if flat_a and flat_b else 0.0
     m = len(a)
+    if (a != np.round(a)).any():  # nothing may cancel; whole values are exact as they are
+        a, b = a - a.mean(), b - b.mean()
     num = m * (a * b).sum() - a.sum() * b.sum()
     return num / (np.sqrt(m * (a * a).sum() - a.sum() ** 2) * np.sqrt(m * (b * b).sum() - b.sum() ** 2))
 
@@ -104,16 +106,35 @@ def test_general_doubles(spark, how):
 
 
 @pytest.mark.parametrize("n", [64, 65, 71])
-def test_tile_borders_and_long_windows(spark, n, monkeypatch):
+def test_tile_borders(spark, n):
     values = np.random.default_rng(n).integers(0, 100, n).tolist()
     whole = got(strategies.matrix_profile(make(spark, values), 8, "broadcast", tile_size=64))
-    same(got(strategies.matrix_profile(make(spark, values), 8, "shuffle", tile_size=8)), whole)
-    monkeypatch.setattr(kernel, "LONG_WINDOW", 4)  # the running update instead of the matrix product
-    mine, column = kernel.Best(0, n - 7), kernel.Best(0, n - 7)
-    x = np.array(values, float)
-    kernel.tile(x, x, 0, 0, 8, 2, True, mine, column)
-    mine.put(slice(0, n - 7), column.r, column.nn)
-    assert {k: whole[k][1] for k in whole} == dict(enumerate(mine.nn.tolist()))
+    for size in (3, 8):
+        same(got(strategies.matrix_profile(make(spark, values), 8, "shuffle", tile_size=size)), whole)
+        same(got(strategies.matrix_profile(make(spark, values), 8, "broadcast", tile_size=size)), whole)
+
+
+@pytest.mark.parametrize("long", [4, 512])
+def test_general_doubles_in_both_forms(long, monkeypatch):
+    monkeypatch.setattr(kernel, "LONG_WINDOW", long)
+    x = np.cumsum(np.random.default_rng(2).normal(size=150)) + 1e6
+    x[40] = np.nan
+    x[90:110] = x[90]
+    _, r, nn = keyed.series_profile(x, 10, 2, False)
+    want = brute(x, 10)
+    for k, (dist, near) in want.items():
+        assert (nn[k] == -1) == (near is None)
+        if near is not None:
+            assert abs(np.sqrt(max(0.0, 20 * (1 - r[k]))) - dist) < 1e-3
+
+
+def test_squares_cover_the_triangle():
+    for p, size, cores in ((1, 5, 1), (100, 7, 3), (1000, 10, 8)):
+        g, side = strategies.squares(p, size, cores)
+        k = -(-p // size)
+        assert (g - 1) * side < k <= g * side
+        found = {strategies.square_of(t, g) for t in range(g * (g + 1) // 2)}
+        assert found == {(a, b) for a in range(g) for b in range(a, g)}
 
 
 def test_anticorrelated_pairs_have_their_true_distance(spark):
