@@ -126,6 +126,27 @@ def correlations(x: np.ndarray, y: np.ndarray, m: int, exact: bool):
         yield at, r
 
 
+def by_rule(r: np.ndarray, d_i: np.ndarray, d_j: np.ndarray) -> np.ndarray:
+    """Correlations with constant windows (deviation 0) set by rule and incomplete ones (NaN) to minus infinity, in place."""
+    r[d_i == 0, :] = 0.0
+    r[:, d_j == 0] = 0.0
+    r[np.ix_(d_i == 0, d_j == 0)] = 1.0
+    r[np.isnan(d_i), :] = -np.inf
+    r[:, np.isnan(d_j)] = -np.inf
+    return r
+
+
+def pairwise(q: np.ndarray, m: int, s_i, d_i, s_j, d_j) -> np.ndarray:
+    """Correlations of window pairs, place by place; minus infinity with an incomplete window."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = (m * q - s_i * s_j) / (d_i * d_j)
+    flat_i, flat_j = d_i == 0, d_j == 0
+    r[flat_i | flat_j] = 0.0
+    r[flat_i & flat_j] = 1.0
+    r[np.isnan(d_i) | np.isnan(d_j)] = -np.inf
+    return r
+
+
 class Best:
     """Best correlation and least neighbour of a run of positions."""
 
