@@ -58,3 +58,21 @@ def test_phases():
     with phases.phase("evaluate"):
         pass
     assert phases.throughput(100, 10)["entries_per_s"] > 0
+
+
+def test_workers_import_the_package_from_anywhere(tmp_path):
+    """A driver that only has the package on its own path still runs Python stages."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    script = tmp_path / "elsewhere.py"
+    script.write_text(
+        f"import sys; sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})\n"
+        "from pyspark.sql import SparkSession, functions as F\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+        "from motifgrid.plans.strategies import matrix_profile\n"
+        "s = spark.range(60).select(F.col('id').alias('pos'), (F.col('id') * 7 % 13).alias('c'))\n"
+        "assert matrix_profile(s, 6).count() == 55\n"
+    )
+    subprocess.run([sys.executable, str(script)], cwd=tmp_path, check=True, timeout=120, env={"PATH": "/usr/bin:/bin", **{k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"}})
