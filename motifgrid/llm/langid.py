@@ -5,9 +5,9 @@ else is one space), as ``(1 + ln tf) * idf``, scaled to length 1. Document
 frequencies are counted over all learnable rows. The weights are learned by
 follow-the-regularised-leader with elastic-net penalties (per coordinate
 rates, exact zeros) on a bounded labelled sample: ``PER_LANG`` rows of a
-language and ``TOTAL`` rows in expectation, chosen by hash. A fifth of the
-sample is left out of training and fits one temperature, so scores are
-calibrated probabilities.
+language and ``TOTAL`` rows in expectation, of at most ``TRAIN_BYTES``, chosen
+by hash. A fifth of the sample is left out of training and fits one
+temperature, so scores are calibrated probabilities.
 
 Prediction is narrow and covers whole texts (in pieces of ``PIECE`` characters
 whose counts add up, so memory is bounded).
@@ -33,8 +33,8 @@ from .common import bounded_batches, id_remainder, map_rows
 
 #: Hash bins of the n-grams.
 BINS = 1 << 15
-#: Sample bound: expected labelled rows of one language, and of all.
-PER_LANG, TOTAL = 600, 6000
+#: Sample bound: expected labelled rows of one language, and of all, and the longest text that may be drawn.
+PER_LANG, TOTAL, TRAIN_BYTES = 600, 6000, 1 << 16
 #: Languages learned at most: the most frequent ones.
 LANGS = 256
 #: Passes over the sample, and the learner's parameters.
@@ -172,20 +172,20 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", key: Co
     each = min(per_lang, max(1, total // len(langs)))
     share = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, each / r["count"]))]), F.col("lang"))
     draw = F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = rows.filter(F.col("lang").isin(langs)).filter(draw < share).select("lang", "text", F.pmod(F.xxhash64("key", F.lit("part")), F.lit(5)).alias("part"))
+    chosen = rows.filter(F.col("lang").isin(langs)).filter((draw < share) & (F.octet_length("text") <= TRAIN_BYTES)).select("lang", "text", F.pmod(F.xxhash64("key", F.lit("part")), F.lit(5)).alias("part"))
 
     def make():
         def run(columns):
             found = [ngram_counts(x) for x in columns[1]]
-            return [columns[0], columns[2], [b.tolist() for b, _ in found], [c.tolist() for _, c in found]]
+            return [columns[0], columns[2], [b.astype("<i4").tobytes() for b, _ in found], [c.astype("<i4").tobytes() for _, c in found]]
 
         return run
 
-    sample = map_rows(chosen, make, "lang string, part bigint, bins array<int>, counts array<bigint>").collect()
-    sample.sort(key=lambda r: (r["lang"], r["part"], r["bins"][:50], r["counts"][:50]))  # row order must not matter
+    sample = map_rows(chosen, make, "lang string, part bigint, bins binary, counts binary").collect()
+    sample.sort(key=lambda r: (r["lang"], r["part"], r["bins"], r["counts"]))  # row order must not matter
     model = Model(langs, idf, np.zeros((BINS, len(langs)), np.float32), np.zeros(len(langs), np.float32))
     number = {x: k for k, x in enumerate(langs)}
-    made = [(b := np.array(r["bins"], np.int64), model.vector(b, np.array(r["counts"])), number[r["lang"]], r["part"]) for r in sample if r["bins"]]
+    made = [(b := np.frombuffer(r["bins"], "<i4"), model.vector(b, np.frombuffer(r["counts"], "<i4")), number[r["lang"]], r["part"]) for r in sample if r["bins"]]
     train = [x[:3] for x in made if x[3] != 0] or [x[:3] for x in made]
     if train:
         model.weights, model.bias = ftrl(train, len(langs))
