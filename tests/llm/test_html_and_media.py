@@ -66,6 +66,32 @@ def test_templates_of_a_site_go(spark):
     assert H.extract(site(spark).limit(0)).count() == 0
 
 
+def test_templates_by_place_go(spark):
+    made = []
+    for k in range(20):
+        more = "".join(f"<p>passage {k} {j} of a longer article</p>" for j in range(k % 5 + 2))
+        quote = "<p>To be or not to be</p>" if k % 2 else ""
+        body = f"<h1>Head {k}</h1><p>Filed under news</p>{more}{quote * (k % 7)}<p>goes <b>very</b> on {k}</p><div><span>Follow us</span> <span>{k}</span></div><ul><li>item {k}</li><li>Send a tip</li></ul><p>All rights reserved</p>"
+        made.append((k, f"http://a.example/{k}", f"<body><div><p>Links {k % 2}</p></div><article>{body}</article><script>{k}</script></body>"))
+        made.append((100 + k, f"http://b.example/{k}", f"<body><div><p>Links {k % 4}</p><span>Shop {k % 3}</span></div><section><p>story {k} goes on for a while here</p></section></body>"))
+        same = "".join(f"<p>the same article's passage {j}</p>" for j in range(9))
+        made.append((200 + k, f"http://c.example/{k}", f"<article><h1>The same head</h1>{same}<p>changed {k}</p></article>"))
+    by = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(made, "page_id bigint, url string, html string")).collect()}
+    for k in range(20):
+        want = [f"Head {k}", *[f"passage {k} {j} of a longer article" for j in range(k % 5 + 2)], *["To be or not to be"] * (k % 7 if k % 2 else 0), f"goes very on {k}", str(k), f"item {k}"]
+        assert by[k] == "\n".join(want)
+        assert by[100 + k] == f"story {k} goes on for a while here"
+        assert by[200 + k].startswith("The same head\n") and by[200 + k].count("\n") == 10  # near copies are no template
+
+
+def test_named_furniture_is_counted_too():
+    p = H.Page("<body><nav><ul><li>a</li></ul></nav><article><p>x</p></article><footer>f</footer></body>")
+    keys = [(p.nodes[k].tag, place, key) for k, place, key in p.subtrees()]
+    assert {t for t, place, _ in keys if place is None} == {"nav", "footer"}
+    found = H.Page("<body><nav><ul><li>a</li></ul></nav><article><p>y</p></article><footer>f</footer></body>", frozenset(key for t, place, key in keys if place is None))
+    assert found.cut == 2 and found.text() == "y"
+
+
 def test_subtree_hashes_tell_contents_apart():
     a, b, c = (H.Page(f"<div class='{x}'><p>{y}</p></div>").hashes()[1] for x, y in (("q", "one"), ("q", "two"), ("r", "one")))
     assert len({a, b, c}) == 3
