@@ -33,6 +33,7 @@ CLOSES |= {
 
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_STOP = re.compile(r">|=\s*[\"']")
 _TOKEN = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 
@@ -60,19 +61,15 @@ def hint_words(element: Element) -> frozenset[str]:
 
 
 def _tag_end(page: str, at: int) -> int:
-    """Place of the ``>`` that ends the tag at ``at``; quoted ones don't, unless a quote never ends."""
-    end = first = page.find(">", at)
-    for _ in range(16):
+    """Place of the ``>`` that ends the tag at ``at``, or -1; those in quoted values don't, unless the page has no end of the quote."""
+    while m := _STOP.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        end = page.find(m[0][-1], m.end())
         if end < 0:
-            return first
-        inside = page[at:end]
-        if '"' not in inside and "'" not in inside:
-            return end
-        rest = re.sub(r"\"[^\"]*\"|'[^']*'", "", inside)
-        if not re.search(r"=\s*[\"']", rest):
-            return end
-        end = page.find(">", end + 1)
-    return first
+            return page.find(">", m.end())
+        at = end + 1
+    return -1
 
 
 def read(page: str) -> list[Element]:

@@ -44,6 +44,15 @@ def test_deep_and_long_pages():
     assert len(html_tree.read("</b>" * 5000)) == 1
 
 
+def test_quoted_values_of_any_length():
+    for n in (1, 15, 16, 17, 5000):
+        inner = "<p>leak</p>" * n
+        assert H.Page(f"<div data-x='{inner}' title=\"{inner}\"><p>text</p></div>").text() == "text"
+        assert [e["text"] for e in M.sequence(f"<div data-x = '{inner}'>text</div>")] == ["text"]
+    assert H.Page("<div data-x='" + ">" * 20 + "' title=\"open>text").text() == "text"  # the quote has no end
+    assert H.Page("<a b='>'" * 200_000 + "<a c=\">x").text() == "x"  # in linear time
+
+
 def site(spark):
     made = []
     for k in range(8):
