@@ -93,6 +93,14 @@ def test_edge_rows(docs, clashing, nothing):
     assert P.redact_pii(docs.select("text")).count() == len(ROWS)
 
 
+def test_secrets_in_any_case():
+    for secret in ("9233A8EC49E3E49CF46B2D7C90F3602A", "9233A8ec" * 8):
+        text = f'TOKEN = "{secret}"'
+        assert [s[:3] for s in P.spans(text)] == [("secret", 9, 9 + len(secret))]
+        assert P.redact(text, P.spans(text)) == 'TOKEN = "[SECRET]"'
+        assert "secret" not in {s[0] for s in P.spans(f"commit {secret}")}
+
+
 def test_query_equals_patterns_over_a_whole_table(spark, real):
     import hashlib
 
