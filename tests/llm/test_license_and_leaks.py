@@ -30,14 +30,43 @@ def test_license_edge_rows(spark, docs, clashing, nothing):
 
 
 def test_license_canonical_forms(spark):
-    mit = dict((len(t), t) for k, t in N.KNOWN if k == "MIT")
-    text = mit[max(mit)]
+    text = next(t for k, t in N.TEXTS if k == "MIT")
     changed = "Copyright (c) 2020 Somebody\n\n" + text.upper().replace("SUBLICENSE", "sub-license").replace("COPYRIGHT HOLDERS", "Copyright Owners").replace(",", " ;").replace("\n", "\n\n  ")
     df = spark.createDataFrame([(1, changed), (2, changed + " and more"), (3, "LICENCED under the Apache Licence, version 2.0"), (4, None), (3, "LICENCED under the Apache Licence, version 2.0")], "doc_id bigint, text string")
     found = sorted((r["doc_id"], r["unit"], r["license"]) for r in N.scan(df, N.known_digests(spark)).collect())
     assert found == [(1, "document", "MIT"), (3, "document", "Apache-2.0"), (3, "document", "Apache-2.0")]
 
 
+def test_every_known_text_matches_itself(spark):
+    known = N.known_digests(spark)
+    texts = N.notices(spark).unionByName(spark.createDataFrame(N.TEXTS, "license string, text string"))
+    df = texts.withColumn("doc_id", F.xxhash64("license", "text"))
+    found = {(r["doc_id"], r["license"]) for r in N.scan(df, known).collect()}
+    assert {(r["doc_id"], r["license"]) for r in df.collect()} <= found
+    assert known.groupBy("digest").agg(F.countDistinct("license").alias("n")).filter("n > 1").isEmpty()
+
+
+def test_no_spelling_rule_loses_a_match(spark):
+    """However much a rule shortens or lengthens a text, the text still matches itself in any spelling."""
+    pairs = [("GPL version 3", "gpl V3"), ("version 3", "v3"), ("per cent " * 9, "percent " * 9), ("LICENSOR licensee", "licencor licencee"), ("sub license", "sub-licence"), ("copyright owners", "the Copyright holder".replace("the ", "")), ("acknowledgement organise authorise favour non infringement merchantibility", "acknowledgment organize authorize favor noninfringement merchantability")]
+    known = N.digests_of(spark.createDataFrame([(str(k), a) for k, (a, _) in enumerate(pairs)], "license string, text string"))
+    docs = spark.createDataFrame([(k, x) for k, pair in enumerate(pairs) for x in pair], "doc_id int, text string")
+    found = sorted((r["doc_id"], r["license"]) for r in N.scan(docs, known).collect())
+    assert found == sorted((k, str(k)) for k, (a, b) in enumerate(pairs) for x in (a, b) if not x.lower().startswith("copyright"))
+
+
+def test_long_texts_have_the_listed_digests(spark):
+    """Where the machine has the public texts, their canonical digests are the listed ones."""
+    from pathlib import Path
+
+    home = Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    if not all((home / n).exists() for n in names):
+        pytest.skip("no licence texts here")
+    found = N.digests_of(spark.createDataFrame([(k, (home / n).read_text()) for n, k in names.items()], "license string, text string"))
+    assert {(r["license"], r["chars"], r["digest"]) for r in found.collect()} <= set(N.DIGESTS)
+
+
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
 
 
