@@ -9,9 +9,10 @@ the texts, then shuffles of the short rows (id, size, checksum) only.
 Slots number the rows of a shard without gaps and without ever bringing a
 shard to one task: rows fall into hash buckets of about ``BUCKET_ROWS``, bucket
 counts give each bucket its first slot, and rows are numbered inside their
-bucket. Rows that agree in id and text are counted before any shuffle and
-numbered again from the count, so a row repeated without end is one row on the
-wire.
+bucket. A bucket hashes id, size and checksum, so one id with many texts (or
+the null id) is spread over all buckets. Rows that agree in id and text are
+counted before any shuffle and numbered again from the count, so a row repeated
+without end is one row on the wire.
 
 Edge cases: a null text has size 1 and checksum 0 (that of no bytes); a null id
 is the key of no characters; repeated rows share the shard and get slots of
@@ -25,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 SHARDS = 16
 #: Rows of a numbering bucket, about.
@@ -78,9 +79,10 @@ def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weig
         "doc_id", "size", "text_crc32", "n",
         (F.array_position("__own", F.array_max("__own")) - 1).cast("int").alias("shard"),
         (F.array_position("__all", F.array_max("__all")) - 1).cast("int").alias("grown_shard"),
-        F.floor(_fraction(_key("doc_id"), "bucket") * buckets).cast("int").alias("bucket"),
+        F.floor(_fraction(F.concat_ws(":", _key("doc_id"), "size", "text_crc32"), "bucket") * buckets).cast("int").alias("bucket"),
     )
     put = materialize(put, "placed")
+    discard(once)
     first = put.groupBy("shard", "bucket").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = first.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
@@ -103,6 +105,6 @@ s AS (SELECT key, s, ('0x' || substr(md5(key || ':' || s), 1, 13))::BIGINT AS h
 w AS (SELECT key, (arg_max(s, (h, -s)) FILTER (WHERE s < {SHARDS}))::INTEGER AS shard, arg_max(s, (h, -s))::INTEGER AS grown_shard FROM s GROUP BY key),
 b AS (SELECT greatest(1, ceil(count(*) / {BUCKET_ROWS * SHARDS}.0)) AS buckets FROM c)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard
-  ORDER BY floor((('0x' || substr(md5(key || ':bucket'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 * buckets), doc_id NULLS FIRST, size, text_crc32) - 1)::BIGINT AS slot, grown_shard
+  ORDER BY floor((('0x' || substr(md5(key || ':' || size || ':' || text_crc32 || ':bucket'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 * buckets), doc_id NULLS FIRST, size, text_crc32) - 1)::BIGINT AS slot, grown_shard
 FROM c JOIN w USING (key), b
 """

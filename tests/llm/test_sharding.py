@@ -65,3 +65,12 @@ def test_a_row_repeated_without_end(spark, monkeypatch):
     found = S.placed(many, weights=(1.0,))
     assert sorted(r["slot"] for r in found.collect()) == list(range(1001))
     assert rows(found.groupBy("doc_id").count()) == [(7, 1000), (8, 1)]
+
+
+def test_one_id_with_many_texts_is_spread(spark):
+    """The null id and one other own all rows; no numbering bucket may hold most of them."""
+    many = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.lit(5).cast("bigint")).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    found = S.placed(many, weights=(1.0,), bucket_rows=100)
+    assert sorted(r["slot"] for r in found.collect()) == list(range(4000))
+    order = found.orderBy("slot").select(F.col("doc_id").isNull().alias("n")).collect()
+    assert sum(a["n"] != b["n"] for a, b in zip(order, order[1:])) > 50  # both ids lie in each of some 40 buckets
