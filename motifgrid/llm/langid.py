@@ -4,19 +4,30 @@ Features are hashed 1- to 3-grams of the text's letters (lower case; everything
 else is one space), as ``(1 + ln tf) * idf``, scaled to length 1. Document
 frequencies are counted over all learnable rows. The weights are learned by
 follow-the-regularised-leader with elastic-net penalties (per coordinate
-rates, exact zeros) on a bounded labelled sample: ``PER_LANG`` rows of a
-language and ``TOTAL`` rows in expectation, of at most ``TRAIN_BYTES``, chosen
-by hash. A fifth of the sample is left out of training and fits one
-temperature, so scores are calibrated probabilities.
+rates, exact zeros) on a bounded labelled sample: ``PER_LANG`` different rows of
+a language and ``TOTAL`` in all in expectation, twice ``TOTAL`` at most (one row
+a language at least), drawn by a hash of the whole row; texts of any length may
+be drawn, since executors send n-gram counts only. All languages are learned.
+A fifth of the sample is left out of training and fits one temperature. Its
+targets are smoothed by one pseudo-count (as in Platt's scaling), so there is a
+least loss at a finite temperature even if every row of that part is right, and
+no score claims more than so many rows can show.
 
 Prediction is narrow and covers whole texts (in pieces of ``PIECE`` characters
 whose counts add up, so memory is bounded).
 
+``accepted`` also asks whether a text is language of the learned kind at all:
+the share of its n-grams that at least one in ``RARE`` learnable rows (and two of
+them) has must reach ``FAMILIAR`` of what the sample's median text has. That
+doesn't depend on how many languages there are, and texts in several known
+languages stay.
+
 Edge cases: null texts and texts without a letter are ``und`` with score 0;
 rows with null language are never learned from; with no learnable row every
-text is ``und``; with one language every text with a letter gets it; repeated
-rows weigh as they come; only the named columns are read, and filtering keeps
-all columns as they are.
+text is ``und``; with one language every text with a letter gets it; rows that
+repeat in all columns read (text, language, key) are one row of the sample but
+count as they come in the document frequencies; only the named columns are
+read, and filtering keeps all columns as they are.
 """
 
 from __future__ import annotations
@@ -28,21 +39,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_batches, id_remainder, map_rows
 
 #: Hash bins of the n-grams.
 BINS = 1 << 15
-#: Sample bound: expected labelled rows of one language, and of all, and the longest text that may be drawn.
-PER_LANG, TOTAL, TRAIN_BYTES = 600, 6000, 1 << 16
-#: Languages learned at most: the most frequent ones.
-LANGS = 256
+#: Sample bound: expected labelled rows of one language, and of all.
+PER_LANG, TOTAL = 600, 6000
 #: Passes over the sample, and the learner's parameters.
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 0.002, 0.01
 #: Characters handled at once.
 PIECE = 1 << 20
-#: Least score that the pipeline accepts: texts in two or three languages are about evenly sure of each, and stay.
-ACCEPT = 0.3
+#: An n-gram is rare if fewer than one in so many learnable rows has it.
+RARE = 1000
+#: Least share of not rare n-grams in an accepted text, against the median text's.
+FAMILIAR = 0.75
 UNKNOWN = "und"
 
 _table: np.ndarray | None = None
@@ -95,6 +107,20 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
+    #: Largest inverse document frequency of an n-gram that isn't rare, and least share of such in an accepted text.
+    common: float = 0.0
+    familiar: float = 0.0
+
+    def known_share(self, bins: np.ndarray, counts: np.ndarray) -> float:
+        """Share of a text's n-grams that aren't rare."""
+        return float(counts[self.idf[bins] <= self.common].sum() / max(1, counts.sum()))
+
+    def accepts(self, text: str | None) -> bool:
+        """Whether a text is in a learned language, as far as its n-grams tell."""
+        if not text or not self.langs:
+            return False
+        bins, counts = ngram_counts(text)
+        return bool(len(bins)) and self.known_share(bins, counts) >= self.familiar
 
     def vector(self, bins: np.ndarray, counts: np.ndarray) -> np.ndarray:
         v = ((1 + np.log(counts)) * self.idf[bins]).astype(np.float32)
@@ -143,60 +169,86 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], n_langs: int, epochs: i
 
 
 def calibrate(logits: np.ndarray, y: np.ndarray) -> float:
-    """The temperature of least log loss, by a search over ever finer grids."""
-
-    def loss(t: float) -> float:
-        s = logits / t
+    """The temperature of least log loss against smoothed targets, inside its bracket.
+
+    Of N rows, a target is (N + 1) / (N + 2) for the row's class; the others
+    share the rest. Logits that say nothing, or worse than nothing, have no least
+    loss: then the temperature is the largest one tried.
+    """
+    n, k = logits.shape
+    top = (n + 1) / (n + 2)
+    target = np.full((n, k), (1 - top) / max(1, k - 1))
+    target[np.arange(n), y] = top
+
+    def loss(g: float) -> float:
+        s = logits / np.exp(g)
         s = s - s.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]).mean())
+        return float((np.log(np.exp(s).sum(axis=1)) - (target * s).sum(axis=1)).mean())
 
     low, high = -3.0, 3.0
-    for _ in range(5):
-        grid = np.linspace(low, high, 13)
-        best = grid[int(np.argmin([loss(float(np.exp(g))) for g in grid]))]
-        step = grid[1] - grid[0]
-        low, high = best - step, best + step
-    return float(np.exp(best))
+    while high < 24:  # widen until the least value lies inside
+        grid = np.linspace(low, high, 25)
+        at = int(np.argmin([loss(g) for g in grid]))
+        if 0 < at < 24:
+            break
+        low, high = low - 3, high + 3
+    step = grid[1] - grid[0]
+    low, high = grid[at] - step, grid[at] + step
+    for _ in range(40):
+        a, b = low + 0.382 * (high - low), low + 0.618 * (high - low)
+        low, high = (low, b) if loss(a) <= loss(b) else (a, high)
+    return float(np.exp((low + high) / 2))
 
 
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", key: Column | None = None, per_lang: int = PER_LANG, total: int = TOTAL) -> Model:
-    """Learn from all given rows' text and non-null language; ``key`` orders the sample (default: the text)."""
+    """Learn from all given rows' text and non-null language; the sample is drawn by ``key`` (default: all columns) with text."""
     rows = rows.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    key = F.col(text_col) if key is None else key
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), key.alias("key"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
+    keys = [F.col(f"`{c}`") for c in rows.columns if not _maplike(rows.schema[c].dataType)] if key is None else [key]
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(*keys, F.col(text_col)).alias("key"))
+    # different rows of each language; one row for each language comes to the driver
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).collect()}
     if not sizes:
         return Model([], np.zeros(BINS), np.zeros((BINS, 0), np.float32), np.zeros(0, np.float32))
-    langs = sorted(r["lang"] for r in sizes)
-    idf = _idf(rows.select("text"))
+    langs = sorted(sizes)
+    idf, n = _idf(rows.select("text"))
     each = min(per_lang, max(1, total // len(langs)))
-    share = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, each / r["count"]))]), F.col("lang"))
+    shares = rows.sparkSession.createDataFrame([(x, min(1.0, each / max(1, n))) for x, n in sizes.items()], "lang string, share double")
     draw = F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = rows.filter(F.col("lang").isin(langs)).filter((draw < share) & (F.octet_length("text") <= TRAIN_BYTES)).select("lang", "text", F.pmod(F.xxhash64("key", F.lit("part")), F.lit(5)).alias("part"))
+    drawn = rows.withColumn("draw", draw).join(F.broadcast(shares), "lang").filter("draw < share").drop("share")  # one row for each language
+    drawn = drawn.distinct().orderBy("draw", "key").limit(2 * max(total, len(langs)))
+    chosen = drawn.select("lang", "text", F.pmod(F.xxhash64("key", F.lit("part")), F.lit(5)).alias("part"))
 
     def make():
         def run(columns):
             found = [ngram_counts(x) for x in columns[1]]
-            return [columns[0], columns[2], [b.astype("<i4").tobytes() for b, _ in found], [c.astype("<i4").tobytes() for _, c in found]]
+            return [columns[0], columns[2], [b.astype("<u2").tobytes() for b, _ in found], [c.astype("<u4").tobytes() for _, c in found]]
 
         return run
 
     sample = map_rows(chosen, make, "lang string, part bigint, bins binary, counts binary").collect()
     sample.sort(key=lambda r: (r["lang"], r["part"], r["bins"], r["counts"]))  # row order must not matter
     model = Model(langs, idf, np.zeros((BINS, len(langs)), np.float32), np.zeros(len(langs), np.float32))
+    model.common = float(np.log((1 + n) / (1 + max(2, n / RARE))) + 1 + 1e-9)
     number = {x: k for k, x in enumerate(langs)}
-    made = [(b := np.frombuffer(r["bins"], "<i4"), model.vector(b, np.frombuffer(r["counts"], "<i4")), number[r["lang"]], r["part"]) for r in sample if r["bins"]]
+    read = [(np.frombuffer(r["bins"], "<u2").astype(np.int32), np.frombuffer(r["counts"], "<u4").astype(np.int64), number[r["lang"]], r["part"]) for r in sample if r["bins"]]
+    made = [(b, model.vector(b, c), y, part) for b, c, y, part in read]
     train = [x[:3] for x in made if x[3] != 0] or [x[:3] for x in made]
     if train:
         model.weights, model.bias = ftrl(train, len(langs))
+        model.familiar = FAMILIAR * float(np.median([model.known_share(b, c) for b, c, _, _ in read]))
     held = [x for x in made if x[3] == 0]
     if held and len(langs) > 1:
         model.temperature = calibrate(np.stack([v @ model.weights[b] + model.bias for b, v, _, _ in held]), np.array([x[2] for x in held]))
     return model
 
 
-def _idf(texts: DataFrame) -> np.ndarray:
-    """Smoothed inverse document frequencies over all rows; each task sends one count for each bin."""
+def _maplike(kind: T.DataType) -> bool:
+    """Whether a column's type can't be hashed."""
+    return "map<" in kind.simpleString() or "variant" in kind.simpleString()
+
+
+def _idf(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """Smoothed inverse document frequencies over all rows, and their number; each task sends one count for each bin."""
     bounded_batches(texts.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +265,7 @@ def _idf(texts: DataFrame) -> np.ndarray:
     df = np.zeros(BINS + 1)
     for r in found:
         df[r["bin"]] = r["n"]
-    return np.log((1 + df[BINS]) / (1 + df[:BINS])) + 1
+    return np.log((1 + df[BINS]) / (1 + df[:BINS])) + 1, int(df[BINS])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,15 +283,14 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return map_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), make, f"doc_id {kind}, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, model: Model, text_col: str = "text", least: float = ACCEPT) -> DataFrame:
-    """``docs`` without the rows whose language is unknown or less sure than ``least``; columns unchanged."""
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text isn't in a learned language; columns unchanged."""
     bounded_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.predict(x) for x in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+            yield batch.filter(pa.array([shared.value.accepts(x) for x in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
