@@ -7,18 +7,22 @@ filter is max-pooled over a chunk, and the chunks' maxima are combined by their
 mean and their maximum over the whole document into one logistic output. Every
 byte takes part; long texts are read in pieces, so memory stays bounded.
 
-Learning: Adam on a bounded sample, ``PER_CLASS`` labelled rows of each class
-in expectation (chosen by hash of the text, texts of at most ``TRAIN_BYTES``),
-with gradients flowing through the maxima alone and both classes weighing the
-same; the bias then takes up the class shares of all labels.
+Learning: Adam on a bounded sample of labelled rows, ``PER_CLASS`` different
+ones of each class in expectation and ``2 * PER_CLASS`` each at most (drawn by
+hash of the id, texts of at most ``TRAIN_BYTES``), with gradients flowing through
+the maxima alone and both classes weighing the same; the bias then takes up the
+class shares of all labels. A fifth of the sample only validates: of the epochs,
+the one with the least loss on that fifth is kept. Nothing is chosen by any
+other row.
 
 Scoring adds byte-pair tables of the filters (two offsets in one lookup), so a
 byte costs ``WIDTH / 2`` gathers. Narrow: one pass, no shuffle.
 
 Edge cases: null and empty texts are one chunk of padding and get its score;
 without labels of both classes the score is the share of label 1 (one half
-without any); labels other than 0 and 1 are ignored; rows repeated in either
-table count as often as they join; only the named columns are read.
+without any); labels other than 0 and 1 are ignored; an id with both labels is
+an example of each; rows repeated in either table are one example; only the
+named columns are read.
 """
 
 from __future__ import annotations
@@ -37,8 +41,10 @@ STRIDE = CHUNK // 2
 #: Sample bound: expected labelled rows of each class, and the longest text that may be drawn.
 PER_CLASS, TRAIN_BYTES = 1000, 1 << 16
 EPOCHS, BATCH, RATE = 6, 32, 0.01
-#: Least number of texts shown in training: small samples are passed over more often.
+#: Texts shown in training at least: small samples may be passed over more often; validation picks the epoch.
 SHOWN = 12_000
+#: One in so many sampled rows validates.
+VALIDATE = 5
 #: Bytes handled at once; a multiple of the stride.
 PIECE = 1 << 19
 #: Score from which the label is predicted.
@@ -108,7 +114,9 @@ def train(texts: list[str], labels: list[int], epochs: int | None = None, seed:
     """Fit on whole texts; Adam over mini-batches, gradients through the pooled places.
 
     Both classes weigh the same; ``prior``, the share of label 1 among all
-    labels (default: among the given ones), then sets the bias.
+    labels (default: among the given ones), then sets the bias. Unless the
+    number of epochs is given, every ``VALIDATE``-th text of each class is left
+    out of the gradients and picks the epoch.
     """
     net, r = fresh(seed), np.random.default_rng(seed)
     share = float(np.mean(labels)) if labels else 0.5
@@ -116,7 +124,11 @@ def train(texts: list[str], labels: list[int], epochs: int | None = None, seed:
         flat = Net(np.zeros_like(net.filters), net.bias, np.zeros_like(net.out), 0.0)
         flat.out_bias = float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)).clip(-8, 8))
         return flat
-    epochs = max(EPOCHS, -(-SHOWN // len(texts))) if epochs is None else epochs
+    checked: list[int] = []
+    if epochs is None:
+        epochs = max(EPOCHS, -(-SHOWN // len(texts)))
+        checked = [k for y in (0, 1) for k in r.permutation([j for j, z in enumerate(labels) if z == y])[VALIDATE - 1 :: VALIDATE].tolist()]
+    shown = np.array(sorted(set(range(len(texts))) - set(checked)))
     weight, prior = (0.5 / (1 - share), 0.5 / share), share if prior is None else prior
     data = []
     for text in texts:
@@ -128,8 +140,9 @@ def train(texts: list[str], labels: list[int], epochs: int | None = None, seed:
     net.filters = net.filters.astype(np.float32)
     held = {"filters": net.filters, "bias": net.bias, "out": net.out, "out_bias": np.zeros(1)}
     first, second, step = {k: np.zeros_like(v) for k, v in held.items()}, {k: np.zeros_like(v) for k, v in held.items()}, 0
+    best = None
     for epoch in range(epochs):
-        order = r.permutation(len(data))
+        order = r.permutation(shown)
         rate = RATE * (1 - epoch / epochs)
         for start in range(0, len(order), BATCH):
             grads = {k: np.zeros_like(v) for k, v in held.items()}
@@ -165,22 +178,32 @@ def train(texts: list[str], labels: list[int], epochs: int | None = None, seed:
                 first[name] = 0.9 * first[name] + 0.1 * g
                 second[name] = 0.99 * second[name] + 0.01 * g * g
                 value -= (rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-7)).astype(value.dtype)
-    net.out_bias = float(held["out_bias"][0] + np.log(prior / (1 - prior)))
-    return Net(net.filters, net.bias, net.out, net.out_bias)
+        if checked:
+            now = Net(net.filters.copy(), net.bias.copy(), net.out.copy(), float(held["out_bias"][0]))
+            logits = np.array([now.features(texts[k].encode("utf-8", "replace")) @ now.out + now.out_bias for k in checked])
+            y = np.array([labels[k] for k in checked])
+            loss = float((np.logaddexp(0, np.where(y == 1, -logits, logits)) * np.where(y == 1, weight[1], weight[0])).mean())
+            if best is None or loss < best[0]:
+                best = loss, now
+    kept = best[1] if best else Net(net.filters, net.bias, net.out, float(held["out_bias"][0]))
+    kept.out_bias = float(kept.out_bias + np.log(prior / (1 - prior)))
+    kept.pairs = None
+    return kept
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn: Column | None = None, per_class: int = PER_CLASS) -> Net:
     """Learn from documents that have a label; ``learn`` (of the labels' columns) says which rows may be used."""
     marked = labels if learn is None else labels.filter(learn)
-    marked = marked.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y")).filter("__id IS NOT NULL AND y IN (0, 1)")
+    marked = marked.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y")).filter("__id IS NOT NULL AND y IN (0, 1)").distinct()
     sizes = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
     if not sizes:
         return train([], [])
     share = F.when(F.col("y") == 1, F.lit(min(1.0, per_class / sizes.get(1, 1)))).otherwise(F.lit(min(1.0, per_class / sizes.get(0, 1))))
     draw = F.pmod(F.xxhash64("__id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = marked.filter(draw < share)  # bounded by per_class, hence a safe broadcast
+    # no id twice with a label, and a limit: at most 4 * per_class rows, hence a safe broadcast
+    chosen = marked.withColumn("draw", draw).filter(F.col("draw") < share).orderBy("draw", "__id", "y").limit(4 * per_class)
     read = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).filter(F.octet_length("text") <= TRAIN_BYTES)
-    rows = read.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("text", "y").collect()
+    rows = read.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("text", "y", "draw").distinct().orderBy("draw", "text", "y").limit(4 * per_class).collect()
     rows.sort(key=lambda r: (r["text"], r["y"]))  # row order must not matter
     prior = sizes.get(1, 0) / sum(sizes.values())
     return train([r["text"] for r in rows], [r["y"] for r in rows], prior=prior if 0 < prior < 1 else None)

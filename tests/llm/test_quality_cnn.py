@@ -64,3 +64,43 @@ def test_edge_rows(spark, docs, clashing, nothing):
     assert Q.score(docs, Q.fit(docs, labels.limit(0))).select("score").distinct().collect()[0][0] == 0.5
     assert Q.fit(docs, labels.filter("quality = 1")).score("anything") > 0.99
     assert Q.score(nothing, Q.fit(nothing, labels)).count() == 0
+
+
+def brute_score(net, text):
+    """Features place by place and the logistic output, with plain sums."""
+    f = brute_features(net, text)
+    return 1 / (1 + np.exp(-(sum(float(a) * float(b) for a, b in zip(f, net.out)) + net.out_bias)))
+
+
+def test_query_against_brute_force(spark, real):
+    """The registered query's score and label of every document, made again from the learned weights byte by byte."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    net = Q.fit(real, labels, learn=Q_learn())
+    found = {r["doc_id"]: r for r in queries.op4_quality(spark, "/root/testdata/sf0.001").collect()}
+    for r in sorted(real.collect(), key=lambda r: len(r["text"] or ""))[:60]:
+        want = brute_score(net, r["text"] or "")
+        assert abs(found[r["doc_id"]]["score"] - want) < 1e-4
+        assert found[r["doc_id"]]["predicted"] == int(found[r["doc_id"]]["score"] >= 0.7)
+
+
+def Q_learn():
+    from motifgrid.llm.common import id_remainder
+
+    return id_remainder("doc_id") != 2
+
+
+def test_held_out_labels_steer_nothing(spark, real):
+    """Turning every label that may not be learned from changes no weight."""
+    from pyspark.sql import functions as F
+
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    turned = labels.withColumn("quality", F.when(Q_learn(), F.col("quality")).otherwise(1 - F.col("quality")))
+    a, b = (Q.fit(real, x, learn=Q_learn()) for x in (labels, turned))
+    assert np.array_equal(a.filters, b.filters) and np.array_equal(a.out, b.out) and a.out_bias == b.out_bias
+
+
+def test_repeated_labels_and_rows_stay_bounded(spark):
+    docs = spark.range(3000).selectExpr("1L AS doc_id", "concat('text ', id % 50) AS text").unionByName(spark.range(2, 60).selectExpr("id AS doc_id", "concat('%%', id) AS text"))
+    labels = spark.range(5000).selectExpr("1L AS doc_id", "1 AS quality").unionByName(spark.range(2, 60).selectExpr("id AS doc_id", "0 AS quality"))
+    net = Q.fit(docs, labels, per_class=100)
+    assert net.score("text 7") > net.score("%%7")
