@@ -3,17 +3,21 @@
 A text gets the dummy prefix, blanks become the space sign, and the merges of
 the model's pieces run as an agenda: of all adjacent pairs whose join is a
 piece, the best score goes first, ties from the left. With dropout, a candidate
-is skipped when its keyed hash falls under ``dropout``; the key is (seed,
-variant, chunk, place of the left symbol, left piece, right piece), so results
-repeat exactly and don't depend on order, batch or machine. Each chunk
-occurrence draws one of ``VARIANTS`` variants by a keyed hash of the text and
-the chunk's place in it, so the same word is cut differently across a text.
+is skipped when its keyed hash falls under ``dropout``. The key is (seed, whole
+text, place of the chunk in the text, number of the candidate): a chunk's
+candidates are numbered as the agenda meets them (the first pairs from the left,
+then after each merge the new pair to the right and the new pair to the left).
+So every occurrence of a word draws for itself, results repeat exactly, and
+nothing depends on order, batch or machine.
 
 No piece of the model has a space sign after another character (checked when
 the model is read), so chunks (blanks and the non-blanks after them) never
-interact and are encoded once for each variant: a batch's new chunks run
-together in numpy, one merge of every chunk a round; long chunks run a heap.
-Both follow the same agenda.
+interact. A chunk's pieces are a function of the chunk and of the draws that its
+agenda takes, so they are remembered under exactly those draws: common words with
+none, one or two skips are looked up, everything else runs. A batch's new cases
+run together in numpy, one merge of every chunk a round; long chunks run a heap.
+Both follow the same agenda. The memory is bounded in bytes; forgetting changes
+no result.
 
 Characters outside the model become byte pieces, as does a literal space sign,
 so decoding gives back every text, byte for byte.
@@ -38,14 +42,17 @@ from pyspark.sql import functions as F
 from .common import map_rows, whole
 
 SPACE = "▁"
-#: Segmentations of a chunk that occur beside each other.
-VARIANTS = 4
 DROPOUT, SEED = 0.1, 20
 #: Chunks longer than this run alone on a heap.
 LONG = 48
-#: Chunks remembered by a worker.
-REMEMBERED = 400_000
+#: Bytes, about, that a worker remembers chunks in.
+REMEMBERED = 64 << 20
+#: Draws of a chunk that a remembered case may depend on.
+DRAWS = 32
+#: Chunks handled at once, and characters of a text cut into chunks at once.
+AT_ONCE, PIECE = 100_000, 1 << 20
 _CHUNK = re.compile(r"[ ]+[^ ]*|[^ ]+")
+_START = re.compile(r"(?<=[^ ])[ ]")
 _M = (1 << 64) - 1
 _C = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -62,6 +69,32 @@ def _mix_all(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+def limit_of(dropout: float) -> int:
+    """Candidates whose 16 hash bits are below this are skipped."""
+    return round(dropout * 65536)
+
+
+def skipped(key: int, number: int, limit: int) -> bool:
+    """Whether the candidate of that number is skipped under an occurrence's key; a hash serves four numbers."""
+    return (_mix((key + ((number >> 2) + 1) * _C[0]) & _M) >> 16 * (number & 3)) & 0xFFFF < limit
+
+
+def skipped_all(key: np.ndarray, number: np.ndarray, limit: int) -> np.ndarray:
+    """The same for arrays."""
+    h = _mix_all(key + ((number >> 2) + 1).astype(np.uint64) * np.uint64(_C[0]))
+    return (h >> ((number & 3) * 16).astype(np.uint64) & np.uint64(0xFFFF)) < np.uint64(limit)
+
+
+def first_draws(key: np.ndarray, limit: int) -> np.ndarray:
+    """The first ``DRAWS`` draws of each key as bits, number 0 lowest."""
+    steps = np.arange(1, DRAWS // 4 + 1, dtype=np.uint64) * np.uint64(_C[0])
+    out = np.empty(len(key), np.uint32)
+    for at in range(0, len(key), 1 << 14):
+        h = _mix_all(key[at : at + (1 << 14), None] + steps)
+        out[at : at + (1 << 14)] = np.packbits(h.view("<u2") < limit, axis=1, bitorder="little").view("<u4")[:, 0]
+    return out
+
+
 class Codec:
     """One model's pieces and merges."""
 
@@ -124,7 +157,6 @@ class Codec:
             while self.slots[a] >= 0:
                 a, step = a + 1, step + 1
             self.slots[a], self.joins[a], self.steps = k, self.merge[k], max(self.steps, step)
-        self.mixed = _mix_all(self.slots.astype(np.uint64) ^ np.uint64(_C[0]))
         self.order = (self.rank[self.joins] << 8).astype(self.kind)  # of the join, ready to take a place below it
         self.slots, self.joins = self.slots.astype(self.kind), self.joins.astype(self.kind)
 
@@ -161,15 +193,17 @@ class Codec:
 
     def heap(self, symbols: list[int], key: int, dropout: float) -> list[int]:
         """The agenda for one chunk, on a heap."""
-        limit, n = int(dropout * 2**64), self.size
+        limit, n, number = limit_of(dropout), self.size, 0
         sym, left, right = list(symbols), list(range(-1, len(symbols) - 1)), [*range(1, len(symbols)), -1]
         agenda: list[tuple[int, int, int, int, int]] = []
 
         def put(i: int):
+            nonlocal number
             j = right[i]
             if j < 0 or (k := self.merge.get(sym[i] * n + sym[j])) is None:
                 return
-            if limit and _mix(key ^ (i * _C[0] & _M) ^ _mix((sym[i] * n + sym[j]) ^ _C[0])) < limit:
+            number += 1
+            if limit and skipped(key, number - 1, limit):
                 return
             heapq.heappush(agenda, (int(self.rank[k]), i, sym[i], sym[j], k))
 
@@ -202,46 +236,66 @@ class Codec:
         np.add.at(lengths, np.searchsorted(np.cumsum(lengths), odd, side="right"), count - 1)
         return sym, lengths
 
-    def batch(self, sym: np.ndarray, lengths: np.ndarray, key: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+    def batch(self, sym: np.ndarray, lengths: np.ndarray, key: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The agenda for many chunks: each round merges the best candidate of every chunk.
 
         Takes the symbols in a row, the chunks' lengths (1 to 255) and keys;
-        returns the pieces in a row and the chunks' piece counts.
+        returns the pieces in a row, the chunks' piece counts and the draws that
+        each chunk took.
         """
-        n, limit, many, kind = self.kind(self.size), int(dropout * 2**64), len(lengths), self.kind
+        n, limit, many, kind = self.kind(self.size), limit_of(dropout), len(lengths), self.kind
         of = np.repeat(np.arange(many, dtype=np.int32), lengths)
-        place = (np.arange(len(sym)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(kind)
-        sym, done = sym.astype(kind), []
-        none = np.iinfo(kind).max
-        while len(sym):
-            inner = np.flatnonzero(of[1:] == of[:-1])
-            code = sym[inner] * n + sym[inner + 1]
-            slot = self.lookup(code)
-            ok = slot >= 0
-            inner, slot = inner[ok], slot[ok]
+        starts = np.cumsum(lengths) - lengths
+        place = (np.arange(len(sym)) - np.repeat(starts, lengths)).astype(kind)
+        sym, done, drawn = sym.astype(kind), [], np.zeros(many, np.int64)
+
+        def candidates(at: np.ndarray, number: np.ndarray | None) -> np.ndarray:
+            """Slots of the pairs that begin at ``at`` (-1: none, or skipped); ``number`` is that of each, default the next of its chunk."""
+            slot = self.lookup(sym[at] * n + sym[at + 1])
+            ok = np.flatnonzero(slot >= 0)
+            own = of[at[ok]]
+            if number is None:  # one pair a chunk
+                mine = drawn[own]
+                drawn[own] += 1
+            else:
+                mine = np.arange(len(ok)) - np.searchsorted(own, own)  # pairs come chunk by chunk
+                drawn[:] = np.bincount(own, minlength=many)
             if limit:
-                drawn = _mix_all(key[of[inner]] ^ place[inner].astype(np.uint64) * np.uint64(_C[0]) ^ self.mixed[slot])
-                ok = drawn >= np.uint64(limit)
-                inner, slot = inner[ok], slot[ok]
+                slot[ok[skipped_all(key[own], mine, limit)]] = -1
+            return slot
+
+        slot = np.full(len(sym), -1, np.int64)
+        inner = np.flatnonzero(of[1:] == of[:-1])
+        slot[inner] = candidates(inner, np.zeros(0))
+        while len(sym):
+            at = np.flatnonzero(slot >= 0)
             # rank first, then place: the least value is the agenda's head
-            order = self.order[slot] | place[inner]
-            owner = of[inner]
-            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
-            best = np.full(many, none, kind)
-            if len(starts):
-                best[owner[starts]] = np.minimum.reduceat(order, starts)
-            over = best[of] == none
+            order, owner = self.order[slot[at]] | place[at], of[at]
+            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(at) else np.zeros(0, np.int64)
+            going = np.zeros(many, bool)
+            going[owner[first]] = True
+            over = ~going[of]
             if over.any():
                 done.append((of[over].astype(np.int64) << 8 | place[over], sym[over]))
-            head = order == best[owner]
+            if not len(at):
+                break
+            best = np.minimum.reduceat(order, first)
+            head = at[order == np.repeat(best, np.diff(np.r_[first, len(at)]))]
+            sym[head] = self.joins[slot[head]]
             keep = ~over
-            sym[inner[head]] = self.joins[slot[head]]
-            keep[inner[head] + 1] = False
-            sym, of, place = sym[keep], of[keep], place[keep]
+            keep[head + 1] = False
+            head = (np.cumsum(keep) - 1)[head]
+            sym, of, place, slot = sym[keep], of[keep], place[keep], slot[keep]
+            slot[head] = -1
+            right = head[np.r_[of[1:] == of[:-1], False][head]] if len(of) else head
+            slot[right] = candidates(right, None)
+            left = head[head > 0]
+            left = left[of[left - 1] == of[left]] - 1
+            slot[left] = candidates(left, None)
         if not done:
-            return np.zeros(0, np.int32), np.zeros(many, np.int64)
+            return np.zeros(0, np.int32), np.zeros(many, np.int64), drawn
         at, sym = (np.concatenate(x) for x in zip(*done))
-        return sym[np.argsort(at)].astype(np.int32), np.bincount(at >> 8, minlength=many)
+        return sym[np.argsort(at)].astype(np.int32), np.bincount(at >> 8, minlength=many), drawn
 
     def decode_bytes(self, ids) -> bytes:
         """The UTF-8 bytes of a list of pieces, without the dummy prefix."""
@@ -253,59 +307,116 @@ class Codec:
 
 
 class Encoder:
-    """Encodes texts, remembering chunks already seen."""
+    """Encodes texts, remembering chunks already seen.
 
-    def __init__(self, codec: Codec, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    ``known`` has a case for each chunk: its pieces' bytes if they depend on no
+    draw, else a branch ``(mask, {draws under the mask: case})``; a case inside a
+    branch looks at more draws than the branch.
+    """
+
+    def __init__(self, codec: Codec, dropout: float = DROPOUT, seed: int = SEED):
         self.codec, self.dropout, self.seed = codec, dropout, seed
-        self.variants = variants if dropout else 1
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-
-    def _draw(self, text: str, n: int) -> list[int]:
-        """The variant of each chunk of a text."""
-        if self.variants == 1:
-            return [0] * n
-        base = np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed))
-        return (_mix_all(base + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_C[0])) % np.uint64(self.variants)).tolist()
-
-    def _learn(self, new: list[set[str]]) -> None:
-        """Encode chunks that aren't known yet; ``new`` has a set for each variant."""
-        if sum(map(len, self.known)) + sum(map(len, new)) > REMEMBERED:
-            self.known = [{} for _ in range(self.variants)]
-        digest = xxhash.xxh64_intdigest
-        for v, chunks in enumerate(new):
-            known, seed = self.known[v], self.seed * self.variants + v
-            short = []
-            for c in chunks:
-                if len(c) <= LONG:
-                    short.append(c)
+        self.limit = limit_of(dropout)
+        self.known: dict[str, bytes | tuple[int, dict]] = {}
+        self.bytes = 0
+
+    def find(self, chunk: str, draws: int) -> bytes | None:
+        case = self.known.get(chunk)
+        while type(case) is tuple:
+            case = case[1].get(draws & case[0])
+        return case
+
+    def _place(self, chunk: str, draws: int):
+        """Where a lacking case would be kept: lacking chunks with the same place may have the same pieces."""
+        case, place = self.known.get(chunk), chunk
+        while type(case) is tuple:
+            place = (chunk, case[0], draws & case[0])
+            case = case[1].get(place[2])
+        return place
+
+    def _remember(self, chunk: str, draws: int, used: int, pieces: bytes) -> None:
+        """Keep the pieces under the first ``used`` draws."""
+        mask, holder, key = (1 << used) - 1, self.known, chunk
+        while type(case := holder.get(key)) is tuple:
+            holder, key = case[1], draws & case[0]
+            if mask & ~case[0] == 0:  # the branch looks at all draws that matter
+                mask = 0
+                break
+        holder[key] = (mask, {draws & mask: pieces}) if mask else pieces
+        self.bytes += 400 + len(chunk) + len(pieces)
+
+    def _run(self, chunks: list[str], keys: np.ndarray) -> tuple[list[bytes], list[int]]:
+        """The agenda of each chunk under its key: pieces and draws taken (more than can be kept, for long ones)."""
+        out: list[bytes] = [b""] * len(chunks)
+        used = [DRAWS + 1] * len(chunks)
+        short = [k for k, c in enumerate(chunks) if len(c) <= LONG]
+        for k, c in enumerate(chunks):
+            if len(c) > LONG:
+                out[k] = np.array(self.codec.heap(self.codec.symbols(c), int(keys[k]), self.dropout), np.int32).tobytes()
+        for at in range(0, len(short), 50_000):
+            part = short[at : at + 50_000]
+            sym, lengths = self.codec.flat_symbols([chunks[k] for k in part])
+            pieces, counts, drawn = self.codec.batch(sym, lengths, keys[part], self.dropout)
+            raw, ends = pieces.tobytes(), (4 * np.cumsum(counts)).tolist()
+            for k, a, b, d in zip(part, [0, *ends], ends, drawn.tolist()):
+                out[k], used[k] = raw[a:b], d if self.limit else 0
+        return out, used
+
+    def _pieces(self, chunks: list[str], keys: np.ndarray) -> list[bytes]:
+        """The pieces of chunks under their keys."""
+        if self.bytes > REMEMBERED:
+            self.known, self.bytes = {}, 0
+        draws = first_draws(keys, self.limit).tolist() if self.limit else [0] * len(chunks)
+        got = list(map(self.find, chunks, draws))
+        lacking, alone = [k for k, x in enumerate(got) if x is None], set()
+        while lacking:
+            first: dict = {}
+            for k in lacking:
+                c = chunks[k]
+                first.setdefault(k if len(c) > LONG or c in alone else self._place(c, draws[k]), k)
+            run = list(first.values())
+            for k, pieces, used in zip(run, *self._run([chunks[k] for k in run], keys[run])):
+                got[k] = pieces
+                if used <= DRAWS:
+                    self._remember(chunks[k], draws[k], used, pieces)
                 else:
-                    known[c] = np.array(self.codec.heap(self.codec.symbols(c), digest(c.encode("utf-8", "surrogatepass"), seed), self.dropout), np.int32).tobytes()
-            for at in range(0, len(short), 50_000):
-                part = short[at : at + 50_000]
-                keys = np.array([digest(c.encode("utf-8", "surrogatepass"), seed) for c in part], np.uint64)
-                sym, lengths = self.codec.flat_symbols(part)
-                pieces, counts = self.codec.batch(sym, lengths, keys, self.dropout)
-                raw, ends = pieces.tobytes(), (4 * np.cumsum(counts)).tolist()
-                known.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+                    alone.add(chunks[k])
+            for k in lacking:
+                if got[k] is None:
+                    got[k] = self.find(chunks[k], draws[k])
+            lacking = [k for k in lacking if got[k] is None]
+        return got
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The pieces of each text."""
-        cut, new, known = [], [set() for _ in self.known], self.known
-        for text in texts:
-            chunks = _CHUNK.findall(" " + text) if text else []
-            drawn = self._draw(text, len(chunks))
-            got = [known[v].get(c) for v, c in zip(drawn, chunks)]
-            lacking = [k for k, x in enumerate(got) if x is None]
-            for k in lacking:
-                new[drawn[k]].add(chunks[k])
-            cut.append((chunks, drawn, got, lacking))
-        if any(new):
-            self._learn(new)
-        known = self.known
-        for chunks, drawn, got, lacking in cut:
-            for k in lacking:
-                got[k] = known[drawn[k]][chunks[k]]
-        return [np.frombuffer(b"".join(got), np.int32) for _, _, got, _ in cut]
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, list[str], np.ndarray]] = []
+
+        def flush():
+            got, at = self._pieces([c for _, own, _ in held for c in own], np.concatenate([k for _, _, k in held])), 0
+            for i, own, _ in held:
+                out[i].append(b"".join(got[at : at + len(own)]))
+                at += len(own)
+            held.clear()
+
+        waiting = 0
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            base, place = np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed)), 1
+            text, at = " " + text, 0
+            while at < len(text):
+                start = _START.search(text, at + PIECE) if len(text) > at + PIECE else None
+                end = start.start() if start else len(text)
+                own = _CHUNK.findall(text, at, end)
+                held.append((i, own, _mix_all(base + np.arange(place, place + len(own), dtype=np.uint64) * np.uint64(_C[2]))))
+                at, place, waiting = end, place + len(own), waiting + len(own)
+                if waiting >= AT_ONCE:
+                    flush()
+                    waiting = 0
+        if held:
+            flush()
+        return [np.frombuffer(b"".join(x), np.int32) for x in out]
 
 
 _codecs: dict[str, Codec] = {}

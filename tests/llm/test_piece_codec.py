@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
 import sentencepiece
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -21,20 +23,24 @@ def codec():
 
 
 def brute(codec, chunk, key, dropout):
-    """The agenda by looking at every pair again and again."""
-    sym = list(enumerate(codec.symbols(chunk)))
+    """The agenda by looking at every pair again and again; a pair draws once, when it first stands there."""
+    sym, drawn = [(i, a) for i, a in enumerate(codec.symbols(chunk))], {}
+
+    def meet(at):
+        if 0 <= at < len(sym) - 1 and (k := codec.merge.get(sym[at][1] * codec.size + sym[at + 1][1])) is not None:
+            n = len(drawn)
+            h = P._mix((key + (n // 4 + 1) * P._C[0]) & P._M)
+            drawn[sym[at], sym[at + 1]] = None if (h >> 16 * (n % 4)) % 65536 < round(dropout * 65536) else k
+
+    for at in range(len(sym) - 1):
+        meet(at)
     while True:
-        best = None
-        for (i, a), (_, b) in zip(sym, sym[1:]):
-            k = codec.merge.get(a * codec.size + b)
-            if k is None or dropout and P._mix(key ^ (i * P._C[0] & P._M) ^ P._mix((a * codec.size + b) ^ P._C[0])) < int(dropout * 2**64):
-                continue
-            if best is None or (codec.rank[k], i) < best[:2]:
-                best = (codec.rank[k], i, k)
+        best = min(((codec.rank[k], at, k) for at in range(len(sym) - 1) if (k := drawn.get((sym[at], sym[at + 1]))) is not None), default=None)
         if best is None:
             return [s for _, s in sym]
-        at = [i for i, _ in sym].index(best[1])
-        sym[at : at + 2] = [(best[1], best[2])]
+        sym[best[1] : best[1] + 2] = [(sym[best[1]][0], best[2])]
+        meet(best[1])
+        meet(best[1] - 1)
 
 
 def test_without_dropout_the_pieces_are_the_library_s(codec, real):
@@ -52,7 +58,7 @@ def test_batch_heap_and_brute_force_agree(codec, dropout):
     want = [brute(codec, c, k, dropout) for c, k in zip(chunks, keys)]
     assert [codec.heap(codec.symbols(c), k, dropout) for c, k in zip(chunks, keys)] == want
     sym, lengths = codec.flat_symbols(chunks)
-    pieces, counts = codec.batch(sym, lengths, np.array(keys, np.uint64), dropout)
+    pieces, counts, _ = codec.batch(sym, lengths, np.array(keys, np.uint64), dropout)
     assert [x.tolist() for x in np.split(pieces, np.cumsum(counts)[:-1])] == want
 
 
@@ -78,12 +84,40 @@ def test_dropout_varies_and_repeats(codec):
 def test_forgetting_changes_nothing(codec, monkeypatch):
     texts = [f"word{k} word{k + 1} the same the same" for k in range(60)]
     want = [x.tolist() for x in P.Encoder(codec).encode(texts)]
-    monkeypatch.setattr(P, "REMEMBERED", 20)
+    monkeypatch.setattr(P, "REMEMBERED", 2000)
     small = P.Encoder(codec)
     assert [small.encode([t])[0].tolist() for t in texts] == want
     assert [x.tolist() for x in small.encode(texts)] == want
 
 
+def test_every_occurrence_draws_for_itself(codec):
+    """Whole texts against the agenda of each chunk by itself; a word has far more segmentations than any small number."""
+    draw = random.Random(4)
+    words = ["internationalisation", "the", "of", "a", "understanding", "x" * 60, "é龘▁", "straightforwardness" * 2]
+    texts = [" ".join(draw.choice(words) for _ in range(400)) + "  " for _ in range(12)]
+    encoder = P.Encoder(codec, 0.2)
+    for _ in range(2):  # also with everything remembered
+        for text, found in zip(texts, encoder.encode(texts)):
+            base, want = xxhash.xxh64_intdigest(text.encode(), P.SEED), []
+            for k, chunk in enumerate(re.findall(r" +[^ ]*|[^ ]+", " " + text), 1):
+                want += brute(codec, chunk, P._mix((base + k * P._C[2]) & P._M), 0.2)
+            assert found.tolist() == want
+    cuts = set()
+    for k in range(300):
+        ids = encoder.encode([f"{k} internationalisation"])[0].tolist()
+        cuts.add(tuple(codec.out[i] for i in ids)[-5:])
+    assert len(cuts) > 60
+
+
+def test_long_texts_in_parts(codec, monkeypatch):
+    texts = ["  the  quick brown   fox " * 30, "word " * 50, "a" * 500 + "  b", " " * 300 + "x"]
+    want = [x.tolist() for x in P.Encoder(codec).encode(texts)]
+    for size, many in ((1, 1), (7, 5), (100, 1000)):
+        monkeypatch.setattr(P, "PIECE", size)
+        monkeypatch.setattr(P, "AT_ONCE", many)
+        assert [x.tolist() for x in P.Encoder(codec).encode(texts)] == want
+
+
 def test_edge_rows(docs, clashing, nothing):
     for df in (docs, clashing):
         found = P.encode_rows(df, MODEL)
