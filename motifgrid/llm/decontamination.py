@@ -13,7 +13,11 @@ item's distinct word shingles occur in the document. The search is native:
    document shingles with sketches also asks for ``document size >= least need``
    of the partition.
 3. Candidate pairs are few; their documents are read again and checked by exact
-   containment of the shingle texts, so hash collisions can't show.
+   containment of the shingle texts, so hash collisions can't show. A document
+   meets about ``TOGETHER`` candidates in one row: its shingles are made once for
+   them and first cut down to those that any of them has, so neither the
+   document nor its shingles are copied for each candidate, and no row holds
+   more items than about that.
 
 The sketch table is broadcast only while its counted size is under
 ``BROADCAST_ROWS``; above that the planner joins by shuffle.
@@ -35,6 +39,8 @@ from .common import bound, materialize
 WIDTH, THRESHOLD = 5, 0.8
 #: Sketch rows (16 bytes each) up to which the sketch table may be broadcast.
 BROADCAST_ROWS = 500_000
+#: Candidates of a document that are checked together, about.
+TOGETHER = 256
 
 
 def words(text: Column) -> Column:
@@ -92,13 +98,20 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     shingles = docs.select(F.col(id_col).alias("doc_id"), F.inline(rows))
     hits = shingles.join(sketch, "h").filter(F.col("size") >= F.col("least")).select("doc_id", "item_id").distinct()
     hits = materialize(hits, "candidates")
-    mine = F.col("candidate")
-    chosen = hits.groupBy(F.col("doc_id").alias("candidate")).agg(F.collect_set(F.struct("item_id")).alias("__items"))  # in a struct, since null ids count too
+    # candidates of a document in groups, each a row with its items
+    many = hits.groupBy("doc_id").agg(F.ceil(F.count("*") / TOGETHER).alias("groups")).withColumnRenamed("doc_id", "candidate")
+    dealt = hits.join(many, hits["doc_id"].eqNullSafe(many["candidate"])).select("candidate", "item_id", F.pmod(F.xxhash64("item_id"), F.col("groups")).alias("group"))
+    found = table.select(F.col("item_id").alias("item"), F.struct("item_id", "n", "shingles").alias("own"))
+    groups = dealt.join(found, dealt["item_id"].eqNullSafe(found["item"])).groupBy("candidate", "group").agg(F.collect_list("own").alias("items"))
     # the documents with a candidate again, whole, and only those
     again = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    again = again.join(chosen, again["doc_id"].eqNullSafe(mine)).select("doc_id", "__items", shingle_texts(words(F.col("text")), width).alias("has"))
-    again = again.select("doc_id", "has", F.inline("__items"))
-    both = again.join(table.select("item_id", "shingles", F.col("n").alias("n_shingles")), again["item_id"].eqNullSafe(table["item_id"])).select(again["doc_id"], again["item_id"], "n_shingles", F.size(F.array_intersect("shingles", "has")).alias("n_common"))
+    again = again.join(groups, again["doc_id"].eqNullSafe(groups["candidate"])).select("doc_id", "text", "items")
+
+    def counted(common: Column) -> Column:
+        return F.transform("items", lambda x: F.struct(x["item_id"].alias("item_id"), x["n"].alias("n_shingles"), F.size(F.array_intersect(x["shingles"], common)).alias("n_common")))
+
+    wanted = F.flatten(F.transform("items", lambda x: x["shingles"]))
+    both = again.select("doc_id", F.inline(bound(F.array_intersect(wanted, shingle_texts(words(F.col("text")), width)), counted)))
     best = both.groupBy("doc_id", "item_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_common").alias("n_common"))
     return best.withColumn("containment", F.col("n_common") / F.col("n_shingles")).filter(F.col("containment") >= threshold - 1e-9)
 

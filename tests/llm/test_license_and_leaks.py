@@ -101,6 +101,17 @@ def test_leaks_without_broadcast(spark, real, monkeypatch):
     assert rows(D.leaks(real, items)) == a and a
 
 
+def test_many_candidates_of_one_document(spark, monkeypatch):
+    """Candidates of a document are checked in groups of any size with one result."""
+    words = [f"w{k}" for k in range(400)]
+    items = spark.createDataFrame([(k, " ".join(words[k : k + 20])) for k in range(300)] + [(1, " ".join(words[1:21])), (999, "not in there at all my friend")], "item_id bigint, text string")
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:30])), (3, "nothing")], "doc_id bigint, text string")
+    whole = rows(D.leaks(df, items))
+    assert {r[1] for r in whole if r[0] == 1} == set(range(300)) and {r[1] for r in whole if r[0] == 2} == set(range(14))
+    monkeypatch.setattr(D, "TOGETHER", 7)
+    assert rows(D.leaks(df, items)) == whole
+
+
 def test_sketch_never_misses(spark):
     """Every way to lose a fifth of the shingles keeps one of the sketch."""
     table = D.item_table(spark.createDataFrame([(1, ITEM)], "item_id bigint, text string"), 5, 0.8)
