@@ -155,12 +155,11 @@ class Page:
         """The article elements that aren't inside another, else the main element, else the page."""
         for kind in ("article", "main"):
             found = [k for k, e in enumerate(self.nodes) if not self.gone[k] and (e.tag == kind or kind == "main" and e.attrs.get("role") == "main" or kind == "article" and e.attrs.get("itemprop") == "articleBody")]
-            within, tops = set(found), []
-            for k in found:
+            within, chosen, tops = [False] * len(self.nodes), set(found), []
+            for k in range(1, len(self.nodes)):
                 up = self.nodes[k].parent
-                while up > 0 and up not in within:
-                    up = self.nodes[up].parent
-                if up <= 0:
+                within[k] = within[up] or up in chosen and up > 0
+                if k in chosen and not within[k]:
                     tops.append(k)
             if any(self._has_text(k) for k in tops):
                 return tops

@@ -1,4 +1,7 @@
-"""A small tolerant HTML reader: one pass over the page, no recursion.
+"""A small tolerant HTML reader: one pass over the page in linear time, no recursion.
+
+The depths at which each tag is open are kept by tag, so finding what an end tag
+or an implied end closes never searches the open elements.
 
 ``read`` gives the elements in document order. Each has its tag, its class, id
 and role words, its parent's number, and its children (text or numbers).
@@ -38,6 +41,10 @@ _TOKEN = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 
 
+#: Elements that the end of an inline tag doesn't reach beyond.
+WALLS = frozenset(["article", "main", "body", "table"])
+
+
 class Element:
     __slots__ = ("tag", "attrs", "parent", "kids")
 
@@ -76,6 +83,21 @@ def read(page: str) -> list[Element]:
     """All elements; number 0 is the page itself."""
     nodes = [Element("#page", {}, -1)]
     stack = [0]
+    depths: dict[str, list[int]] = {}  # where in the stack each tag is open
+
+    def deepest(tags) -> int:
+        """The innermost place of any of the tags in the stack, 0 if there is none."""
+        return max((d[-1] for t in tags if (d := depths.get(t))), default=0)
+
+    def close(k: int) -> None:
+        for at in range(len(stack) - 1, k - 1, -1):
+            depths[nodes[stack[at]].tag].pop()
+        del stack[k:]
+
+    def open_last(tag: str) -> None:
+        depths.setdefault(tag, []).append(len(stack))
+        stack.append(len(nodes) - 1)
+
     at, n = 0, len(page)
     low = None
     while at < n:
@@ -110,26 +132,16 @@ def read(page: str) -> list[Element]:
         tag = m[1].lower()
         at = end + 1
         if nxt == "/":
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    del stack[k:]
-                    break
-                if nodes[stack[k]].tag in ("article", "main", "body", "table") and tag not in BLOCK:
-                    break
-            else:
-                if tag == "p":  # an end without a start is an empty paragraph
-                    nodes.append(Element("p", {}, stack[-1]))
-                    nodes[stack[-1]].kids.append(len(nodes) - 1)
+            if (k := deepest((tag,))) and (tag in BLOCK or k >= deepest(WALLS)):
+                close(k)
+            elif not k and tag == "p":  # an end without a start is an empty paragraph
+                nodes.append(Element("p", {}, stack[-1]))
+                nodes[stack[-1]].kids.append(len(nodes) - 1)
             continue
         if rule := CLOSES.get(tag):
             what, bound = rule
-            for k in range(len(stack) - 1, 0, -1):
-                own = nodes[stack[k]].tag
-                if own in what:
-                    del stack[k:]
-                    break
-                if own in bound:
-                    break
+            if (k := deepest(what)) > deepest(bound):
+                close(k)
         raw = page[m.end() : end]
         element = Element(tag, attributes(raw) if raw.strip(" /\n\t\r") else {}, stack[-1])
         nodes.append(element)
@@ -144,9 +156,6 @@ def read(page: str) -> list[Element]:
             element.kids.append(page[at:end])
             gt = page.find(">", end) if end < n else -1
             at = n if gt < 0 else gt + 1
-        elif tag not in VOID and not raw.endswith("/"):
-            stack.append(len(nodes) - 1)
-        elif raw.endswith("/") and tag not in VOID:
-            if tag in BLOCK:  # browsers ignore the slash
-                stack.append(len(nodes) - 1)
+        elif tag not in VOID and (tag in BLOCK or not raw.endswith("/")):  # on a block, browsers ignore the slash
+            open_last(tag)
     return nodes
