@@ -8,6 +8,9 @@ a line). A join by digest resolves the references; everything that is derived
 from a payload is computed once for each distinct digest, so a payload that a
 third of all pages share is stored, moved and read once.
 
+``document_media`` applies this to a table of texts: a document is a page of its
+own lines with a figure of its text between them.
+
 Edge cases: null and empty pages have an empty sequence; references without a
 payload stay, with nulls; null and empty payload texts are one row of blanks;
 repeated rows share one payload; an empty table gives an empty result; only the
@@ -24,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, whole
+from .common import bound, map_rows, whole
 from .html_tree import BLOCK, read
 
 #: Samples (bytes) of an image line.
@@ -216,16 +219,36 @@ def resolve(references: DataFrame, media: DataFrame, ref_digest: Column) -> Data
     return keyed.join(media, keyed["__digest"] == media["digest"], "left").drop("__digest")
 
 
+def document_page(text: Column, digest: Column) -> Column:
+    """A document as a page: every line a paragraph, and after the middle line a figure that shows the whole text.
+
+    The figure's caption says after which line of how many it stands.
+    """
+
+    def of(lines: Column) -> Column:
+        n = F.size(lines)
+        half = F.ceil(n / 2).cast("int")
+        caption = F.concat(F.lit("<figure><img src='sha256:"), digest, F.lit("'><figcaption>after line "), half.cast("string"), F.lit(" of "), n.cast("string"), F.lit("</figcaption></figure>"))
+        shown = lambda some: F.when(F.size(some) > 0, F.concat(F.lit("<p>"), F.array_join(some, "</p><p>"), F.lit("</p>"))).otherwise("")
+        return F.concat(F.lit("<article>"), shown(F.slice(lines, F.lit(1), half)), caption, shown(F.slice(lines, half + 1, n)), F.lit("</article>"))
+
+    plain = F.replace(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return bound(F.split(plain, "\n"), of)
+
+
 def document_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every document as a page that shows its text as an image: the page's sequence, resolved.
+    """Every document's media: its own lines interleaved with the figure of its text, the figure resolved by digest.
 
-    Returns ``doc_id, n_bytes, pos, caption, digest`` and the columns of ``read_back``.
+    Returns ``doc_id, n_bytes, pos, caption, n_blocks, blocks_sha256, digest``
+    and the columns of ``read_back``: where the figure stands in the sequence,
+    how many text blocks that has, and the digest of those blocks, one a line.
     """
     payload = payload_of(F.col(text_col))
     digest = F.sha2(payload, 256)
-    own = docs.select(F.struct(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("bigint").alias("n_bytes")).alias("own"), digest.alias("digest"))
-    page = F.concat(F.lit("<article><p>text of a document</p><figure><img src='sha256:"), F.col("digest"), F.lit("'><figcaption>"), F.col("own.n_bytes").cast("string"), F.lit(" bytes</figcaption></figure></article>"))
-    shown = elements(sequences(own.select("own", page.alias("html")), "own", "html")).filter(F.col("kind") == "image")
+    own = docs.select(F.struct(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("bigint").alias("n_bytes")).alias("own"), document_page(F.col(text_col), digest).alias("html"))
+    rows = sequences(own, "own", "html")
+    blocks = F.transform(F.filter("sequence", lambda e: e["kind"] == "text"), lambda e: e["text"])
+    shown = rows.select("id", F.size(blocks).cast("bigint").alias("n_blocks"), F.sha2(F.array_join(blocks, "\n").cast("binary"), 256).alias("blocks_sha256"), F.inline(F.filter("sequence", lambda e: e["kind"] != "text")))
     media = read_back(media_table(docs.select(F.unhex(digest).alias("digest"), payload.alias("payload"))))
-    found = resolve(shown, media, F.unhex(F.regexp_extract("ref", "^sha256:([0-9a-f]{64})$", 1)))
-    return found.select("id.doc_id", "id.n_bytes", "pos", "caption", F.lower(F.hex("digest")).alias("digest"), *[c for c in media.columns if c != "digest"])
+    found = resolve(shown.drop("kind", "text"), media, F.unhex(F.regexp_extract("ref", "^sha256:([0-9a-f]{64})$", 1)))
+    return found.select("id.doc_id", "id.n_bytes", "pos", "caption", "n_blocks", "blocks_sha256", F.lower(F.hex("digest")).alias("digest"), *[c for c in media.columns if c != "digest"])

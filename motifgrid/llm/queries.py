@@ -58,7 +58,7 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media_columns.document_media(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "caption")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption", "n_blocks", "blocks_sha256")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

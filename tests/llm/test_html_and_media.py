@@ -1,10 +1,14 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from motifgrid.llm import html_extract as H
@@ -53,6 +57,57 @@ def test_quoted_values_of_any_length():
     assert H.Page("<a b='>'" * 200_000 + "<a c=\">x").text() == "x"  # in linear time
 
 
+def slow_read(page):
+    """The reader with plain searches through the open elements, for well-formed tags only."""
+    nodes, stack = [("#page", [])], [0]
+    for m in re.finditer(r"<(/?)([a-z0-9]+)(/?)>|([^<]+)", page):
+        end, tag, slash, text = m.groups()
+        if text:
+            nodes[stack[-1]][1].append(text)
+        elif end:
+            for k in range(len(stack) - 1, 0, -1):
+                if nodes[stack[k]][0] == tag:
+                    del stack[k:]
+                    break
+                if nodes[stack[k]][0] in ("article", "main", "body", "table") and tag not in html_tree.BLOCK:
+                    break
+            else:
+                if tag == "p":
+                    nodes.append(("p", []))
+                    nodes[stack[-1]][1].append(len(nodes) - 1)
+        else:
+            what, bound = html_tree.CLOSES.get(tag, ((), ()))
+            for k in range(len(stack) - 1, 0, -1):
+                if nodes[stack[k]][0] in what:
+                    del stack[k:]
+                    break
+                if nodes[stack[k]][0] in bound:
+                    break
+            nodes.append((tag, []))
+            nodes[stack[-1]][1].append(len(nodes) - 1)
+            if tag not in html_tree.VOID and (not slash or tag in html_tree.BLOCK):
+                stack.append(len(nodes) - 1)
+    return nodes
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([f"{a}{t}{b}" for t in ("p", "b", "div", "article", "table", "tr", "td", "li", "ul", "br", "main", "option") for a, b in (("<", ">"), ("</", ">"), ("<", "/>"))] + ["x", "y z"]), max_size=40))
+def test_reader_equals_plain_searches(parts):
+    page = "".join(parts)
+    assert [(e.tag, e.kids) for e in html_tree.read(page)] == slow_read(page)
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    began = time.process_time()
+    assert len(html_tree.read("<div>" * 20_000 + "</b>" * 200_000)) == 20_001
+    assert len(html_tree.read("<b>" * 20_000 + "<article>" + "</b>" * 200_000)) == 20_002
+    assert H.Page("<div>" * 20_000 + "<article>x</article>" * 20_000).text().count("x") == 20_000
+    assert H.Page("<div><p>" * 20_000 + "x").text() == "x"
+    assert time.process_time() - began < 20
+
+
 def site(spark):
     made = []
     for k in range(8):
@@ -154,7 +209,24 @@ def test_resolution_by_digest(spark):
     assert M.elements(M.sequences(pages.limit(0), "id", "html")).count() == 0
 
 
+def plain_png(payload):
+    """The samples as stored bytes, and read again from them by the format's rules alone."""
+    lines = [payload[k : k + 192] for k in range(0, len(payload), 192)]
+    part = lambda kind, data: len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+    size = (192).to_bytes(4, "big") + len(lines).to_bytes(4, "big")
+    stored = b"\x89PNG\r\n\x1a\n" + part(b"IHDR", size + bytes([8, 0, 0, 0, 0])) + part(b"IDAT", zlib.compress(b"".join(b"\0" + x for x in lines), 1)) + part(b"IEND", b"")
+    raw = zlib.decompress(stored[41 : 41 + int.from_bytes(stored[33:37], "big")])
+    return stored, [raw[k + 1 : k + 193] for k in range(0, len(raw), 193)]
+
+
+def plain_feature(lines):
+    flat = [v for x in lines for v in x]
+    bins = [sum(v // 16 == k for v in flat) for k in range(16)]
+    return f"192x{len(lines)};sum={sum(flat)};energy={sum(v * v for v in flat)};step={sum(abs(a - b) for a, b in zip(flat, flat[1:]))};bins=" + ".".join(map(str, bins))
+
+
 def test_document_media(spark, docs, clashing, nothing, real):
+    """Every column made again by plain means, from the text alone."""
     for df in (docs, clashing):
         assert M.document_media(df).count() == len(ROWS)
     assert M.document_media(nothing).count() == 0
@@ -163,12 +235,80 @@ def test_document_media(spark, docs, clashing, nothing, real):
         for r in df.collect():
             raw = (r["text"] or "").encode()
             payload = raw + b" " * (-len(raw) % 192 if raw else 192)
-            stored = M.to_png(payload)
-            want.append((r["doc_id"], len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), M.features(M.from_png(stored))))
-        got = M.document_media(df).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+            stored, lines = plain_png(payload)
+            assert b"".join(lines) == payload
+            own = (r["text"] or "").split("\n")
+            half = (len(own) + 1) // 2
+            shown = [" ".join(x.split()) for x in own]
+            blocks = [x for x in shown if x]
+            media = (r["doc_id"], len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), plain_feature(lines))
+            want.append((*media, sum(x != "" for x in shown[:half]), f"after line {half} of {len(own)}", len(blocks), hashlib.sha256("\n".join(blocks).encode()).hexdigest()))
+        got = M.document_media(df).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption", "n_blocks", "blocks_sha256")
         assert rows(got) == sorted(want, key=repr)
-    captions = M.document_media(docs).select("n_bytes", "caption", "pos").distinct().collect()
-    assert all(r["caption"] == f"{r['n_bytes']} bytes" and r["pos"] == 1 for r in captions)
+    assert M.document_media(real).select("pos", "caption").distinct().count() > 5
+
+
+class Decoder(HTMLParser):
+    """An independent reading of a page: texts of its paragraphs and its pictures, in order."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.found, self.held, self.caption = [], "", None
+        self.feed(page)
+        self.cut()
+
+    def cut(self):
+        if line := " ".join(self.held.split()):
+            self.found.append(["text", line, None])
+        self.held = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_tree.BLOCK:
+            self.cut()
+        if tag == "br":
+            self.held += " "
+        if tag == "img":
+            self.cut()
+            self.found.append(["image", dict(attrs)["src"], None])
+        if tag in ("figcaption", "script", "style", "title"):
+            self.held, self.caption = "", tag
+
+    def handle_endtag(self, tag):
+        if tag == self.caption:
+            if tag == "figcaption":
+                self.found[-1][2] = " ".join(self.held.split())
+            self.held, self.caption = "", None
+        if tag in html_tree.BLOCK:
+            self.cut()
+
+    def handle_data(self, data):
+        self.held += data
+
+
+def test_pages_with_pictures_between_their_blocks(spark, duck):
+    """Real pages with pictures put between their paragraphs: order, captions and payloads against another parser."""
+    pages, payloads = [], {}
+    for page_id, page in duck.execute("SELECT page_id, html FROM pages ORDER BY page_id").fetchall():
+        parts = page.split("</p>")
+        for k in range(page_id % 4 + 1):
+            at = (page_id * 7 + k * 3) % len(parts)
+            payload = f"picture {page_id % 9} {k}".encode().ljust(192)
+            digest = hashlib.sha256(payload).hexdigest()
+            if k != 3:  # the fourth picture of a page has no payload
+                payloads[digest] = payload
+            parts[at] = f"<figure><img src='sha256:{digest}'><figcaption>shows {k} &amp; {page_id}</figcaption></figure>" + parts[at]
+        pages.append((page_id, "</p>".join(parts)))
+    df = spark.createDataFrame(pages, "page_id bigint, html string")
+    media = M.read_back(M.media_table(spark.createDataFrame([(d, bytearray(p)) for d, p in payloads.items()] * 2, "digest string, payload binary")))
+    got: dict = {}
+    for r in M.resolve(M.elements(M.sequences(df, "page_id", "html")), media, F.regexp_extract("ref", "^sha256:([0-9a-f]{64})$", 1)).collect():
+        got.setdefault(r["id"], []).append((r["pos"], r["kind"], r["text"] or r["ref"], r["caption"], r["payload_sha256"], r["payload_bytes"]))
+    places = set()
+    for page_id, page in pages:
+        want = [(k, kind, what, note, what[7:] if (held := kind == "image" and what[7:] in payloads) else None, 192 if held else None) for k, (kind, what, note) in enumerate(Decoder(page).found)]
+        assert sorted(got[page_id], key=lambda x: x[0]) == want
+        places |= {w[0] for w in want if w[1] == "image"}
+    assert len(places) > 5
 
 
 def test_media_query_columns(spark):
