@@ -1,15 +1,28 @@
-"""What the driver shares with the executors: a folder, tables written to it, and this package."""
+"""What the driver shares with the executors: a folder, tables written to it, and this package.
+
+Written tables are read lazily, so nothing can tell when a plan that reads one is
+done. Code that knows puts its steps into ``passing``: what is written inside
+goes at its end, but for what it keeps. ``sweep`` deletes all tables that this
+process has written and not yet deleted; call it when no result is read any more.
+"""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables written and not yet deleted, oldest first.
+_written: list[DataFrame] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names.
 
@@ -19,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="motifgrid-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
@@ -51,6 +64,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._motifgrid_path = path
+    _written.append(out)
     return out
 
 
@@ -61,6 +75,23 @@ def discard(df: DataFrame) -> None:
         context = df.sparkSession.sparkContext
         target = context._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        _written[:] = [x for x in _written if x is not df]
+
+
+@contextmanager
+def passing() -> Iterator[list[DataFrame]]:
+    """Tables that are written inside are deleted at the end, but for those put into the list that this gives."""
+    before, kept = {id(x) for x in _written}, []
+    yield kept
+    held = {id(x) for x in kept}
+    for df in [x for x in _written if id(x) not in before and id(x) not in held]:
+        discard(df)
+
+
+def sweep() -> None:
+    """Delete every table that is still there."""
+    for df in list(_written):
+        discard(df)
 
 
 def plain_path(path: str) -> str:
