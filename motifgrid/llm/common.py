@@ -15,37 +15,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from motifgrid.storage import discard, materialize, ship_package
+from motifgrid.storage import discard, materialize, passing, ship_package
 
-__all__ = ["bound", "bounded_batches", "discard", "id_remainder", "map_rows", "materialize", "read_table", "whole"]
+__all__ = ["bound", "discard", "id_remainder", "map_rows", "materialize", "passing", "read_table", "ship_package", "slices", "whole"]
 
-#: Rows of an Arrow batch handed to Python; bounds a worker's memory to so many texts.
+#: Rows that a Python function gets at once; Spark bounds the bytes of the batches that they are cut from.
 BATCH_ROWS = 512
-#: Bytes of an Arrow batch, where the Spark version knows such a limit.
-BATCH_BYTES = 16 << 20
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Before any Python stage: workers know this package, and long texts come in few rows at a time."""
-    ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def slices(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches of a Python stage in few rows at a time, whatever the session's batch size is."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], list[list]]], schema: T.StructType | str, rows: int = BATCH_ROWS) -> DataFrame:
-    """Apply a function of whole columns to each Arrow batch of ``df``.
+    """Apply a function of whole columns to ``df``, ``rows`` rows at a time.
 
     ``make`` is called once in each task and returns the function; it gets one
     Python list for each input column and returns one for each output column.
     """
-    bounded_batches(df.sparkSession, rows)
+    ship_package(df.sparkSession)
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for batch in batches:
+        for batch in slices(batches, rows):
             out = fn([batch.column(k).to_pylist() for k in range(batch.num_columns)])
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(out, arrow, strict=True)], schema=arrow)
 

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_rows, materialize
+from .common import map_rows, materialize, ship_package, slices
 from .html_tree import BLOCK, RAW, Element, hint_words, read
 
 #: Share of a host's different pages, and least count, from which a subtree is template.
@@ -275,10 +275,10 @@ def host_of(url: Column) -> Column:
 
 def site_templates(pages: DataFrame, share: float = SHARE, least: int = LEAST, turn: float = TURN) -> DataFrame:
     """``host, template array<bigint>`` from ``host, html``: the hosts that have one."""
-    bounded_batches(pages.sparkSession)
+    ship_package(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             hosts, places, keys, mains = [], [], [], []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 p = Page(page)

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, id_remainder, map_rows
+from .common import id_remainder, map_rows, ship_package, slices
 
 #: Hash bins of the n-grams.
 BINS = 1 << 15
@@ -249,11 +249,11 @@ def _maplike(kind: T.DataType) -> bool:
 
 def _idf(texts: DataFrame) -> tuple[np.ndarray, int]:
     """Smoothed inverse document frequencies over all rows, and their number; each task sends one count for each bin."""
-    bounded_batches(texts.sparkSession)
+    ship_package(texts.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(BINS + 1, np.int64), 0
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 seen[ngram_counts(text)[0]] += 1
                 n += 1
@@ -285,11 +285,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text isn't in a learned language; columns unchanged."""
-    bounded_batches(docs.sparkSession)
+    ship_package(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([shared.value.accepts(x) for x in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

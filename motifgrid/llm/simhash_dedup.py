@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, map_rows, materialize, whole
+from .common import discard, map_rows, materialize, passing, ship_package, whole
 
 #: Children of an index node.
 FANOUT = 8
@@ -208,7 +208,7 @@ def _deal(rows: DataFrame, refine: dict[int, list[int]]) -> DataFrame:
 
 def _search(dealt: DataFrame, bits: int) -> DataFrame:
     """Forest edges ``a, b`` of all nodes; nodes arrive whole and sorted."""
-    bounded_batches(dealt.sparkSession, 20_000)
+    ship_package(dealt.sparkSession)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,14 +312,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """``docs`` with one document of each near-duplicate group: the least id stays.
 
     Rows without an id can't name a group, so they take no part and stay. Rows
-    that repeat a kept id fall together to one (the one with the least text).
+    that repeat a kept id fall together to one: the one with the least text, of
+    these the least when all columns are written as JSON.
     """
     named = docs.filter(F.col(id_col).isNotNull())
-    found = materialize(near_duplicates(named, id_col, text_col, **how), "groups")
+    with passing() as kept:
+        found = materialize(near_duplicates(named, id_col, text_col, **how), "groups")
+        kept.append(found)
     kept = found.select(F.col("component_id").alias("__kept")).distinct()
     out = named.join(kept, named[id_col] == kept["__kept"], "left_semi")
     if not found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
         row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-        one = out.groupBy(F.col(id_col).alias("__id")).agg(F.min_by(row, whole(text_col)).alias("__row"))
+        one = out.groupBy(F.col(id_col).alias("__id")).agg(F.min_by(row, F.struct(whole(text_col), F.to_json(row))).alias("__row"))
         out = one.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
     return out.unionByName(docs.filter(F.col(id_col).isNull()))
