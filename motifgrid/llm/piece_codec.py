@@ -13,11 +13,11 @@ nothing depends on order, batch or machine.
 No piece of the model has a space sign after another character (checked when
 the model is read), so chunks (blanks and the non-blanks after them) never
 interact. A chunk's pieces are a function of the chunk and of the draws that its
-agenda takes, so they are remembered under exactly those draws: common words with
-none, one or two skips are looked up, everything else runs. A batch's new cases
-run together in numpy, one merge of every chunk a round; long chunks run a heap.
-Both follow the same agenda. The memory is bounded in bytes; forgetting changes
-no result.
+agenda takes: occurrences none of whose draws skips take the remembered pieces of
+the agenda without dropout, and of those at hand together, equal chunks with
+equal draws run once. The rest runs together in numpy, one merge of every chunk
+a round; long chunks run a heap. Both follow the same agenda. The memory is
+bounded in bytes; forgetting changes no result.
 
 Characters outside the model become byte pieces, as does a literal space sign,
 so decoding gives back every text, byte for byte.
@@ -47,10 +47,10 @@ DROPOUT, SEED = 0.1, 20
 LONG = 48
 #: Bytes, about, that a worker remembers chunks in.
 REMEMBERED = 64 << 20
-#: Draws of a chunk that a remembered case may depend on.
+#: Draws of a chunk that are looked at before its agenda runs.
 DRAWS = 32
-#: Chunks handled at once, and characters of a text cut into chunks at once.
-AT_ONCE, PIECE = 100_000, 1 << 20
+#: Chunks handled at once, those whose agendas run together (their arrays fit a core's cache), and characters of a text cut into chunks at once.
+AT_ONCE, TOGETHER, PIECE = 100_000, 16_000, 1 << 20
 _CHUNK = re.compile(r"[ ]+[^ ]*|[^ ]+")
 _START = re.compile(r"(?<=[^ ])[ ]")
 _M = (1 << 64) - 1
@@ -306,97 +306,125 @@ class Codec:
         return self.decode_bytes(ids).decode("utf-8", "surrogatepass")
 
 
-class Encoder:
-    """Encodes texts, remembering chunks already seen.
+class Runs:
+    """Growing table of runs of integers, one for each number."""
 
-    ``known`` has a case for each chunk: its pieces' bytes if they depend on no
-    draw, else a branch ``(mask, {draws under the mask: case})``; a case inside a
-    branch looks at more draws than the branch.
-    """
+    def __init__(self):
+        self.flat, self.start, self.size, self.rows = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
+        self.used = 0
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.rows + len(sizes) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.flat[self.used : self.used + len(flat)] = flat
+        rows = slice(self.rows, self.rows + len(sizes))
+        self.start[rows], self.size[rows] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used, self.rows = self.used + len(flat), self.rows + len(sizes)
+
+
+def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` behind each other."""
+    return flat[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
+class Numbers(dict):
+    """Numbers of chunks; a new one gets the next, long ones -1."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        if len(chunk) > LONG:
+            return -1
+        self[chunk] = number = len(self)
+        self.new.append(chunk)
+        return number
+
+
+class Encoder:
+    """Encodes texts; remembers each chunk's symbols, its pieces without dropout, and the draws that these take."""
 
     def __init__(self, codec: Codec, dropout: float = DROPOUT, seed: int = SEED):
         self.codec, self.dropout, self.seed = codec, dropout, seed
         self.limit = limit_of(dropout)
-        self.known: dict[str, bytes | tuple[int, dict]] = {}
-        self.bytes = 0
-
-    def find(self, chunk: str, draws: int) -> bytes | None:
-        case = self.known.get(chunk)
-        while type(case) is tuple:
-            case = case[1].get(draws & case[0])
-        return case
-
-    def _place(self, chunk: str, draws: int):
-        """Where a lacking case would be kept: lacking chunks with the same place may have the same pieces."""
-        case, place = self.known.get(chunk), chunk
-        while type(case) is tuple:
-            place = (chunk, case[0], draws & case[0])
-            case = case[1].get(place[2])
-        return place
-
-    def _remember(self, chunk: str, draws: int, used: int, pieces: bytes) -> None:
-        """Keep the pieces under the first ``used`` draws."""
-        mask, holder, key = (1 << used) - 1, self.known, chunk
-        while type(case := holder.get(key)) is tuple:
-            holder, key = case[1], draws & case[0]
-            if mask & ~case[0] == 0:  # the branch looks at all draws that matter
-                mask = 0
-                break
-        holder[key] = (mask, {draws & mask: pieces}) if mask else pieces
-        self.bytes += 400 + len(chunk) + len(pieces)
-
-    def _run(self, chunks: list[str], keys: np.ndarray) -> tuple[list[bytes], list[int]]:
-        """The agenda of each chunk under its key: pieces and draws taken (more than can be kept, for long ones)."""
-        out: list[bytes] = [b""] * len(chunks)
-        used = [DRAWS + 1] * len(chunks)
-        short = [k for k, c in enumerate(chunks) if len(c) <= LONG]
-        for k, c in enumerate(chunks):
-            if len(c) > LONG:
-                out[k] = np.array(self.codec.heap(self.codec.symbols(c), int(keys[k]), self.dropout), np.int32).tobytes()
-        for at in range(0, len(short), 50_000):
-            part = short[at : at + 50_000]
-            sym, lengths = self.codec.flat_symbols([chunks[k] for k in part])
-            pieces, counts, drawn = self.codec.batch(sym, lengths, keys[part], self.dropout)
-            raw, ends = pieces.tobytes(), (4 * np.cumsum(counts)).tolist()
-            for k, a, b, d in zip(part, [0, *ends], ends, drawn.tolist()):
-                out[k], used[k] = raw[a:b], d if self.limit else 0
-        return out, used
-
-    def _pieces(self, chunks: list[str], keys: np.ndarray) -> list[bytes]:
-        """The pieces of chunks under their keys."""
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = Numbers()
+        self.symbols, self.pieces, self.draws, self.bytes = Runs(), Runs(), np.zeros(0, np.int64), 0
+
+    def _learn(self, chunks: list[str]) -> None:
+        for at in range(0, len(chunks), TOGETHER):
+            part = chunks[at : at + TOGETHER]
+            sym, sizes = self.codec.flat_symbols(part)
+            pieces, counts, drawn = self.codec.batch(sym, sizes, np.zeros(len(part), np.uint64), 0.0)
+            self.symbols.add(sym, sizes)
+            self.pieces.add(pieces, counts)
+            self.draws = np.concatenate([self.draws, drawn])
+            self.bytes += 4 * (len(sym) + len(pieces)) + 200 * len(part)
+
+    def _run(self, numbers: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The agenda of known chunks under their keys: pieces in a row, piece counts, draws taken."""
+        done = []
+        for at in range(0, len(numbers), TOGETHER):
+            own = numbers[at : at + TOGETHER]
+            sizes = self.symbols.size[own]
+            done.append(self.codec.batch(gather(self.symbols.flat, self.symbols.start[own], sizes), sizes, keys[at : at + TOGETHER], self.dropout))
+        return tuple(np.concatenate(x) for x in zip(*done)) if done else (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def _pieces(self, chunks: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of chunks under their keys, in a row, and each chunk's piece count."""
         if self.bytes > REMEMBERED:
-            self.known, self.bytes = {}, 0
-        draws = first_draws(keys, self.limit).tolist() if self.limit else [0] * len(chunks)
-        got = list(map(self.find, chunks, draws))
-        lacking, alone = [k for k, x in enumerate(got) if x is None], set()
-        while lacking:
-            first: dict = {}
-            for k in lacking:
-                c = chunks[k]
-                first.setdefault(k if len(c) > LONG or c in alone else self._place(c, draws[k]), k)
-            run = list(first.values())
-            for k, pieces, used in zip(run, *self._run([chunks[k] for k in run], keys[run])):
-                got[k] = pieces
-                if used <= DRAWS:
-                    self._remember(chunks[k], draws[k], used, pieces)
-                else:
-                    alone.add(chunks[k])
-            for k in lacking:
-                if got[k] is None:
-                    got[k] = self.find(chunks[k], draws[k])
-            lacking = [k for k in lacking if got[k] is None]
-        return got
+            self._forget()
+        number = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        self._learn(self.known.new)
+        self.known.new = []
+        short = number >= 0
+        start, size = np.where(short, self.pieces.start[number], 0), np.where(short, self.pieces.size[number], 0)
+        pools, offset = [self.pieces.flat[: self.pieces.used]], self.pieces.used
+
+        def take(at: np.ndarray, pieces: np.ndarray, counts: np.ndarray, of: np.ndarray | None = None) -> None:
+            """Chunks ``at`` have the runs ``of`` (default: one each, in order)."""
+            nonlocal offset
+            first = offset + np.cumsum(counts) - counts
+            start[at], size[at] = (first, counts) if of is None else (first[of], counts[of])
+            pools.append(pieces)
+            offset += len(pieces)
+
+        if self.limit and len(chunks):
+            draws = first_draws(keys, self.limit)
+            needed = self.draws[number]
+            looked = lambda n: np.where(n < DRAWS, (np.uint64(1) << np.minimum(n, DRAWS).astype(np.uint64)) - np.uint64(1), np.uint64(0xFFFFFFFF))
+            at = np.flatnonzero(short & ((needed > DRAWS) | (draws & looked(needed) != 0)))
+            # equal chunks with equal first draws run once, if the agenda takes no more draws than those
+            seen = np.minimum(needed[at] + 2, DRAWS)
+            case = number[at].astype(np.uint64) << np.uint64(DRAWS) | draws[at] & looked(seen)
+            _, first, of = np.unique(case, return_index=True, return_inverse=True)
+            pieces, counts, drawn = self._run(number[at[first]], keys[at[first]])
+            take(at, pieces, counts, of)
+            alone = (drawn > seen[first])[of]
+            alone[first] = False
+            rest = at[alone]
+            pieces, counts, _ = self._run(number[rest], keys[rest])
+            take(rest, pieces, counts)
+        if not short.all():
+            rest = np.flatnonzero(~short)
+            own = [np.array(self.codec.heap(self.codec.symbols(chunks[k]), int(keys[k]), self.dropout), np.int32) for k in rest.tolist()]
+            take(rest, np.concatenate(own), np.array([len(x) for x in own], np.int64))
+        return gather(np.concatenate(pools) if len(pools) > 1 else pools[0], start, size), size
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The pieces of each text."""
-        out: list[list[bytes]] = [[] for _ in texts]
+        out: list[list[np.ndarray]] = [[] for _ in texts]
         held: list[tuple[int, list[str], np.ndarray]] = []
 
         def flush():
-            got, at = self._pieces([c for _, own, _ in held for c in own], np.concatenate([k for _, _, k in held])), 0
-            for i, own, _ in held:
-                out[i].append(b"".join(got[at : at + len(own)]))
-                at += len(own)
+            flat, counts = self._pieces([c for _, own, _ in held for c in own], np.concatenate([k for _, _, k in held]))
+            ends = np.r_[0, np.cumsum(counts)][np.r_[0, np.cumsum([len(own) for _, own, _ in held])]].tolist()
+            for (i, _, _), a, b in zip(held, ends, ends[1:]):
+                out[i].append(flat[a:b])
             held.clear()
 
         waiting = 0
@@ -416,7 +444,7 @@ class Encoder:
                     waiting = 0
         if held:
             flush()
-        return [np.frombuffer(b"".join(x), np.int32) for x in out]
+        return [x[0] if len(x) == 1 else np.concatenate(x) if x else np.zeros(0, np.int32) for x in out]
 
 
 _codecs: dict[str, Codec] = {}
