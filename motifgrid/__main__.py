@@ -79,7 +79,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         elif a.strategy == "refined":
             found = refined_profile(series, a.window, step)
         else:
-            found = matrix_profile(series if a.strategy != "sql" else series.selectExpr("pos", "cast(value as bigint) as c"), a.window, a.strategy, tile_size=a.tile)
+            found = matrix_profile(series, a.window, a.strategy, tile_size=a.tile)
         files.write_profile(found, a.output or files.output_name(a.strategy, a.window, a.input, fmt))
     print({k: round(v, 3) for k, v in phases.seconds.items()}, {k: round(v) for k, v in phases.throughput(n, a.window).items()})
     return 0

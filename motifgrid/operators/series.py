@@ -2,8 +2,9 @@
 
 A series is ``pos LONG, value`` with positions 0 to n - 1. Whole-valued series
 (``to_fixed``) keep every sum an exact integer, so all strategies agree bit for
-bit. Nothing here sorts a whole series in one task: positions come from key
-ranges with counted offsets, sliding statistics from blocks with a halo.
+bit. Nothing here sorts a whole series in one task: rows are sorted in ranges of
+their key and numbered behind the counted ranges before, sliding statistics come
+from blocks with a halo.
 """
 
 from __future__ import annotations
@@ -12,40 +13,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifgrid.functions.expressions import exact_sd
+from motifgrid.storage import materialize
 
-#: Rows of a key range (positions) and of a block (sliding statistics), about.
-RANGE_ROWS, BLOCK_ROWS = 100_000, 65_536
+#: Rows of a block (sliding statistics), about.
+BLOCK_ROWS = 65_536
 #: Largest ``m * max|value|`` for which exact products and their differences fit 64 bits.
 SIGNED_BOUND, UNSIGNED_BOUND = 2_100_000_000, 3_000_000_000
 
 
-def with_positions(rows: DataFrame, key: str, value: str | Column, check: bool = True) -> DataFrame:
-    """``pos, value`` in the order of ``key``, which must be unique.
+def ranked(rows: DataFrame, *keys: str, ranges: int | None = None) -> DataFrame:
+    """``rows`` with ``pos``: their place in the order of the keys (of any orderable type; nulls first).
 
-    The key's approximate quantiles cut it into ranges; each range is numbered
-    by itself, after the counts of the ranges below it.
+    The planner samples the keys and sorts ranges of them; the sorted rows are
+    written once, with their place inside the range, and read behind the counts
+    of the ranges before. ``ranges`` sets their number (default: the session's).
     """
+    ordered = rows.orderBy(*keys) if ranges is None else rows.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+    placed = materialize(ordered.withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    return numbered(placed)
+
+
+def numbered(placed: DataFrame) -> DataFrame:
+    """``pos`` from ``__at``: range number in the high bits, place inside the range in the low 33."""
+    part = F.shiftright("__at", 33)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    below = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    first = sizes.select("__part", F.coalesce(F.sum("__n").over(below), F.lit(0)).alias("__first"))
+    inside = F.col("__at") - F.shiftleft(part, 33)
+    return placed.withColumn("__part", part).join(F.broadcast(first), "__part").withColumn("pos", F.col("__first") + inside).drop("__part", "__first", "__at")
+
+
+def with_positions(rows: DataFrame, key: str, value: str | Column, check: bool = True, ranges: int | None = None) -> DataFrame:
+    """``pos, value`` in the order of ``key``, which must be unique; a null key counts as a value and comes first."""
     value = F.col(value) if isinstance(value, str) else value
     keyed = rows.select(F.col(key).alias("k"), value.alias("value"))
-    kind = keyed.schema["k"].dataType.typeName()
-    n = keyed.count()
-    cuts: list = []
-    if kind in ("byte", "short", "integer", "long", "float", "double") and n > RANGE_ROWS:
-        parts = -(-n // RANGE_ROWS)
-        cuts = sorted(set(keyed.approxQuantile("k", [j / parts for j in range(1, parts)], 0.1 / parts)))
-    if check and keyed.groupBy("k").count().filter("count > 1").limit(1).count():
+    if check and not keyed.groupBy("k").count().filter("count > 1").isEmpty():
         raise ValueError(f"{key} repeats, so it doesn't order the rows; give a key with a tie-breaker")
-    ranged = keyed.withColumn("part", F.lit(0) if not cuts else sum((F.col("k") >= F.lit(c)).cast("int") for c in cuts))
-    number = F.row_number().over(Window.partitionBy("part").orderBy("k")) - 1
-    if not cuts:
-        return ranged.select(number.cast("bigint").alias("pos"), "value")
-    sizes = {r["part"]: r["count"] for r in ranged.groupBy("part").count().collect()}  # one row for each range
-    first, below = [], 0
-    for j in range(len(cuts) + 1):
-        first.append(below)
-        below += sizes.get(j, 0)
-    offset = F.element_at(F.array(*[F.lit(x).cast("bigint") for x in first]), F.col("part") + 1)
-    return ranged.select((offset + number).cast("bigint").alias("pos"), "value")
+    return ranked(keyed, "k", ranges=ranges).select("pos", "value")
 
 
 def to_fixed(series: DataFrame, scale: int = 1) -> DataFrame:
@@ -53,14 +57,27 @@ def to_fixed(series: DataFrame, scale: int = 1) -> DataFrame:
     return series.select("pos", F.round(F.col("value") * scale).cast("bigint").alias("c"))
 
 
+def bounds(series: DataFrame) -> tuple[int, int]:
+    """Least and largest value of a whole-valued series (0 without values), read once for each DataFrame."""
+    found = getattr(series, "_motifgrid_bounds", None)
+    if found is None:
+        low, high = series.agg(F.min("c"), F.max("c")).first()
+        found = series._motifgrid_bounds = (low or 0, high or 0)
+    return found
+
+
 def fits_exactly(series: DataFrame, m: int) -> bool:
     """Whether all sums of products over windows of ``m`` values fit 64 bits."""
-    low, high = series.agg(F.min("c"), F.max("c")).first()
-    if low is None:
-        return True
+    low, high = bounds(series)
     return m * max(abs(low), abs(high)) < (SIGNED_BOUND if low < 0 else UNSIGNED_BOUND)
 
 
+def _summand(series: DataFrame, rows: int, squares: bool) -> Column:
+    """The value column, as wide as running sums of ``rows`` values, or their squares, need."""
+    top = max(map(abs, bounds(series)))
+    return F.col("c") if rows * top * (top if squares else 1) < 2**62 else F.col("c").cast("decimal(19,0)")
+
+
 def haloed(series: DataFrame, m: int, block: int = BLOCK_ROWS) -> DataFrame:
     """Rows with their block number ``b``; the first ``m - 1`` rows after a block are in it too (``own`` false)."""
     block = max(block, m)
@@ -69,22 +86,24 @@ def haloed(series: DataFrame, m: int, block: int = BLOCK_ROWS) -> DataFrame:
     return series.withColumn("b", F.explode(before)).withColumn("own", F.col("b") * block == mine)
 
 
-def window_sums(series: DataFrame, m: int, block: int = BLOCK_ROWS) -> DataFrame:
-    """``pos, s0, q0``: sums of values and squares of each full window without a null.
+def window_sums(series: DataFrame, m: int, block: int = BLOCK_ROWS, squares: bool = True) -> DataFrame:
+    """``pos, s0, q0``: sums of values and (if wanted) squares of each full window without a null.
 
     Running sums inside a block, and the difference of two of them: O(1) a row
     for any ``m``.
     """
     w = Window.partitionBy("b").orderBy("pos")
     running = w.rowsBetween(Window.unboundedPreceding, 0)
+    c = F.coalesce(_summand(series, max(block, m) + m, squares), F.lit(0))
     rows = haloed(series, m, block).select(
-        "b", "pos", "own", F.coalesce("c", F.lit(0)).alias("c"),
-        F.sum(F.coalesce("c", F.lit(0))).over(running).alias("p1"), F.sum(F.coalesce(F.col("c") * F.col("c"), F.lit(0))).over(running).alias("p2"),
+        "b", "pos", "own", c.alias("c"),
+        F.sum(c).over(running).alias("p1"), F.sum(c * c).over(running).alias("p2"),
         F.count("c").over(running).alias("pn"), F.when(F.col("c").isNull(), 0).otherwise(1).alias("one"),
     )
     ends = rows.select("pos", "own", "c", "p1", "p2", "pn", "one", *[F.lead(x, m - 1).over(w).alias(f"e_{x}") for x in ("p1", "p2", "pn")])
     full = ends.filter(F.col("own") & (F.col("e_pn") - F.col("pn") + F.col("one") == m))
-    return full.select("pos", (F.col("e_p1") - F.col("p1") + F.col("c")).alias("s0"), (F.col("e_p2") - F.col("p2") + F.col("c") * F.col("c")).alias("q0"))
+    sums = [(F.col("e_p1") - F.col("p1") + F.col("c")).cast("bigint").alias("s0")]
+    return full.select("pos", *sums, *[(F.col("e_p2") - F.col("p2") + F.col("c") * F.col("c")).cast("bigint").alias("q0")] * squares)
 
 
 def window_stats(series: DataFrame, m: int, block: int = BLOCK_ROWS) -> DataFrame:
@@ -121,17 +140,24 @@ def lag_product(series: DataFrame, diag: int) -> DataFrame:
     return series.join(back, "pos").select("pos", (F.col("c") * F.col("d")).alias("product"))
 
 
+def _diagonal(series: DataFrame, diag: int) -> DataFrame:
+    """The products of a diagonal as a series of their own."""
+    shifted = lag_product(series, diag).select((F.col("pos") - diag).alias("pos"), F.col("product").alias("c"))
+    top = max(map(abs, bounds(series))) ** 2
+    shifted._motifgrid_bounds = (-top, top)
+    return shifted
+
+
 def diagonal_dots(series: DataFrame, m: int, diag: int, block: int = BLOCK_ROWS) -> DataFrame:
     """``i, dot``: dot products of the windows at i and i + diag, by running sums of the lag products."""
-    shifted = lag_product(series, diag).select((F.col("pos") - diag).alias("pos"), F.col("product").alias("c"))
-    return window_sums(shifted, m, block).select(F.col("pos").alias("i"), F.col("s0").alias("dot"))
+    return window_sums(_diagonal(series, diag), m, block, squares=False).select(F.col("pos").alias("i"), F.col("s0").alias("dot"))
 
 
 def diagonal_cumulative(series: DataFrame, m: int, diag: int, block: int = BLOCK_ROWS) -> DataFrame:
-    """``i, cum, dot``: the running sum of a diagonal's products, and its difference over ``m``."""
-    shifted = lag_product(series, diag).select((F.col("pos") - diag).alias("pos"), F.col("product").alias("c"))
+    """``i, cum, dot``: the running sum of a diagonal's products, and its difference over ``m`` (null for the last ones)."""
+    shifted = _diagonal(series, diag)
     cum = prefix_sums(shifted, block).select("pos", "cum")
-    return cum.join(window_sums(shifted, m, block).select("pos", "s0"), "pos", "left").select(F.col("pos").alias("i"), "cum", F.col("s0").alias("dot"))
+    return cum.join(window_sums(shifted, m, block, squares=False).select("pos", "s0"), "pos", "left").select(F.col("pos").alias("i"), "cum", F.col("s0").alias("dot"))
 
 
 def first_dots(series: DataFrame, m: int) -> DataFrame:

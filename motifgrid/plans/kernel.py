@@ -1,11 +1,13 @@
 """The tile kernel: all window pairs of two blocks, folded to the best partner of each row and column.
 
-Whole values are kept in doubles, and every product sum stays below 2^53
-(checked by the caller), so results are exact and don't depend on tiling. Their
-covariances run down the diagonals: the change from one cell to the next is a
-product of two matrices of rank 4, so a cell costs the same for any window.
-General doubles take a product of normalised windows (nothing cancels) or, for
-long windows, the running form over values centred in each block.
+Whole values come centred on a whole number (``prepared``, or the caller's plan):
+distances don't see that, and sums stay small. Where ``exact_bound`` holds, window
+sums are 64-bit integers (wrapping running sums have exact differences) and every
+product sum stays below 2^53 as a double, so results are exact and don't depend
+on tiling. Their covariances run down the diagonals: the change from one cell to
+the next is a product of two matrices of rank 4, so a cell costs the same for any
+window. General doubles take a product of normalised windows (nothing cancels)
+or, for long windows, the running form over values centred in each block.
 
 Strips of ``STRIP`` rows keep a tile's work in the processor's cache.
 """
@@ -18,16 +20,51 @@ import numpy as np
 STRIP, LONG_WINDOW = 16, 512
 
 
+def exact_bound(m: int, top: int) -> bool:
+    """Whether windows of whole values up to ``top`` in size have exact sums of products in doubles.
+
+    The largest intermediate value is a change of covariances, under
+    ``(2 * m * top)^2`` in all its partial sums.
+    """
+    return (2 * m * int(top)) ** 2 <= 2**53
+
+
+def prepared(values: np.ndarray, m: int) -> tuple[np.ndarray, bool]:
+    """A series in memory, centred, and whether it is exact: whole values (64-bit integers or doubles) in a small range."""
+    x = np.asarray(values)
+    if x.dtype.kind in "iu":
+        if not len(x):
+            return x.astype(float), True
+        low, high = int(x.min()), int(x.max())
+    else:
+        there = x[np.isfinite(x)]
+        x = np.where(np.isfinite(x), x, np.nan)
+        if not len(there):
+            return x, True
+        low, high = float(there.min()), float(there.max())
+        if not (np.abs(there).max() < 2**53 and (there == np.round(there)).all()):
+            return x - there.mean(), False
+        low, high = int(low), int(high)
+    centre = (low + high) // 2
+    out = (x - centre).astype(float) if high - low < 2**62 else x.astype(float) - float(centre)
+    return out, exact_bound(m, high - centre)
+
+
+def sliding(v: np.ndarray, m: int) -> np.ndarray:
+    """Sums over windows of whole numbers: running sums may wrap, their differences are exact."""
+    run = np.concatenate([[0], np.cumsum(v)])
+    return run[m:] - run[:-m]
+
+
 def stats(a: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sum and ``m`` times the deviation of each full window; NaN where a value is missing."""
+    """Sum and ``m`` times the deviation of each full window of whole values; NaN where a value is missing."""
     if len(a) < m:
         return np.zeros(0), np.zeros(0)
     bad = np.isnan(a)
-    x = np.where(bad, 0.0, a)
-    c1, c2, cb = (np.concatenate([[0.0], np.cumsum(v)]) for v in (x, x * x, bad.astype(float)))
-    s, q, b = c1[m:] - c1[:-m], c2[m:] - c2[:-m], cb[m:] - cb[:-m]
-    sd = np.sqrt(np.maximum(m * q - s * s, 0.0))
-    return np.where(b > 0, np.nan, s), np.where(b > 0, np.nan, sd)
+    x = np.where(bad, 0.0, a).astype(np.int64)
+    s, q, b = sliding(x, m), sliding(x * x, m), sliding(bad.astype(np.int64), m)
+    sd = np.sqrt((m * q - s * s).astype(float))
+    return np.where(b > 0, np.nan, s.astype(float)), np.where(b > 0, np.nan, sd)
 
 
 def centred_stats(a: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +139,7 @@ def correlations(x: np.ndarray, y: np.ndarray, m: int, exact: bool):
             x, y = (a - (np.nanmean(a) if np.isfinite(a).any() else 0.0) for a in (x, y))
         (s_i, d_i), (s_j, d_j) = ((stats if exact else centred_stats)(a, m) for a in (x, y))
         x, y = np.nan_to_num(x), np.nan_to_num(y)
-        sums = [np.convolve(a, np.ones(m), "valid") if not exact else np.concatenate([[0.0], np.cumsum(a)])[m:] - np.concatenate([[0.0], np.cumsum(a)])[:-m] for a in (x, y)]
+        sums = [sliding(a.astype(np.int64), m).astype(float) if exact else np.convolve(a, np.ones(m), "valid") for a in (x, y)]
         strips, scale = covariances(x, y, *sums, m), np.empty((STRIP, len(s_j)))
     else:
         (s_i, d_i), (s_j, d_j) = centred_stats(x, m), centred_stats(y, m)

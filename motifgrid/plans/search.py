@@ -2,8 +2,9 @@
 
 Blocks of the series (with a halo) are correlated with the query by Fourier
 transforms, so a block of B values costs O(B log B) for any window length; the
-query alone goes to every task. Whole-valued series come out exact: the
-transform's rounding is far below one half, and dot products are rounded back.
+query alone goes to every task. Exact whole-valued series come out exact: where
+the transform's rounding is below a quarter for sure, dot products are rounded
+back, else they are summed as they are.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from motifgrid.functions.expressions import correlation_to_dist
 from motifgrid.storage import ship_package
 
-from .kernel import centred_stats, correlate, stats
-from .strategies import blocks, checked_length, default_band, exact_mode, value_column
+from .kernel import centred_stats, correlate, exact_bound, stats
+from .strategies import blocks, centre, centred, checked_length, default_band
 
 BLOCK = 1 << 15
 
@@ -34,18 +35,18 @@ def sliding_dots(query: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.fft.irfft(spectrum, size)[m - 1 : n]
 
 
-def search(series: DataFrame, query: list[float], block: int = BLOCK) -> DataFrame:
+def search(series: DataFrame, query: list, block: int = BLOCK) -> DataFrame:
     """``pos, r``: correlation of the query with every window that has no missing value."""
     m = len(query)
     n = checked_length(series, m)
     ship_package(series.sparkSession)
-    q = np.array(query, float)
-    whole = exact_mode(series, m) and bool((q == np.round(q)).all())
-    if not whole:
-        name = value_column(series)
-        mean = series.agg(F.avg(F.when(~F.isnan(F.col(name).cast("double")), F.col(name)))).first()[0] or 0.0
-        series, q = series.select("pos", (F.col(name) - F.lit(mean)).alias("value")), q - mean
-    series.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    values, exact = centred(series, m)
+    middle, top = centre(series)
+    q = np.array([v - middle for v in query], float)  # whole numbers are subtracted as such
+    whole = exact and bool((q == np.round(q)).all()) and exact_bound(m, max(top, int(np.abs(q).max())))
+    # rounding of a transform of s values: a few eps * log2(s) times the norms of both sides
+    size = 1 << (block + 2 * m).bit_length()
+    near = whole and 8 * 2.0**-52 * np.log2(size) * np.sqrt(size * m) * max(1.0, float(top)) * max(1.0, float(np.abs(q).max())) < 0.25
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = stats if whole else centred_stats
@@ -54,12 +55,15 @@ def search(series: DataFrame, query: list[float], block: int = BLOCK) -> DataFra
             for k, b in enumerate(batch.column(0).to_pylist()):
                 x = batch.column(1)[k].values.to_numpy(zero_copy_only=False)
                 s, d = of(x, m)
-                dot = sliding_dots(q, np.nan_to_num(x))
-                r = correlate((np.rint(dot) if whole else dot)[None, :].copy(), m, s_q, d_q, s, d)[0]
+                if whole and not near:
+                    dot = np.lib.stride_tricks.sliding_window_view(np.nan_to_num(x), m) @ q
+                else:
+                    dot = sliding_dots(q, np.nan_to_num(x))
+                r = correlate((np.rint(dot) if near else dot)[None, :].copy(), m, s_q, d_q, s, d)[0]
                 ok = np.isfinite(r)
                 yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(ok) + b * block), pa.array(r[ok])], names=["pos", "r"])
 
-    return blocks(series, m, block, n - m + 1).mapInArrow(run, "pos bigint, r double")
+    return blocks(values, m, block, (n - m) // block).mapInArrow(run, "pos bigint, r double")
 
 
 def distance_row(series: DataFrame, row: int, m: int, exclusion: int | None = None, block: int = BLOCK) -> DataFrame:
@@ -68,5 +72,7 @@ def distance_row(series: DataFrame, row: int, m: int, exclusion: int | None = No
     values = series.filter(F.col("pos").between(row, row + m - 1)).orderBy("pos").collect()  # m rows
     if len(values) < m:
         raise ValueError(f"no window starts at {row}")
-    found = search(series, [float("nan") if r[1] is None else float(r[1]) for r in values], block)
+    if any(r[1] is None for r in values):
+        return series.sparkSession.createDataFrame([], "pos bigint, dist double")  # a window with a null has no distances
+    found = search(series, [r[1] for r in values], block)
     return found.filter(F.abs(F.col("pos") - row) >= apart).select("pos", correlation_to_dist(F.col("r"), m).alias("dist"))

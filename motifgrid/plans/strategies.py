@@ -7,30 +7,39 @@
 
 The pair triangle is cut into squares of tiles, one task each; a task folds all
 its tiles to one best partner a position before anything is shuffled. With G
-squares a side (about the root of eight times the cores), the partial results
-are G rows a position, and the shuffle strategy sends every value to G tasks.
-Tiles inside the exclusion band are left out.
+squares a side (about the root of eight times the cores, more where a square's
+side would pass ``SIDE_VALUES``), the partial results are G rows a position, and
+the shuffle strategy sends every value to G tasks. Tiles inside the exclusion
+band are left out.
+
+Values are centred before anything else, on a whole number if they are whole:
+distances don't see it. Whole values whose sums then stay exact give equal
+results on every strategy (``exact``); all others are general doubles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from motifgrid.functions.expressions import exact_correlation
 from motifgrid.operators.profiles import best, both_sides, finished
-from motifgrid.operators.series import fits_exactly, window_stats
+from motifgrid.operators.series import bounds, haloed, window_stats
 from motifgrid.storage import ship_package
 
-from .kernel import Best, tile
+from .kernel import Best, exact_bound, tile
 
 #: Longest series (8 bytes a value) that is sent whole to every executor.
 BROADCAST_VALUES = 10_000_000
 TILE = 4096
+#: Most windows of a square's side, and most partitions that squares are dealt to.
+SIDE_VALUES, MOST_PARTITIONS = 1 << 20, 10_000
 _PARTIAL = "pos bigint, r double, nn bigint"
 _ARROW = pa.schema([("pos", pa.int64()), ("r", pa.float64()), ("nn", pa.int64())])
 
@@ -44,7 +53,11 @@ def value_column(series: DataFrame) -> str:
 
 
 def checked_length(series: DataFrame, m: int) -> int:
-    n = (series.agg(F.max("pos")).first()[0] or -1) + 1 if not series.isEmpty() else 0
+    """Number of positions, counted once for each DataFrame."""
+    n = getattr(series, "_motifgrid_length", None)
+    if n is None:
+        last = series.agg(F.max("pos")).first()[0]
+        n = series._motifgrid_length = 0 if last is None else last + 1
     if m < 2:
         raise ValueError("a window has 2 values at least")
     if n < m:
@@ -52,27 +65,45 @@ def checked_length(series: DataFrame, m: int) -> int:
     return n
 
 
-def collect_values(series: DataFrame, n: int) -> np.ndarray:
-    """The series as an array, through Arrow; missing positions and nulls are NaN."""
+def centre(series: DataFrame) -> tuple[int | float, int | None]:
+    """A number near the values' middle, whole for whole values, and these' largest distance from it (null for doubles)."""
+    found = getattr(series, "_motifgrid_centre", None)
+    if found is None:
+        if value_column(series) == "c":
+            low, high = bounds(series)
+            middle = (low + high) // 2
+            found = middle, high - middle
+        else:
+            found = series.agg(F.avg(finite("value"))).first()[0] or 0.0, None
+        series._motifgrid_centre = found
+    return found
+
+
+def finite(name: str) -> Column:
+    """The column as a double, null where it is no finite number."""
+    v = F.col(name).cast("double")
+    return F.when(F.abs(v) < float("inf"), v)  # NaN counts as larger than any number
+
+
+def centred(series: DataFrame, m: int) -> tuple[DataFrame, bool]:
+    """``pos, v``: the centred values as doubles, null where missing, and whether windows of ``m`` of them are exact."""
+    middle, top = centre(series)
+    if top is None:
+        return series.select("pos", (finite("value") - F.lit(middle)).alias("v")), False
+    near = (F.col("c") - F.lit(middle)).cast("double") if top < 2**62 else F.col("c").cast("double") - F.lit(float(middle))
+    return series.select("pos", near.alias("v")), exact_bound(m, top)
+
+
+def collect_values(series: DataFrame, n: int, m: int) -> tuple[np.ndarray, bool]:
+    """The centred series as an array, through Arrow (missing positions and nulls are NaN), and whether it is exact."""
     ship_package(series.sparkSession)
     if n > BROADCAST_VALUES:
         raise ValueError(f"{n} values are too many to broadcast; use the shuffle strategy")
-    name = value_column(series)
-    table = series.select("pos", F.col(name).cast("double").alias("v")).toArrow()
+    values, exact = centred(series, m)
+    table = values.toArrow()
     out = np.full(n, np.nan)
     out[table.column("pos").to_numpy()] = table.column("v").to_numpy()
-    return out
-
-
-def exact_mode(series: DataFrame, m: int) -> bool:
-    """Whole values whose product sums stay below 2^53 as doubles."""
-    if value_column(series) != "c":
-        return False
-    if not fits_exactly(series, m):
-        return False
-    low, high = series.agg(F.min("c"), F.max("c")).first()
-    top = max(abs(low or 0), abs(high or 0))
-    return (m * top) ** 2 < 2**53
+    return out, exact
 
 
 def _out(bests: Iterable[Best]) -> Iterator[pa.RecordBatch]:
@@ -88,41 +119,61 @@ def _out(bests: Iterable[Best]) -> Iterator[pa.RecordBatch]:
 def cells_sql(series: DataFrame, m: int, band: int, first: int | None = None, last: int | None = None) -> DataFrame:
     """``i, j, r`` of all pairs on the diagonals ``first`` to ``last`` (default: outside the band to the end).
 
-    One equi-join on position for each lag, a running sum along each diagonal
-    and the difference of two of them for the dot product.
+    One equi-join on position for each lag. Whole values take running sums along
+    each diagonal and the difference of two of them for the dot product; general
+    doubles a sum over each window and deviations in two passes, so nothing
+    accumulates.
     """
-    p = checked_length(series, m) - m + 1
+    n = checked_length(series, m)
+    p = n - m + 1
     first, last = band + 1 if first is None else first, p - 1 if last is None else last
+    middle, top = centre(series)
+    whole = top is not None and max(n, m * m) * top * top < 2**62
+    values = series.select("pos", (F.col("c") - F.lit(middle)).alias("c")) if whole else centred(series, m)[0].withColumnRenamed("v", "c")
     lags = F.explode(F.sequence(F.lit(first), F.lit(last))).alias("diag") if first <= last else F.explode(F.array().cast("array<int>")).alias("diag")
-    ahead = series.select(F.col("pos").alias("i"), F.col("c").alias("a"), lags).withColumn("pos", F.col("i") + F.col("diag"))
-    paired = ahead.join(series.withColumnRenamed("c", "b"), "pos").select("diag", "i", (F.col("a") * F.col("b")).alias("ab"))
+    ahead = values.select(F.col("pos").alias("i"), F.col("c").alias("a"), lags).withColumn("pos", F.col("i") + F.col("diag"))
+    paired = ahead.join(values.withColumnRenamed("c", "b"), "pos").select("diag", "i", (F.col("a") * F.col("b")).alias("ab"))
     w = Window.partitionBy("diag").orderBy("i")
-    run = paired.withColumn("run", F.sum(F.coalesce("ab", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    dots = run.withColumn("end", F.lead("run", m - 1).over(w)).filter("end IS NOT NULL")
-    dots = dots.select("i", (F.col("i") + F.col("diag")).alias("j"), (F.col("end") - F.col("run") + F.coalesce("ab", F.lit(0))).alias("q"))
-    st = window_stats(series, m)
+    if whole:
+        run = paired.withColumn("run", F.sum(F.coalesce("ab", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        dots = run.withColumn("end", F.lead("run", m - 1).over(w)).filter("end IS NOT NULL")
+        dots = dots.select("i", (F.col("i") + F.col("diag")).alias("j"), (F.col("end") - F.col("run") + F.coalesce("ab", F.lit(0))).alias("q"))
+        values._motifgrid_bounds = (-top, top)
+        st = window_stats(values, m)
+    else:
+        frame = w.rowsBetween(0, m - 1)
+        dots = paired.select("i", (F.col("i") + F.col("diag")).alias("j"), F.sum("ab").over(frame).alias("q"), F.count("ab").over(frame).alias("n")).filter(F.col("n") == m).drop("n")
+        st = two_pass_stats(values, m)
     si, sj = (st.select(F.col("pos").alias(k), F.col("s0").alias(f"s_{k}"), F.col("sd").alias(f"sd_{k}")) for k in ("i", "j"))
     both = dots.join(si, "i").join(sj, "j")
     return both.select("i", "j", exact_correlation(m, F.col("q"), F.col("s_i"), F.col("sd_i"), F.col("s_j"), F.col("sd_j")).alias("r"))
 
 
+def two_pass_stats(values: DataFrame, m: int) -> DataFrame:
+    """``pos, s0, sd`` of each full window of doubles ``c`` without a null: the mean first, then the deviations from it."""
+    w = Window.partitionBy("b").orderBy("pos").rowsBetween(0, m - 1)
+    held = haloed(values, m).select("pos", "own", F.collect_list("c").over(w).alias("x")).filter(F.col("own") & (F.size("x") == m))
+    total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
+    held = held.withColumn("s0", total)
+    square = F.aggregate("x", F.lit(0.0), lambda a, v: a + (v - F.col("s0") / m) * (v - F.col("s0") / m))
+    return held.select("pos", "s0", F.when(F.array_max("x") == F.array_min("x"), 0.0).otherwise(F.sqrt(m * square)).alias("sd"))
+
+
 # --- broadcast ----------------------------------------------------------------------------
 
 
 def squares(p: int, size: int, cores: int) -> tuple[int, int]:
-    """Squares a side, and tiles a square's side, for ``p`` windows: about four tasks a core."""
+    """Squares a side, and tiles a square's side, for ``p`` windows: about four tasks a core, more beyond ``SIDE_VALUES``."""
     k = -(-p // size)
-    side = -(-k // max(1, round((8 * cores) ** 0.5)))
+    side = min(-(-k // max(1, round((8 * cores) ** 0.5))), max(1, SIDE_VALUES // size))
     return -(-k // side), side
 
 
 def square_of(task: int, g: int) -> tuple[int, int]:
-    """Row and column of a task in the triangle of squares, row by row."""
-    row = 0
-    while task >= g - row:
-        task -= g - row
-        row += 1
-    return row, row + task
+    """Row and column of a task in the triangle of squares, row by row: rows hold g, g - 1, ... squares."""
+    left = g * (g + 1) // 2 - 1 - task  # squares after it; rows from the end hold 1, 2, ...
+    row = g - 1 - (isqrt(8 * left + 1) - 1) // 2
+    return row, task - row * g + row * (row - 1) // 2 + row
 
 
 def _square(block, row: int, column: int, side: int, size: int, p: int, m: int, band: int, exact: bool, half: str, since: int = 0, keep=None) -> Iterator[pa.RecordBatch]:
@@ -150,9 +201,7 @@ def partial_broadcast(series: DataFrame, m: int, band: int, size: int = TILE, ha
     """
     n = checked_length(series, m)
     spark, p = series.sparkSession, n - m + 1
-    values, exact = collect_values(series, n), exact_mode(series, m)
-    if not exact:
-        values = values - (np.nanmean(values) if np.isfinite(values).any() else 0.0)
+    values, exact = collect_values(series, n, m)
     shared = spark.sparkContext.broadcast(values)
     g, side = squares(p, size, spark.sparkContext.defaultParallelism)
     tasks = g * (g + 1) // 2
@@ -171,54 +220,61 @@ def partial_broadcast(series: DataFrame, m: int, band: int, size: int = TILE, ha
 # --- shuffle ------------------------------------------------------------------------------
 
 
-def blocks(series: DataFrame, m: int, size: int, p: int) -> DataFrame:
-    """``b, a``: values of each block with its halo of ``m - 1``, as one array."""
-    name = value_column(series)
-    reach = (size + m - 2) // size  # a value is in its own block and in so many before
-    low, high = F.greatest(F.lit(0), F.expr(f"pos div {size}") - reach), F.least(F.expr(f"pos div {size}"), F.lit((p - 1) // size))
-    rows = series.select("pos", F.col(name).cast("double").alias("v"), F.explode(F.sequence(low, high)).alias("b"))
-    rows = rows.filter(F.col("pos") < F.col("b") * size + F.least(F.lit(size), F.lit(p) - F.col("b") * size) + m - 1)
-    whole = rows.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("v", F.lit(float("nan"))).alias("v")))).alias("a"))
-    return whole.select("b", F.col("a.v").alias("a"))
+def blocks(values: DataFrame, m: int, size: int, last: Column | int, *keys: str) -> DataFrame:
+    """``b, a`` (by key): centred values ``v`` of each block up to number ``last`` with its halo of ``m - 1``, as one array; NaN where missing."""
+    own, back = F.expr(f"pos div {size}"), (size + m - 2) // size  # a value is in its own block and in so many before
+    rows = values.select(*keys, "pos", "v", F.explode(F.sequence(F.greatest(F.lit(0), own - back), F.least(own, last if isinstance(last, Column) else F.lit(last)))).alias("b"))
+    rows = rows.filter(F.col("pos") < (F.col("b") + 1) * size + m - 1)
+    whole = rows.groupBy(*keys, "b").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("v", F.lit(float("nan"))).alias("v")))).alias("a"))
+    return whole.select(*keys, "b", F.col("a.v").alias("a"))
 
 
-def partial_shuffle(series: DataFrame, m: int, band: int, size: int = TILE, half: str = "both") -> DataFrame:
-    """Partial profile from blocks sent to the squares that need them; no task holds the series.
+def partial_squares(blocked: DataFrame, m: int, band: int, size: int, tasks: int, half: str = "both") -> DataFrame:
+    """``key, pos, r, nn`` from blocks ``key, b, a`` of one or many series; no task holds a series.
 
-    A square's blocks arrive together and are held while its tiles run: twice
-    a square's side of values.
+    Each block also has its series' number of windows ``p``, tiles a square's
+    side ``side``, squares a side ``g`` and ``exact``. It goes to the ``g`` squares of its row and
+    column; a square's blocks arrive together and are held while its tiles run:
+    twice a square's side of values, whatever the series' length. ``tasks`` is
+    the number of squares of all series.
     """
-    n = checked_length(series, m)
-    spark, p = series.sparkSession, n - m + 1
-    exact = exact_mode(series, m)
-    if not exact:
-        name = value_column(series)
-        mean = series.agg(F.avg(F.when(~F.isnan(F.col(name).cast("double")), F.col(name)))).first()[0] or 0.0
-        series = series.select("pos", (F.col(name) - F.lit(mean)).alias("value"))
-    ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-    g, side = squares(p, size, spark.sparkContext.defaultParallelism)
-    tasks = g * (g + 1) // 2
-    own, other = F.expr(f"b div {side}"), F.explode(F.sequence(F.lit(0), F.lit(g - 1))).alias("other")
-    sent = blocks(series, m, size, p).select("b", "a", own.alias("own"), other)
-    row, column = F.least("own", "other"), F.greatest("own", "other")
-    # rows above hold g, g - 1, ... squares
-    sent = sent.select((row * g - F.expr("least(own, other) * (least(own, other) - 1) div 2") + column - row).cast("bigint").alias("task"), "b", "a")
-    placed = sent.repartitionByRange(tasks, "task").sortWithinPartitions("task", "b")
+    ship_package(blocked.sparkSession)
+    kind = blocked.schema["key"].dataType
+    own, other = F.expr("b div side"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("g") - 1)).alias("other")
+    sent = blocked.select("key", own.alias("own"), other, "b", "a", "p", "side", "exact")
+    sent = sent.select("key", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("col"), "b", "a", "p", "side", "exact")
+    placed = sent.repartitionByRange(min(tasks, MOST_PARTITIONS), "key", "row", "col").sortWithinPartitions("key", "row", "col", "b")
+    schema = pa.schema([("key", to_arrow_type(kind)), *_ARROW])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {}
+
+        def finish():
+            key, row, column, p, side, exact = now
+            for out in _square(held.__getitem__, row, column, side, size, p, m, band, exact, half):
+                yield pa.RecordBatch.from_arrays([pa.array([key] * out.num_rows, schema.field("key").type), *out.columns], schema=schema)
+
         for batch in batches:
-            for k, (task, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                if task != now and now is not None:
-                    yield from _square(held.__getitem__, *square_of(now, g), side, size, p, m, band, exact, half)
-                    held = {}
-                now = task
-                held[b] = batch.column(2)[k].values.to_numpy(zero_copy_only=False)
+            own = list(zip(*[batch.column(k).to_pylist() for k in (0, 1, 2, 5, 6, 7)]))
+            for k, (square, b) in enumerate(zip(own, batch.column(3).to_pylist())):
+                if square != now:
+                    if now is not None:
+                        yield from finish()
+                    now, held = square, {}
+                held[b] = batch.column(4)[k].values.to_numpy(zero_copy_only=False).copy()
         if now is not None:
-            yield from _square(held.__getitem__, *square_of(now, g), side, size, p, m, band, exact, half)
+            yield from finish()
+
+    return placed.mapInArrow(run, f"key {kind.simpleString()}, {_PARTIAL}")
+
 
-    return placed.mapInArrow(run, _PARTIAL)
+def partial_shuffle(series: DataFrame, m: int, band: int, size: int = TILE, half: str = "both") -> DataFrame:
+    """Partial profile from blocks sent to the squares that need them."""
+    p = checked_length(series, m) - m + 1
+    values, exact = centred(series, m)
+    g, side = squares(p, size, series.sparkSession.sparkContext.defaultParallelism)
+    own = blocks(values, m, size, (p - 1) // size).select(F.lit(0).alias("key"), "b", "a", *[F.lit(x).cast("bigint").alias(c) for c, x in (("p", p), ("side", side), ("g", g))], F.lit(exact).alias("exact"))
+    return partial_squares(own, m, band, size, g * (g + 1) // 2, half).drop("key")
 
 
 # --- the query ----------------------------------------------------------------------------

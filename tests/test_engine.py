@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -120,7 +122,7 @@ def test_general_doubles_in_both_forms(long, monkeypatch):
     x = np.cumsum(np.random.default_rng(2).normal(size=150)) + 1e6
     x[40] = np.nan
     x[90:110] = x[90]
-    _, r, nn = keyed.series_profile(x, 10, 2, False)
+    _, r, nn = keyed.series_profile(x, 10, 2)
     want = brute(x, 10)
     for k, (dist, near) in want.items():
         assert (nn[k] == -1) == (near is None)
@@ -173,7 +175,7 @@ def test_kernel_properties(values, m, size):
                         r[pos], nn[pos] = value, near
     want = brute(values, m)
     assert nn.tolist() == [-1 if v[1] is None else v[1] for v in want.values()]
-    _, _, moved = keyed.series_profile(3 * x + 100, m, band, True)
+    _, _, moved = keyed.series_profile(3 * x + 100, m, band)
     assert moved.tolist() == nn.tolist()
 
 
@@ -191,12 +193,8 @@ def test_positions(spark):
     rows = spark.createDataFrame([(k * 7 % 1000, float(k)) for k in range(1000)], "k bigint, v double")
     want = [(j, v) for j, (_, v) in enumerate(sorted((r["k"], r["v"]) for r in rows.collect()))]
     assert sorted(map(tuple, series.with_positions(rows, "k", "v").collect())) == want
-    old = series.RANGE_ROWS
-    series.RANGE_ROWS = 90
-    try:
-        assert sorted(map(tuple, series.with_positions(rows, "k", "v").collect())) == want
-    finally:
-        series.RANGE_ROWS = old
+    for ranges in (1, 7, 200):
+        assert sorted(map(tuple, series.with_positions(rows, "k", "v", ranges=ranges).collect())) == want
     with pytest.raises(ValueError):
         series.with_positions(rows.union(rows), "k", "v")
 
@@ -259,3 +257,136 @@ def test_similarity_search(spark, block):
         assert row.count() == 141 - 3
     with pytest.raises(ValueError):
         search.distance_row(s, 145, 10)
+
+
+def whole_brute(values, m):
+    """The profile by integers of any size: pairs compare by sign and square of covariance over the variances' product."""
+    p, band = len(values) - m + 1, m // 4
+    w = [values[i : i + m] for i in range(p)]
+    s = [sum(x) for x in w]
+    v = [m * sum(a * a for a in x) - t * t for x, t in zip(w, s)]
+    out = {}
+    for i in range(p):
+        best = None
+        for j in range(p):
+            if abs(i - j) <= band:
+                continue
+            if v[i] == 0 or v[j] == 0:
+                r = Fraction(int(v[i] == v[j] == 0))
+            else:
+                c = m * sum(a * b for a, b in zip(w[i], w[j])) - s[i] * s[j]
+                r = Fraction(c * abs(c), v[i] * v[j])  # the sign and square of the correlation
+            if best is None or r > best[0]:
+                best = (r, j)
+        out[i] = (None, None) if best is None else (np.sqrt(max(0.0, 2 * m * (1 - np.copysign(np.sqrt(abs(float(best[0]))), float(best[0]))))), best[1])
+    return out
+
+
+@settings(max_examples=60, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.integers(2, 100), st.integers(-(10**12), 10**12), st.integers(1, 400), st.integers(0, 10**6), st.integers(20, 200))
+def test_offsets_change_nothing_in_the_kernel(m, offset, spread, seed, more):
+    x = np.random.default_rng(seed).integers(0, spread + 1, m + more)
+    small, big = keyed.series_profile(x, m, m // 4), keyed.series_profile(x + offset, m, m // 4)
+    assert kernel.prepared(x + offset, m)[1]
+    for a, b in zip(small, big):
+        assert np.array_equal(a, b, equal_nan=True)
+
+
+@pytest.mark.parametrize("m,offset", [(2, 10**12), (8, 10_000_000), (8, -(10**9)), (30, 10**12), (64, 123_456_789)])
+def test_every_strategy_is_exact_on_large_whole_values(spark, m, offset):
+    values = [int(v) + offset for v in np.random.default_rng(m).integers(0, 50, m + 90)]
+    s, want = make(spark, values), whole_brute(values, m)
+    for how in HOW:
+        same(got(strategies.matrix_profile(s, m, how, tile_size=37)), want, 1e-6)
+    same(got(sampled.sampled_profile(s, m, 1, exclusion=m // 4 + 1)), want, 1e-6)
+    same(got(sampled.sampled_profile(s, m, 1, exclusion=m // 4 + 1, strategy="shuffle", size=37)), want, 1e-6)
+    rows = s.selectExpr("1 AS u", "pos AS o", "c AS v")
+    for limit in (10**6, 10):
+        same({r["pos"]: (r["dist"], r["nn"]) for r in keyed.keyed_profiles(rows, "u", "o", "v", m, key_rows=limit).collect()}, want, 1e-6)
+    found = {r["pos"]: r["dist"] for r in search.distance_row(s, 5, m, block=40).collect()}
+    near = want[5][1]
+    assert found[near] == min(found[k] for k in found if abs(k - 5) > m // 4)
+    with_doubles = s.select("pos", (F.col("c") - offset).cast("double").alias("value"))
+    for how in HOW:
+        for k, (dist, _) in got(strategies.matrix_profile(with_doubles, m, how, tile_size=37)).items():
+            assert abs(dist - want[k][0]) < 1e-5
+
+
+def test_the_reported_case_of_a_long_series(spark):
+    """4,200 values of 0..49, m = 8: ten million more on each value changes no neighbour."""
+    x = np.random.default_rng(0).integers(0, 50, 4200)
+    a, b = (got(strategies.matrix_profile(make(spark, (x + k).tolist()), 8, "broadcast")) for k in (0, 10_000_000))
+    assert a == b
+    assert got(strategies.matrix_profile(make(spark, (x + 10_000_000).tolist()), 8, "shuffle")) == a
+
+
+@pytest.mark.parametrize("how", HOW)
+def test_values_beyond_the_exact_bound(spark, how):
+    """A range too wide for exact sums: general doubles, near the truth."""
+    values = [int(v) for v in np.random.default_rng(3).integers(-(10**12), 10**12, 80)]
+    want = whole_brute(values, 8)
+    for k, (dist, _) in got(strategies.matrix_profile(make(spark, values), 8, how, tile_size=30)).items():
+        assert abs(dist - want[k][0]) < 1e-6
+
+
+@pytest.mark.parametrize("how", HOW)
+def test_missing_and_infinite_doubles(spark, how):
+    x = np.random.default_rng(4).normal(size=60)
+    x[20], x[40] = np.nan, np.inf
+    values = x.tolist()
+    values[50] = None
+    clean = [None if v is None or not np.isfinite(v) else v for v in values]
+    same(got(strategies.matrix_profile(make(spark, values, "value"), 6, how, tile_size=20)), brute(clean, 6), 1e-7)
+
+
+@pytest.mark.parametrize("step,m,size", [(3, 12, 50), (5, 8, 16), (16, 10, 64), (1, 6, 33)])
+def test_sampled_pass_by_blocks_equals_the_broadcast_one(spark, step, m, size):
+    r = np.random.default_rng(step)
+    whole = r.integers(0, 40, 230).tolist()
+    whole[60:90], whole[120] = [5] * 30, None
+    for s in (make(spark, whole), make(spark, np.cumsum(r.normal(size=230)).tolist(), "value")):
+        same(got(sampled.sampled_profile(s, m, step, strategy="shuffle", size=size)), got(sampled.sampled_profile(s, m, step, strategy="broadcast")), 1e-9)
+        a, b = (sorted(map(tuple, sampled.sampled_rows(s, m, step, strategy=h, size=size).select("i", F.round("r", 9), "nn").collect())) for h in ("shuffle", "broadcast"))
+        assert a == b
+
+
+def test_squares_are_bounded():
+    g, side = strategies.squares(10**9, strategies.TILE, 16)
+    assert side * strategies.TILE <= strategies.SIDE_VALUES and g * side * strategies.TILE >= 10**9
+    for g in (1, 2, 7, 1000):
+        tasks = g * (g + 1) // 2
+        for t in {0, 1, tasks // 3, tasks - 1} & set(range(tasks)):
+            row, column = strategies.square_of(t, g)
+            assert 0 <= row <= column < g and row * g - row * (row - 1) // 2 + column - row == t
+
+
+def test_positions_of_any_key(spark):
+    """Null keys come first at every size; any orderable type; thousands of ranges in one plan of fixed size."""
+    for n in (5, 3000):
+        rows = spark.range(n).selectExpr("CASE WHEN id = 3 THEN NULL ELSE timestamp_seconds(id * 7919 % 100003) END AS t", "CASE WHEN id = 3 THEN NULL ELSE cast(id * 7919 % 100003 AS string) END AS s", "CASE WHEN id = 3 THEN NULL ELSE cast(id * 7919 % 100003 AS decimal(20, 2)) END AS d", "id AS v")
+        for key in ("t", "s", "d"):
+            found = series.with_positions(rows, key, "v", ranges=None if n < 10 else 60).collect()
+            order = [r["v"] for r in rows.orderBy(key).collect()]
+            assert [r["value"] for r in sorted(found, key=lambda r: r["pos"])] == order and order[0] == 3
+        twice = rows.unionByName(rows.filter("id = 3") if "id" in rows.columns else rows.filter("v = 3"))
+        with pytest.raises(ValueError):
+            series.with_positions(twice, "t", "v")
+    placed = spark.range(20_000).select((F.shiftleft(F.expr("id div 4"), 33) + F.col("id") % 4).alias("__at"), F.col("id").alias("value"))
+    assert series.numbered(placed).filter("pos <> value").isEmpty()
+    assert series.with_positions(spark.range(0).selectExpr("id AS k", "id AS v"), "k", "v").count() == 0
+
+
+def test_tied_order_values_have_one_rule(spark):
+    """Equal order values stand in the order of their values, for short and long keys alike."""
+    r = np.random.default_rng(1)
+    rows = [(u, int(k) // 3, float(v)) for u in (1, 2) for k, v in enumerate(r.integers(0, 9, 60))] + [(1, None, 4.0)]
+    df = spark.createDataFrame(rows, "u bigint, o bigint, v double")
+    a, b = (sorted(map(tuple, keyed.keyed_profiles(df.repartition(k), "u", "o", "v", 6, key_rows=limit).collect())) for k, limit in ((3, 1000), (5, 10)))
+    assert a == b and len(a) == 56 + 55
+
+
+def test_sums_of_large_values(spark):
+    x = [3_000_000_000 + k * k for k in range(200)]
+    found = {r["pos"]: (r["s0"], r["q0"]) for r in series.window_sums(make(spark, [v // 100 for v in x]), 5, 64).collect()}
+    y = [v // 100 for v in x]
+    assert found == {k: (sum(y[k : k + 5]), sum(v * v for v in y[k : k + 5])) for k in range(196)}
