@@ -62,30 +62,49 @@ def compare(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def validate(results: dict[str, DataFrame], baseline: str) -> DataFrame:
     """``algo, n_positions, n_diff, max_abs_diff`` of each result against the baseline."""
-    rows = [compare(results[baseline], r).join(r.agg(F.count("*").alias("n_positions"))).select(F.lit(name).alias("algo"), "n_positions", "n_diff", "max_abs_diff") for name, r in results.items() if name != baseline]
+    rows = []
+    for name, r in results.items():
+        if name != baseline:
+            base = results[baseline].select("pos", F.lit(0).alias("side"), "dist", "nn").unionByName(r.select("pos", F.lit(1).alias("side"), "dist", "nn"))
+            at = base.groupBy("pos").agg(*[F.max(F.when(F.col("side") == k, F.struct("dist", "nn"))).alias(f"s{k}") for k in (0, 1)])
+            both = F.col("s0").isNotNull() & F.col("s1").isNotNull()
+            rows.append(
+                at.agg(
+                    F.count("s1").alias("n_positions"),
+                    F.count(F.when(both & ~F.col("s0.nn").eqNullSafe(F.col("s1.nn")), 1)).alias("n_diff"),
+                    F.coalesce(F.max(F.when(both, F.abs(F.col("s0.dist") - F.col("s1.dist")))), F.lit(0.0)).alias("max_abs_diff"),
+                ).select(F.lit(name).alias("algo"), "n_positions", "n_diff", "max_abs_diff")
+            )
     return reduce(DataFrame.unionByName, rows)
 
 
-def pair_runs(files: DataFrame, baselines: Sequence[str] = ("sampled_exact", "sequential")) -> DataFrame:
-    """Result files to compare: ``baseline, other`` for each configuration.
-
-    ``file`` names look like ``matprof_v<id>_l<n>m<m>...alg#<name>#...``. The
-    baseline is the first file of the first algorithm in ``baselines`` that there
-    is; a configuration without any compares each file with the one before.
-    """
+def named_runs(files: DataFrame) -> DataFrame:
+    """``file, config, algo, procs, n, m`` of result files, from names like ``matprof_v<id>_l<n>m<m>...alg#<name>#..._p<ranks>_...``."""
     named = files.select(
         "file",
         F.regexp_extract("file", r"matprof_v(.*?_l\d+m\d+)", 1).alias("config"),
         F.regexp_extract("file", r"alg#([^#]*)#", 1).alias("algo"),
         F.regexp_extract("file", r"_p(\d+)_", 1).alias("procs"),
-    ).filter("config <> ''")
+        F.regexp_extract("file", r"_l(\d+)m\d+", 1).alias("n"),
+        F.regexp_extract("file", r"_l\d+m(\d+)", 1).alias("m"),
+    )
+    return named.filter("config <> ''")
+
+
+def pair_runs(files: DataFrame, baselines: Sequence[str] = ("sampled_exact", "sequential")) -> DataFrame:
+    """Result files to compare: ``config, baseline, other, algo, procs, by_baseline``.
+
+    The baseline is the first file of the first algorithm in ``baselines`` that
+    there is; a configuration without any compares each file with the one before.
+    """
     known = F.array(*[F.lit(x) for x in baselines])
-    order = F.when(F.array_contains(known, F.col("algo")), F.array_position(known, F.col("algo"))).otherwise(len(baselines) + 1)
-    w = Window.partitionBy("config").orderBy("rank", "file")
-    ranked = named.withColumn("rank", order)
-    ranked = ranked.select("*", F.first("file").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("f0"), F.min("rank").over(Window.partitionBy("config")).alias("r0"), F.lag("file").over(Window.partitionBy("config").orderBy("file")).alias("prior"))
-    base = F.when(F.col("r0") <= len(baselines), F.col("f0")).otherwise(F.col("prior"))
-    return ranked.select("config", base.alias("baseline"), F.col("file").alias("other"), "algo", "procs").filter("baseline IS NOT NULL AND baseline <> other")
+    rank = F.when(F.array_contains(known, F.col("algo")), F.array_position(known, F.col("algo"))).otherwise(len(baselines) + 1)
+    own = Window.partitionBy("config")
+    ranked = named_runs(files).withColumn("rank", rank)
+    ranked = ranked.select("*", F.min(F.struct("rank", "file")).over(own).alias("top"), F.lag("file").over(own.orderBy("file")).alias("prior"))
+    by = F.col("top.rank") <= len(baselines)
+    chosen = ranked.select("config", F.when(by, F.col("top.file")).otherwise(F.col("prior")).alias("baseline"), F.col("file").alias("other"), "algo", "procs", by.alias("by_baseline"))
+    return chosen.filter("baseline IS NOT NULL AND baseline <> other")
 
 
 def motifs(profile: DataFrame, k: int) -> DataFrame:

@@ -158,14 +158,3 @@ def diagonal_cumulative(series: DataFrame, m: int, diag: int, block: int = BLOCK
     shifted = _diagonal(series, diag)
     cum = prefix_sums(shifted, block).select("pos", "cum")
     return cum.join(window_sums(shifted, m, block, squares=False).select("pos", "s0"), "pos", "left").select(F.col("pos").alias("i"), "cum", F.col("s0").alias("dot"))
-
-
-def first_dots(series: DataFrame, m: int) -> DataFrame:
-    """``diag, dot``: dot product of the first window with every window: the first cell of each diagonal."""
-    head = series.filter(F.col("pos") < m).select(F.col("pos").alias("k"), F.col("c").alias("a"))  # m rows
-    n = series.agg(F.max("pos")).first()[0]
-    if n is None or n + 1 < m:
-        return series.sparkSession.createDataFrame([], "diag bigint, dot bigint")
-    k = F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("k")
-    pairs = series.select("pos", F.col("c").alias("v"), k).withColumn("diag", F.col("pos") - F.col("k")).filter(F.col("diag").between(0, n + 1 - m))
-    return pairs.join(F.broadcast(head), "k").groupBy("diag").agg(F.sum(F.col("a") * F.col("v")).alias("dot"))

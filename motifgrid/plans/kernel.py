@@ -189,6 +189,7 @@ class Best:
 
     def __init__(self, first: int, n: int):
         self.first, self.r, self.nn = first, np.full(n, -np.inf), np.full(n, np.iinfo(np.int64).max)
+        self.updates = 0  # of the best, by ``put_at``
 
     def put(self, at: slice, r: np.ndarray, nn: np.ndarray) -> None:
         old_r, old_n = self.r[at], self.nn[at]
@@ -204,12 +205,18 @@ class Best:
         """The same for chosen places, each once."""
         win = (r > self.r[places]) | (nn < self.nn[places])
         self.r[places[win]], self.nn[places[win]] = r[win], nn[win]
+        self.updates += int(np.count_nonzero(win))
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.flatnonzero(self.r > -np.inf)
         return at + self.first, self.r[at], self.nn[at]
 
 
+def cells(first_i: int, rows: int, first_j: int, columns: int, band: int) -> int:
+    """Pairs of a tile outside the band: those that ``tile`` evaluates."""
+    return int(np.clip(first_j + columns - 1 - band - np.arange(first_i, first_i + rows), 0, columns).sum())
+
+
 def tile(x: np.ndarray, y: np.ndarray, first_i: int, first_j: int, m: int, band: int, exact: bool, row_best: Best, column_best: Best, half: str = "both") -> None:
     """Fold one tile: windows of x (from position ``first_i``) against those of y, pairs with ``j - i > band`` only.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,15 +61,29 @@ def tile_geometry(spark: SparkSession, lengths: DataFrame, m: int, side: int) ->
     return rows.withColumn("tile_length", F.expr(f"(n + pad - {m + m // 4}) div {side}"))
 
 
-def next_process_count(current: int, mode: str, step: int = 1) -> int:
-    """The next count of a scaling run: ``linear``, ``exp``, ``square`` or ``square_exp``."""
-    root = round(current**0.5)
+#: Fixed value: square counts below this may lie under the power that they stand for.
+SMALL_SQUARE = 20
+
+
+def next_process_count(current: int, mode: str, base: int = 2) -> int:
+    """The next count of a scaling run.
+
+    ``linear`` adds the base, ``square`` takes the next square number, ``exp`` the
+    next power of the base, and ``square_exp`` a square near that power: the last
+    one up to it if that is small and an advance, else the one after.
+    """
+    if mode not in ("linear", "square", "exp", "square_exp"):
+        raise ValueError(f"no scaling mode {mode!r}")
+    if current < 1 or base < (1 if mode in ("linear", "square") else 2):
+        raise ValueError(f"no {mode} scaling from {current} with base {base}")
     if mode == "linear":
-        return current + step
-    if mode == "exp":
-        return current * 2
+        return current + base
     if mode == "square":
-        return (root + step) ** 2
-    if mode == "square_exp":
-        return (root * 2) ** 2
-    raise ValueError(f"no scaling mode {mode!r}")
+        return (isqrt(current) + 1) ** 2
+    power = base
+    while power <= current:
+        power *= base
+    if mode == "exp":
+        return power
+    root = isqrt(power)
+    return root**2 if current < root**2 < SMALL_SQUARE else (root + 1) ** 2

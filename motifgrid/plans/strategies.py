@@ -24,16 +24,17 @@ from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from motifgrid.functions.expressions import exact_correlation
 from motifgrid.operators.profiles import best, both_sides, finished
 from motifgrid.operators.series import bounds, haloed, window_stats
+from motifgrid.sources.generate import draw
 from motifgrid.storage import ship_package
 
-from .kernel import Best, exact_bound, tile
+from .kernel import Best, cells, exact_bound, tile
 
 #: Longest series (8 bytes a value) that is sent whole to every executor.
 BROADCAST_VALUES = 10_000_000
@@ -176,9 +177,14 @@ def square_of(task: int, g: int) -> tuple[int, int]:
     return row, task - row * g + row * (row - 1) // 2 + row
 
 
-def _square(block, row: int, column: int, side: int, size: int, p: int, m: int, band: int, exact: bool, half: str, since: int = 0, keep=None) -> Iterator[pa.RecordBatch]:
-    """All tiles of a square; ``block(b)`` gives the values of a block with its halo."""
+def _square(block, row: int, column: int, side: int, size: int, p: int, m: int, band: int, exact: bool, half: str, since: int = 0, keep=None, counters: bool = False) -> Iterator[pa.RecordBatch]:
+    """All tiles of a square; ``block(b)`` gives the values of a block with its halo.
+
+    ``counters`` adds a row at position -1 with the cells evaluated (as ``r``) and
+    the updates of a best partner (as ``nn``).
+    """
     columns: dict[int, Best] = {}
+    evaluated, updates = 0, 0
     last = -(-p // size) - 1
     for t in range(row * side, min((row + 1) * side - 1, last) + 1):
         mine = Best(t * size, min(size, p - t * size))
@@ -188,14 +194,20 @@ def _square(block, row: int, column: int, side: int, size: int, p: int, m: int,
             if u not in columns:
                 columns[u] = Best(u * size, min(size, p - u * size))
             tile(block(t), block(u), t * size, u * size, m, band, exact, mine, columns[u], half)
+            evaluated += cells(t * size, len(mine.r), u * size, len(columns[u].r), band)
+        updates += mine.updates
         yield from _out([mine])
     yield from _out(columns.values())
+    if counters:
+        updates += sum(b.updates for b in columns.values())
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([float(evaluated)]), pa.array([updates])], schema=_ARROW)
 
 
-def partial_broadcast(series: DataFrame, m: int, band: int, size: int = TILE, half: str = "both", fraction: float = 1.0, seed: int = 0, since: int = 0) -> DataFrame:
+def partial_broadcast(series: DataFrame, m: int, band: int, size: int = TILE, half: str = "both", fraction: float = 1.0, seed: int = 0, since: int = 0, counters: bool = False) -> DataFrame:
     """Partial profile from the whole series on every executor.
 
-    ``fraction`` below 1 runs a random part of the tiles: an early approximation.
+    ``fraction`` below 1 runs a random part of the tiles (by digest of the seed
+    and the tile's row and column): an early approximation.
     ``since`` leaves out tiles whose columns all lie below that position: what
     an earlier run over a shorter series has covered.
     """
@@ -209,10 +221,10 @@ def partial_broadcast(series: DataFrame, m: int, band: int, size: int = TILE, ha
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = shared.value
         block = lambda b: a[b * size : min((b + 1) * size, p) + m - 1]
-        keep = None if fraction >= 1 else lambda t, u: np.random.default_rng([seed, t, u]).random() < fraction
+        keep = None if fraction >= 1 else lambda t, u: draw(seed, t, u) < fraction
         for batch in batches:
             for task in batch.column(0).to_pylist():
-                yield from _square(block, *square_of(task, g), side, size, p, m, band, exact, half, since, keep)
+                yield from _square(block, *square_of(task, g), side, size, p, m, band, exact, half, since, keep, counters)
 
     return spark.range(0, tasks, 1, tasks).mapInArrow(run, _PARTIAL)
 
@@ -229,20 +241,23 @@ def blocks(values: DataFrame, m: int, size: int, last: Column | int, *keys: str)
     return whole.select(*keys, "b", F.col("a.v").alias("a"))
 
 
-def partial_squares(blocked: DataFrame, m: int, band: int, size: int, tasks: int, half: str = "both") -> DataFrame:
+def partial_squares(blocked: DataFrame, m: int, band: int, size: int, tasks: int, half: str = "both", since: int = 0) -> DataFrame:
     """``key, pos, r, nn`` from blocks ``key, b, a`` of one or many series; no task holds a series.
 
     Each block also has its series' number of windows ``p``, tiles a square's
     side ``side``, squares a side ``g`` and ``exact``. It goes to the ``g`` squares of its row and
     column; a square's blocks arrive together and are held while its tiles run:
     twice a square's side of values, whatever the series' length. ``tasks`` is
-    the number of squares of all series.
+    the number of squares of all series; ``since`` leaves out what lies below that
+    column.
     """
     ship_package(blocked.sparkSession)
     kind = blocked.schema["key"].dataType
     own, other = F.expr("b div side"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("g") - 1)).alias("other")
     sent = blocked.select("key", own.alias("own"), other, "b", "a", "p", "side", "exact")
     sent = sent.select("key", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("col"), "b", "a", "p", "side", "exact")
+    if since:
+        sent = sent.filter((F.col("col") + 1) * F.col("side") * size > since)
     placed = sent.repartitionByRange(min(tasks, MOST_PARTITIONS), "key", "row", "col").sortWithinPartitions("key", "row", "col", "b")
     schema = pa.schema([("key", to_arrow_type(kind)), *_ARROW])
 
@@ -251,7 +266,7 @@ def partial_squares(blocked: DataFrame, m: int, band: int, size: int, tasks: int
 
         def finish():
             key, row, column, p, side, exact = now
-            for out in _square(held.__getitem__, row, column, side, size, p, m, band, exact, half):
+            for out in _square(held.__getitem__, row, column, side, size, p, m, band, exact, half, since):
                 yield pa.RecordBatch.from_arrays([pa.array([key] * out.num_rows, schema.field("key").type), *out.columns], schema=schema)
 
         for batch in batches:
@@ -268,13 +283,13 @@ def partial_squares(blocked: DataFrame, m: int, band: int, size: int, tasks: int
     return placed.mapInArrow(run, f"key {kind.simpleString()}, {_PARTIAL}")
 
 
-def partial_shuffle(series: DataFrame, m: int, band: int, size: int = TILE, half: str = "both") -> DataFrame:
-    """Partial profile from blocks sent to the squares that need them."""
+def partial_shuffle(series: DataFrame, m: int, band: int, size: int = TILE, half: str = "both", since: int = 0) -> DataFrame:
+    """Partial profile from blocks sent to the squares that need them; ``since`` as for broadcast."""
     p = checked_length(series, m) - m + 1
     values, exact = centred(series, m)
     g, side = squares(p, size, series.sparkSession.sparkContext.defaultParallelism)
     own = blocks(values, m, size, (p - 1) // size).select(F.lit(0).alias("key"), "b", "a", *[F.lit(x).cast("bigint").alias(c) for c, x in (("p", p), ("side", side), ("g", g))], F.lit(exact).alias("exact"))
-    return partial_squares(own, m, band, size, g * (g + 1) // 2, half).drop("key")
+    return partial_squares(own, m, band, size, g * (g + 1) // 2, half, since).drop("key")
 
 
 # --- the query ----------------------------------------------------------------------------
@@ -305,3 +320,17 @@ def matrix_profile(series: DataFrame, m: int, strategy: str = "auto", exclusion:
     """``pos, dist, nn``: for every window its nearest window with ``|i - j| > exclusion`` (default ``m // 4``)."""
     partial = partial_profile(series, m, strategy, exclusion, tile_size, half)
     return finished(best(partial), window_positions(series, m), m, squared)
+
+
+def counted_profile(series: DataFrame, m: int, exclusion: int | None = None, tile_size: int = TILE) -> tuple[DataFrame, Observation]:
+    """The profile by broadcast, and an observation that has its counters once the profile has been read.
+
+    Counters: ``cells`` evaluated, ``updates`` of a best partner inside the tasks,
+    ``partial_rows`` that the tasks sent.
+    """
+    band = default_band(m) if exclusion is None else exclusion
+    seen = Observation("profile counters")
+    partial = partial_broadcast(series, m, band, tile_size, counters=True)
+    mark = F.col("pos") < 0
+    partial = partial.observe(seen, F.coalesce(F.sum(F.when(mark, F.col("r"))), F.lit(0.0)).cast("bigint").alias("cells"), F.coalesce(F.sum(F.when(mark, F.col("nn"))), F.lit(0)).alias("updates"), F.count(F.when(~mark, 1)).alias("partial_rows"))
+    return finished(best(partial.filter(~mark)), window_positions(series, m), m), seen

@@ -11,7 +11,7 @@ the same bytes again.
     spark.read.format("motifgrid").option("kind", "series").load(path)
 
 Options: ``kind`` (series or profile), ``partitions``, ``offset`` and
-``length`` (a slice by position), ``chunk_rows`` (rows of a batch).
+``length`` (a slice by position), ``chunk_rows`` (rows read or written at once).
 """
 
 from __future__ import annotations
@@ -96,6 +96,7 @@ class Written(WriterCommitMessage):
 class _Writer(DataSourceArrowWriter):
     def __init__(self, options, overwrite: bool):
         self.path, self.kind = plain_path(options["path"]), options.get("kind", "series")
+        self.chunk = max(1, int(options.get("chunk_rows", 0)) or CHUNK_ROWS)
         if os.path.exists(self.path) and not overwrite:
             raise ValueError(f"{self.path} exists")
         self.part = f"{self.path}.part"
@@ -106,7 +107,7 @@ class _Writer(DataSourceArrowWriter):
         kind, rows, last = RECORD[self.kind], 0, -1
         fd = os.open(self.part, os.O_WRONLY)
         try:
-            for batch in iterator:
+            for batch in (whole.slice(at, self.chunk) for whole in iterator for at in range(0, whole.num_rows, self.chunk)):
                 pos = batch.column(0).to_numpy(zero_copy_only=False)
                 if not len(pos):
                     continue
@@ -167,10 +168,10 @@ def read_binary(spark: SparkSession, path: str, kind: str = "series", **options)
     return reader.load(path)
 
 
-def write_binary(df: DataFrame, path: str, kind: str = "series", mode: str = "append") -> None:
+def write_binary(df: DataFrame, path: str, kind: str = "series", mode: str = "append", chunk_rows: int = 0) -> None:
     """Write ``pos, value`` (series) or ``pos, dist2, nn`` (profile); ``mode`` append needs a new path, overwrite replaces."""
     ship_package(df.sparkSession)
     df.sparkSession.dataSource.register(BinaryFile)
     columns = {"series": ("pos", "value"), "profile": ("pos", "dist2", "nn")}[kind]
     rows = df.select(*[F.col(c).cast("bigint" if c in ("pos", "nn") else "double").alias(c) for c in columns])
-    rows.write.format("motifgrid").option("kind", kind).mode(mode).save(path)
+    rows.write.format("motifgrid").option("kind", kind).option("chunk_rows", chunk_rows).mode(mode).save(path)

@@ -68,13 +68,30 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def _located(spark: SparkSession, path: str):
+    """A path as the file system knows it, and that file system."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(context._jsc.hadoopConfiguration())
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder of any file system, none if it isn't there."""
+    path, system = _located(spark, folder)
+    return sorted(s.getPath().getName() for s in system.listStatus(path)) if system.exists(path) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    target, system = _located(spark, path)
+    system.delete(target, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that ``materialize`` wrote and nothing reads any more."""
     path = getattr(df, "_motifgrid_path", None)
     if path:
-        context = df.sparkSession.sparkContext
-        target = context._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        remove(df.sparkSession, path)
         _written[:] = [x for x in _written if x is not df]
 
 

@@ -112,4 +112,10 @@ def test_grid_formulas(spark):
     tiles = partitioning.triangle_tiles(spark, 4)
     assert tiles.count() == 16 and tiles.filter("col > row").count() == 0
     assert tiles.filter("row = col").count() == 4
-    assert [partitioning.next_process_count(4, k) for k in ("linear", "exp", "square", "square_exp")] == [5, 8, 9, 16]
+    assert [partitioning.next_process_count(4, k) for k in ("linear", "exp", "square", "square_exp")] == [6, 8, 9, 9]
+    assert [partitioning.next_process_count(6, k, 3) for k in ("linear", "exp", "square", "square_exp")] == [9, 9, 9, 9]
+    assert [partitioning.next_process_count(n, "square_exp") for n in (1, 9, 16, 25, 36)] == [4, 16, 36, 36, 81]
+    assert partitioning.next_process_count(9, "exp", 3) == 27 and partitioning.next_process_count(4, "linear", 1) == 5
+    for bad in ((0, "exp", 2), (4, "exp", 1), (4, "cube", 2)):
+        with pytest.raises(ValueError):
+            partitioning.next_process_count(*bad)
