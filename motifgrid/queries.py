@@ -12,13 +12,18 @@ from pyspark.sql import functions as F
 
 from motifgrid.operators import profiles, series
 from motifgrid.operators.series import to_fixed, with_positions
-from motifgrid.functions.expressions import dot_from_dist2
+from motifgrid.functions import udtf
+from motifgrid.functions.expressions import direct_dist2, dot_from_dist2, factored_score, score_to_dist2
 from motifgrid.plans import keyed, partitioning, sampled, search, strategies
 from motifgrid.sources import files, generate
-from motifgrid.storage import fresh_path, materialize
+from motifgrid.storage import fresh_path
+from motifgrid.streaming.append import ProfileStream
 
 #: Window lengths of the three series and of the series by user; sampling step; lag and row of the single-lag queries.
 M, M_DAILY, M_USER, STEP, LAG, ROW = 64, 28, 8, 16, 100, 100
+#: Offset of the shifted series; part, seed and tile of the early profile; length, motifs' length and copies of the generated walk.
+OFFSET, PART, PART_SEED, PART_TILE = 10_000_000, 0.5, 3, 1000
+WALK, WALK_MOTIF, WALK_COPIES = 20_000, 100, [3, 2]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,17 +31,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(to_fixed(with_positions(table(spark, sf_dir, "events"), "event_id", "value"), 100), "series")
+    return to_fixed(with_positions(table(spark, sf_dir, "events"), "event_id", "value"), 100)
 
 
 def quantity_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = table(spark, sf_dir, "lineitem").groupBy(F.unix_date(F.to_date("l_shipdate")).alias("day")).agg(F.sum("l_quantity").alias("v"))
-    return materialize(to_fixed(with_positions(daily, "day", "v", check=False)), "series")
+    return to_fixed(with_positions(daily, "day", "v", check=False))
 
 
 def orders_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = table(spark, sf_dir, "orders").groupBy(F.unix_date(F.to_date("o_orderdate")).alias("day")).agg(F.count("*").alias("v"))
-    return materialize(to_fixed(with_positions(daily, "day", "v", check=False)), "series")
+    return to_fixed(with_positions(daily, "day", "v", check=False))
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -71,7 +76,7 @@ def lag_product(spark, d):
 
 
 def initial_dotproducts(spark, d):
-    return series.first_dots(events_series(spark, d), M)
+    return search.first_dots(events_series(spark, d), M)
 
 
 def diagonal_dotproducts(spark, d):
@@ -79,24 +84,16 @@ def diagonal_dotproducts(spark, d):
 
 
 def diagonal_cumulative(spark, d):
-    return series.diagonal_cumulative(events_series(spark, d), M, LAG).filter("dot IS NOT NULL")
+    return series.diagonal_cumulative(events_series(spark, d), M, LAG)
 
 
 def distance_row(spark, d):
-    """One window against all others: the similarity search."""
-    e = events_series(spark, d)
-    query = e.filter(F.col("pos").between(ROW, ROW + M - 1)).select((F.col("pos") - ROW).alias("k"), F.col("c").alias("a"))  # M rows
-    cells = e.select("pos", "c", F.explode(F.sequence(F.lit(0), F.lit(M - 1))).alias("k")).withColumn("j", F.col("pos") - F.col("k"))
-    dots = cells.join(F.broadcast(query), "k").groupBy("j").agg(F.sum(F.col("a") * F.col("c")).alias("q"), F.count("*").alias("n")).filter(F.col("n") == M)
-    st = series.window_stats(e, M)
-    own = st.filter(F.col("pos") == ROW).select(F.col("s0").alias("s_i"), F.col("sd").alias("sd_i"))  # one row
-    both = dots.join(st, dots["j"] == st["pos"]).join(F.broadcast(own)).filter(F.abs(F.col("j") - ROW) >= max(1, M // 4))
-    r = strategies.exact_correlation(M, F.col("q"), F.col("s_i"), F.col("sd_i"), F.col("s0"), F.col("sd"))
-    return rounded(both.select("j", profiles.correlation_to_dist(r, M).alias("dist")))
+    """One window against all others."""
+    return rounded(search.distance_row(events_series(spark, d), ROW, M)).withColumnRenamed("pos", "j")
 
 
 def similarity_search(spark, d):
-    """The same by Fourier transforms over blocks."""
+    """The same over many small blocks: the similarity search."""
     return rounded(search.distance_row(events_series(spark, d), ROW, M, block=3000))
 
 
@@ -116,6 +113,22 @@ def diagonal_distances(spark, d):
     return rounded(cells.select("i", "j", profiles.correlation_to_dist2(F.col("r"), M).alias("dist2")), "dist2")
 
 
+def score_forms(spark, d):
+    """Cells of a diagonal by the factored score, its distance, and the direct distance formula."""
+    e = events_series(spark, d)
+    st = series.mean_std(e, M, 100).join(series.scaled_stats(e, M, 100), "pos")
+    a, b = (st.select(F.col("pos").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("mean", "sd", "inv_sd", "scaled_mean")]) for k in ("i", "j"))
+    dots = series.diagonal_dots(e, M, LAG).select("i", (F.col("i") + LAG).alias("j"), (F.col("dot") / F.lit(10_000.0)).alias("dot"))
+    both = dots.join(a, "i").join(b, "j").withColumn("score", factored_score(F.col("dot"), F.col("inv_sd_i"), F.col("inv_sd_j"), F.col("scaled_mean_i"), F.col("scaled_mean_j")))
+    direct = direct_dist2(F.col("dot"), F.col("mean_i"), F.col("sd_i"), F.col("mean_j"), F.col("sd_j"), M)
+    return rounded(both.select("i", "score", score_to_dist2(F.col("score"), M).alias("dist2"), direct.alias("direct")), "score", "dist2", "direct")
+
+
+def timestamp_positions(spark, d):
+    """Positions in the order of the events' time."""
+    return to_fixed(with_positions(table(spark, d, "events"), "ts", "value"), 100)
+
+
 # --- profiles -----------------------------------------------------------------------------
 
 
@@ -136,13 +149,80 @@ def matrix_profile_sql(spark, d):
 
 
 def left_profile(spark, d):
-    """Positions that have an earlier partner."""
-    return rounded(strategies.matrix_profile(events_series(spark, d), M, half="left").filter("nn IS NOT NULL"))
+    """The best earlier partner of every position; nulls where there is none."""
+    return rounded(strategies.matrix_profile(events_series(spark, d), M, half="left"))
 
 
 def right_profile(spark, d):
-    """Positions that have a later partner."""
-    return rounded(strategies.matrix_profile(events_series(spark, d), M, half="right").filter("nn IS NOT NULL"))
+    """The best later partner of every position; nulls where there is none."""
+    return rounded(strategies.matrix_profile(events_series(spark, d), M, half="right"))
+
+
+def _shifted(spark, d):
+    return events_series(spark, d).select("pos", (F.col("c") + OFFSET).alias("c"))
+
+
+def shifted_profile(spark, d):
+    """Short windows of large whole values: an offset changes no distance."""
+    return rounded(strategies.matrix_profile(_shifted(spark, d), M_USER, "broadcast"))
+
+
+def shifted_profile_shuffle(spark, d):
+    return rounded(strategies.matrix_profile(_shifted(spark, d), M_USER, "shuffle"))
+
+
+def shifted_search(spark, d):
+    return rounded(search.distance_row(_shifted(spark, d), ROW, M_USER))
+
+
+def _doubles(spark, d):
+    """The quantities a day as general doubles: a factor and an offset change no distance."""
+    return quantity_series(spark, d).select("pos", (F.col("c") / 7 + 0.1).alias("value"))
+
+
+def doubles_profile_sql(spark, d):
+    return rounded(strategies.matrix_profile(_doubles(spark, d), M_DAILY, "sql"))
+
+
+def doubles_profile_broadcast(spark, d):
+    return rounded(strategies.matrix_profile(_doubles(spark, d), M_DAILY, "broadcast"))
+
+
+def doubles_profile_shuffle(spark, d):
+    return rounded(strategies.matrix_profile(_doubles(spark, d), M_DAILY, "shuffle"))
+
+
+def early_profile(spark, d):
+    """The best over a random half of the tiles: what an early stop gives."""
+    e = events_series(spark, d)
+    partial = strategies.partial_broadcast(e, M, M // 4, PART_TILE, fraction=PART, seed=PART_SEED)
+    return rounded(profiles.finished(profiles.best(partial), strategies.window_positions(e, M), M))
+
+
+def profile_counters(spark, d):
+    """Cells that the tasks evaluated, and whether there were as many updates of a best partner as positions."""
+    q = quantity_series(spark, d)
+    df, seen = strategies.counted_profile(q, M_DAILY)
+    positions, partners = df.agg(F.count("*"), F.count("nn")).first()  # the counters are there once the profile has been read
+    found = seen.get
+    return spark.range(1).select(F.lit(positions).alias("positions"), F.lit(partners).alias("partners"), F.lit(found["cells"]).cast("bigint").alias("cells"), F.lit(found["updates"] >= positions).alias("all_updated"))
+
+
+def table_function_profile(spark, d):
+    """The profile in SQL, by the table function."""
+    udtf.register(spark, "matrix_profile")
+    quantity_series(spark, d).createOrReplaceTempView("motifgrid_quantities")
+    return rounded(spark.sql(f"SELECT * FROM matrix_profile(TABLE(SELECT pos, c AS value FROM motifgrid_quantities) WITH SINGLE PARTITION ORDER BY (pos), {M_DAILY})"))
+
+
+def streamed_profile(spark, d):
+    """The profile after three micro-batches, each by a stream that starts on the folder of the one before."""
+    q, folder = quantity_series(spark, d), fresh_path(spark, "stream")
+    n = strategies.checked_length(q, M_DAILY)
+    cuts = [0, n // 3, n // 2, n]
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        ProfileStream(spark, folder, M_DAILY, tile_size=512).update(q.filter((F.col("pos") >= a) & (F.col("pos") < b)), k)
+    return rounded(ProfileStream(spark, folder, M_DAILY).profile())
 
 
 def merge_profiles(spark, d):
@@ -163,6 +243,15 @@ def sampled_profile(spark, d):
     return rounded(sampled.sampled_profile(events_series(spark, d), M, STEP))
 
 
+def sampled_profile_shuffle(spark, d):
+    return rounded(sampled.sampled_profile(events_series(spark, d), M, STEP, strategy="shuffle"))
+
+
+def sampled_rows_shuffle(spark, d):
+    found = sampled.sampled_rows(events_series(spark, d), M, STEP, strategy="shuffle")
+    return rounded(found.select("i", profiles.correlation_to_dist(F.col("r"), M).alias("dist"), "nn"))
+
+
 def refined_profile(spark, d):
     return rounded(sampled.refined_profile(events_series(spark, d), M, STEP))
 
@@ -179,6 +268,11 @@ def user_profiles(spark, d):
     return rounded(keyed.keyed_profiles(table(spark, d, "events"), "user_id", "event_id", "value", M_USER, 100))
 
 
+def user_profiles_by_blocks(spark, d):
+    """The same with every user above 60 events as a long key."""
+    return rounded(keyed.keyed_profiles(table(spark, d, "events"), "user_id", "event_id", "value", M_USER, 100, key_rows=60))
+
+
 def compare_profiles(spark, d):
     q = quantity_series(spark, d)
     return rounded(profiles.compare(strategies.matrix_profile(q, M_DAILY), sampled.sampled_profile(q, M_DAILY, 7)), "max_abs_diff")
@@ -249,15 +343,98 @@ def profile_roundtrip(spark, d):
     return rounded(files.read_profile(spark, two))
 
 
+def chunked_profile(spark, d):
+    """A profile written and read a hundred rows at a time."""
+    path = fresh_path(spark, "profile") + ".bin"
+    files.write_profile(strategies.matrix_profile(quantity_series(spark, d), M_DAILY), path, chunk_rows=100)
+    return rounded(files.read_profile(spark, path, chunk_rows=100))
+
+
+def _events_file(spark, d, end: str) -> str:
+    path = fresh_path(spark, "series") + end
+    files.write_series(events_series(spark, d).select("pos", (F.col("c") / 100).alias("value")), path)
+    return path
+
+
+def series_slice(spark, d):
+    """Positions 1000 to 1499 of a binary file (all from 500 on if it is shorter)."""
+    path = _events_file(spark, d, ".bin")
+    first = min(1000, files.series_length(spark, path) - 500)
+    return files.read_series(spark, path, offset=first, length=500, partitions=3)
+
+
+def series_length(spark, d):
+    """Lengths from the header of a binary file and by counting a text file."""
+    rows = [(e, files.series_length(spark, _events_file(spark, d, f".{e}"))) for e in ("ascii", "bin")]
+    return spark.createDataFrame(rows, "format string, n bigint")
+
+
+def series_converted(spark, d):
+    """Text to binary and back to text, by default names."""
+    first = _events_file(spark, d, ".ascii")
+    second = files.convert_series(spark, first)
+    third = files.convert_series(spark, second, fresh_path(spark, "series") + ".ascii")
+    return files.read_series(spark, third)
+
+
+def profile_converted(spark, d):
+    """A text profile converted to binary."""
+    one = fresh_path(spark, "profile") + ".ascii"
+    files.write_profile(strategies.matrix_profile(quantity_series(spark, d), M_DAILY), one)
+    return rounded(files.read_profile(spark, files.convert_profile(spark, one)))
+
+
+def paired_runs(spark, d):
+    """Which result files are compared with which, for files named after the nations."""
+    algo = F.element_at(F.array(F.lit("tiles"), F.lit("sequential"), F.lit("blocks")), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    algo = F.when(F.col("n_regionkey") < 3, algo).otherwise("tiles")
+    name = F.concat(F.lit("matprof_v"), F.col("n_regionkey"), F.lit("_l100m8_alg#"), algo, F.lit("#_p"), F.col("n_nationkey"), F.lit("_x.bin"))
+    return profiles.pair_runs(table(spark, d, "nation").select(name.alias("file")))
+
+
+def folder_validation(spark, d):
+    """The summary over a folder with results of three algorithms."""
+    q, folder = quantity_series(spark, d), fresh_path(spark, "results")
+    for name, how in (("sequential#_p1", "sql"), ("tiles#_p4", "broadcast"), ("blocks#_p8", "shuffle")):
+        files.write_profile(strategies.matrix_profile(q, M_DAILY, how), f"{folder}/matprof_v1_l2500m{M_DAILY}_alg#{name}_x.bin")
+    found = files.validate_folder(spark, folder, need_baseline=True)[1]
+    shown = {k: ",".join(v) if isinstance(v, list) else v for k, v in found.items()}
+    return spark.createDataFrame([tuple(shown.values())], "files bigint, configs bigint, algorithms string, process_counts string, lengths string, windows string, pairs bigint, differences bigint, max_abs_diff double")
+
+
+def next_counts(spark, d):
+    """Scaling runs from 1 to 40 with bases 2 and 3."""
+    rows = [(mode, base, n, partitioning.next_process_count(n, mode, base)) for mode in ("linear", "square", "exp", "square_exp") for base in (2, 3) for n in range(1, 41)]
+    return spark.createDataFrame(rows, "mode string, base int, current int, next bigint")
+
+
+def planted_places(spark, d):
+    """Where the generator plants its motifs."""
+    return rounded(generate.places_table(spark, generate.choose_places(WALK, WALK_MOTIF, WALK_COPIES)), "scale")
+
+
+def random_embeddings(spark, d):
+    """Random multiplicities for the first hundred seeds."""
+    rows = [(seed, motif, many) for seed in range(100) for motif, many in enumerate(generate.choose_embeddings(WALK, WALK_MOTIF, seed))]
+    return spark.createDataFrame(rows, "seed int, motif int, many int")
+
+
 def generated_walk(spark, d):
-    return generate.generate(spark, 20_000, 100, [3, 2])[0]
+    made = generate.generate(spark, WALK, WALK_MOTIF, WALK_COPIES)[0]
+    return made.select("pos", F.round("value", 3).alias("value"))  # sums of doubles in another order
+
+
+def generated_noise(spark, d):
+    return rounded(generate.generate(spark, WALK, WALK_MOTIF, WALK_COPIES, "noise")[0], "value")
 
 
 QUERIES = {f.__name__: f for f in (
-    series_positions, prefix_sums, window_sums, window_mean_std, scaled_stats, lag_product, initial_dotproducts, diagonal_dotproducts, diagonal_cumulative, distance_row, similarity_search, dot_from_distance, diagonal_distances,
-    matrix_profile, matrix_profile_shuffle, matrix_profile_squared, matrix_profile_sql, left_profile, right_profile, merge_profiles, sampled_rows, sampled_profile, refined_profile,
-    daily_quantity_profile, daily_order_counts_profile, user_profiles, compare_profiles, validate_summary, top_motifs, top_discords,
-    split_work, balanced_pairs, diagonal_blocks, triangle_tiles, tile_ranks, tile_geometry, ascii_roundtrip, bin_roundtrip, profile_roundtrip, generated_walk,
+    series_positions, timestamp_positions, prefix_sums, window_sums, window_mean_std, scaled_stats, lag_product, initial_dotproducts, diagonal_dotproducts, diagonal_cumulative, distance_row, similarity_search, dot_from_distance, diagonal_distances, score_forms,
+    matrix_profile, matrix_profile_shuffle, matrix_profile_squared, matrix_profile_sql, left_profile, right_profile, merge_profiles, sampled_rows, sampled_rows_shuffle, sampled_profile, sampled_profile_shuffle, refined_profile,
+    shifted_profile, shifted_profile_shuffle, shifted_search, doubles_profile_sql, doubles_profile_broadcast, doubles_profile_shuffle, early_profile, profile_counters, table_function_profile, streamed_profile,
+    daily_quantity_profile, daily_order_counts_profile, user_profiles, user_profiles_by_blocks, compare_profiles, validate_summary, folder_validation, paired_runs, top_motifs, top_discords,
+    split_work, balanced_pairs, diagonal_blocks, triangle_tiles, tile_ranks, tile_geometry, next_counts, ascii_roundtrip, bin_roundtrip, profile_roundtrip, chunked_profile, series_slice, series_length, series_converted, profile_converted,
+    planted_places, random_embeddings, generated_walk, generated_noise,
 )}
 
 
@@ -311,6 +488,20 @@ def _frames(body: str, source: str = E, m: int = M) -> str:
     return f"WITH {source}, {_windows(m)} {body}"
 
 
+SHIFTED = f"{E.replace('s AS', 'e AS')}, s AS (SELECT i, c + {OFFSET} AS c FROM e)"
+#: A draw of the generator, and of a tile, in SQL.
+DRAW = "(('0x' || substr(md5({}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+SEEDED = lambda text: DRAW.format(f"'{generate.SEED}:' || {text}")
+KEPT = DRAW.format(f"'{PART_SEED}:' || i // {PART_TILE} || ':' || j // {PART_TILE}")
+COPIES = "(VALUES " + ", ".join(f"({motif}, {copy})" for motif, many in enumerate(WALK_COPIES) for copy in range(many)) + ") v(motif, copy)"
+PLACES = f"""g AS (SELECT k, {SEEDED("'gap:' || k")} AS w FROM range({sum(WALK_COPIES) + 1}) t(k)),
+b AS (SELECT k, (sum(w) OVER (ORDER BY k)) / (SELECT sum(w ORDER BY k) FROM g) AS part FROM g),
+o AS (SELECT motif, row_number() OVER (ORDER BY {SEEDED("'copy:' || motif || ':' || copy")}) - 1 AS k FROM {COPIES}),
+x AS (SELECT motif::INTEGER AS motif, (floor({WALK - sum(WALK_COPIES) * WALK_MOTIF} * part)::BIGINT + k * {WALK_MOTIF})::BIGINT AS start, {generate.SCALES[0]}::DOUBLE + {generate.SCALES[1] - generate.SCALES[0]}::DOUBLE * {SEEDED("'scale:' || k")} AS scale FROM o JOIN b USING (k))"""
+STEPS = f"""{PLACES}, y AS (SELECT start + u AS pos, motif, u, scale FROM x, range({WALK_MOTIF}) t(u)),
+z AS (SELECT p.pos, CASE WHEN motif IS NULL THEN ({SEEDED("'step:' || p.pos")} - 0.5) * {generate.AMPLITUDE}::DOUBLE
+  ELSE ({SEEDED("'shape:' || motif || ':' || u")} - 0.5) * {generate.MOTIF_AMPLITUDE}::DOUBLE * scale + ({SEEDED("'noise:' || p.pos")} - 0.5) * {generate.NOISE_AMPLITUDE}::DOUBLE END AS d
+  FROM range({WALK}) p(pos) LEFT JOIN y ON p.pos = y.pos)"""
 LEFT = "u AS (SELECT j AS pos, r, i AS nn FROM r)"
 RIGHT = "u AS (SELECT i AS pos, r, j AS nn FROM r)"
 ALL = "SELECT pos, dist, nn FROM p"
@@ -326,7 +517,7 @@ ORACLE_SQL = {
     "lag_product": f"WITH {E} SELECT a.i AS pos, a.c * b.c AS product FROM s a JOIN s b ON a.i = b.i + {LAG}",
     "initial_dotproducts": f"WITH {E} SELECT b.i - a.i AS diag, sum(a.c * b.c)::BIGINT AS dot FROM s a JOIN s b ON a.i < {M} AND b.i >= a.i AND b.i - a.i <= (SELECT max(i) FROM s) - {M - 1} GROUP BY 1",
     "diagonal_dotproducts": f"WITH {E} SELECT i, dot FROM (SELECT a.i, (sum(a.c * b.c) OVER f)::BIGINT AS dot, count(*) OVER f AS n FROM s a JOIN s b ON b.i = a.i + {LAG} WINDOW f AS (ORDER BY a.i ROWS BETWEEN CURRENT ROW AND {M - 1} FOLLOWING)) WHERE n = {M}",
-    "diagonal_cumulative": f"WITH {E} SELECT i, cum, dot FROM (SELECT a.i, (sum(a.c * b.c) OVER (ORDER BY a.i))::BIGINT AS cum, (sum(a.c * b.c) OVER f)::BIGINT AS dot, count(*) OVER f AS n FROM s a JOIN s b ON b.i = a.i + {LAG} WINDOW f AS (ORDER BY a.i ROWS BETWEEN CURRENT ROW AND {M - 1} FOLLOWING)) WHERE n = {M}",
+    "diagonal_cumulative": f"WITH {E} SELECT i, cum, CASE WHEN n = {M} THEN dot END AS dot FROM (SELECT a.i, (sum(a.c * b.c) OVER (ORDER BY a.i))::BIGINT AS cum, (sum(a.c * b.c) OVER f)::BIGINT AS dot, count(*) OVER f AS n FROM s a JOIN s b ON b.i = a.i + {LAG} WINDOW f AS (ORDER BY a.i ROWS BETWEEN CURRENT ROW AND {M - 1} FOLLOWING))",
     "distance_row": f"""WITH {E}, {_windows(M)}, q AS (SELECT b.i - a.i + {ROW} AS j, sum(a.c * b.c)::BIGINT AS q FROM s a JOIN s b ON a.i BETWEEN {ROW} AND {ROW + M - 1} GROUP BY 1 HAVING count(*) = {M}),
 r AS (SELECT j, CASE WHEN x.sd = 0 AND y.sd = 0 THEN 1.0::DOUBLE WHEN x.sd = 0 OR y.sd = 0 THEN 0.0::DOUBLE ELSE ({M} * q - x.s0 * y.s0)::DOUBLE / (x.sd * y.sd) END AS r FROM q JOIN w y ON q.j = y.i JOIN w x ON x.i = {ROW})
 SELECT j, round({_dist(M)}, 6) AS dist FROM r WHERE abs(j - {ROW}) >= {max(1, M // 4)}""",
@@ -336,8 +527,8 @@ SELECT j, round({_dist(M)}, 6) AS dist FROM r WHERE abs(j - {ROW}) >= {max(1, M
     "matrix_profile_shuffle": f"{_profile(E, M)} {ALL}",
     "matrix_profile_squared": f"{_profile(E, M, dist=f'greatest(0.0, {2 * M}::DOUBLE * (1 - r))')} {ALL}",
     "matrix_profile_sql": f"{_profile(Q, M_DAILY)} {ALL}",
-    "left_profile": f"{_profile(E, M, LEFT)} {ALL} WHERE nn IS NOT NULL",
-    "right_profile": f"{_profile(E, M, RIGHT)} {ALL} WHERE nn IS NOT NULL",
+    "left_profile": f"{_profile(E, M, LEFT)} {ALL}",
+    "right_profile": f"{_profile(E, M, RIGHT)} {ALL}",
     "merge_profiles": f"{_profile(Q, M_DAILY)} {ALL}",
     "sampled_rows": f"{_sampled(E, M, STEP)} SELECT i, round({_dist(M)}, 6) AS dist, j AS nn FROM g",
     "sampled_profile": f"{_sampled(E, M, STEP)} SELECT w.i AS pos, round({_dist(M)}, 6) AS dist, nn FROM w LEFT JOIN t ON w.i = t.pos",
@@ -370,3 +561,40 @@ y AS ({_sampled(Q, M_DAILY, 7)} SELECT w.i AS pos, {_dist(M_DAILY)} AS dist, nn
     "profile_roundtrip": f"{_profile(Q, M_DAILY)} {ALL}",
 }
 ORACLE_SQL["similarity_search"] = ORACLE_SQL["distance_row"].replace("SELECT j, round(", "SELECT j AS pos, round(")
+ORACLE_SQL["shifted_profile"] = ORACLE_SQL["shifted_profile_shuffle"] = f"{_profile(SHIFTED, M_USER)} {ALL}"
+ORACLE_SQL["shifted_search"] = f"""WITH {SHIFTED}, {_windows(M_USER)}, q AS (SELECT b.i - a.i + {ROW} AS j, sum(a.c * b.c)::BIGINT AS q FROM s a JOIN s b ON a.i BETWEEN {ROW} AND {ROW + M_USER - 1} GROUP BY 1 HAVING count(*) = {M_USER}),
+r AS (SELECT j, CASE WHEN x.sd = 0 AND y.sd = 0 THEN 1.0::DOUBLE WHEN x.sd = 0 OR y.sd = 0 THEN 0.0::DOUBLE ELSE ({M_USER} * q - x.s0 * y.s0)::DOUBLE / (x.sd * y.sd) END AS r FROM q JOIN w y ON q.j = y.i JOIN w x ON x.i = {ROW})
+SELECT j AS pos, round({_dist(M_USER)}, 6) AS dist FROM r WHERE abs(j - {ROW}) >= {max(1, M_USER // 4)}"""
+for name in ("doubles_profile_sql", "doubles_profile_broadcast", "doubles_profile_shuffle", "table_function_profile", "streamed_profile", "chunked_profile", "profile_converted"):
+    ORACLE_SQL[name] = f"{_profile(Q, M_DAILY)} {ALL}"
+ORACLE_SQL |= {
+    "timestamp_positions": "SELECT row_number() OVER (ORDER BY ts) - 1 AS pos, round(value * 100)::BIGINT AS c FROM events",
+    "sampled_profile_shuffle": ORACLE_SQL["sampled_profile"],
+    "sampled_rows_shuffle": ORACLE_SQL["sampled_rows"],
+    "user_profiles_by_blocks": ORACLE_SQL["user_profiles"],
+    "score_forms": f"""WITH {E}, {_windows(M)}, t AS (SELECT i, mean, sd, 1 / sd AS inv, mean * (1 / sd) * sqrt({M}.0::DOUBLE) AS sm FROM (SELECT i, s0 / {M * 100}.0::DOUBLE AS mean, sd / {M * 100}.0::DOUBLE AS sd FROM w)),
+d AS (SELECT i, dot / 10000.0::DOUBLE AS dot FROM (SELECT a.i, (sum(a.c * b.c) OVER f)::BIGINT AS dot, count(*) OVER f AS n FROM s a JOIN s b ON b.i = a.i + {LAG} WINDOW f AS (ORDER BY a.i ROWS BETWEEN CURRENT ROW AND {M - 1} FOLLOWING)) WHERE n = {M}),
+c AS (SELECT d.i, dot * (x.inv * y.inv) - x.sm * y.sm AS score, 2 * ({M}.0::DOUBLE - (dot - {M}.0::DOUBLE * x.mean * y.mean) / (x.sd * y.sd)) AS direct FROM d JOIN t x ON d.i = x.i JOIN t y ON d.i + {LAG} = y.i)
+SELECT i, round(score, 6) AS score, round({2 * M}.0::DOUBLE - 2 * score, 6) AS dist2, round(direct, 6) AS direct FROM c""",
+    "early_profile": f"""WITH {E}, {_windows(M)}, {_cells(M, f"b.i - a.i > {M // 4}").replace("r AS (", "every AS (")}, r AS (SELECT * FROM every WHERE {KEPT} < {PART}::DOUBLE), {BOTH}, {TOP},
+p AS (SELECT w.i AS pos, round({_dist(M)}, 6) AS dist, nn FROM w LEFT JOIN t ON w.i = t.pos) {ALL}""",
+    "profile_counters": f"WITH {Q}, {_windows(M_DAILY)}, n AS (SELECT count(*) AS p FROM w) SELECT p AS positions, p AS partners, ((p - {M_DAILY // 4 + 1}) * (p - {M_DAILY // 4}) // 2)::BIGINT AS cells, true AS all_updated FROM n",
+    "series_slice": f"WITH {E}, f AS (SELECT least(1000, count(*) - 500) AS f FROM s) SELECT i AS pos, c / 100.0::DOUBLE AS value FROM s, f WHERE i >= f AND i < f + 500",
+    "series_length": "SELECT format, (SELECT count(*) FROM events) AS n FROM (VALUES ('ascii'), ('bin')) v(format)",
+    "series_converted": ORACLE_SQL["ascii_roundtrip"],
+    "paired_runs": """WITH f AS (SELECT n_regionkey || '_l100m8' AS config, CASE WHEN n_regionkey < 3 AND n_nationkey % 3 = 1 THEN 'sequential' WHEN n_regionkey < 3 AND n_nationkey % 3 = 2 THEN 'blocks' ELSE 'tiles' END AS algo, n_regionkey, n_nationkey FROM nation),
+g AS (SELECT config, algo, n_nationkey::VARCHAR AS procs, 'matprof_v' || n_regionkey || '_l100m8_alg#' || algo || '#_p' || n_nationkey || '_x.bin' AS other FROM f),
+h AS (SELECT *, min(other) FILTER (WHERE algo = 'sequential') OVER (PARTITION BY config) AS base, lag(other) OVER (PARTITION BY config ORDER BY other) AS prior FROM g)
+SELECT config, coalesce(base, prior) AS baseline, other, algo, procs, base IS NOT NULL AS by_baseline FROM h WHERE coalesce(base, prior) <> other""",
+    "folder_validation": f"SELECT 3::BIGINT AS files, 1::BIGINT AS configs, 'blocks,sequential,tiles' AS algorithms, '1,4,8' AS process_counts, '2500' AS lengths, '{M_DAILY}' AS windows, 2::BIGINT AS pairs, 0::BIGINT AS differences, 0.0::DOUBLE AS max_abs_diff",
+    "next_counts": """WITH a AS (SELECT mode, base::INTEGER AS base, current::INTEGER AS current FROM (VALUES ('linear'), ('square'), ('exp'), ('square_exp')) m(mode), (VALUES (2), (3)) b(base), range(1, 41) c(current)),
+p AS (SELECT *, (SELECT min(pow(a.base, k)::BIGINT) FROM range(1, 9) t(k) WHERE pow(a.base, k) > a.current) AS power FROM a)
+SELECT mode, base, current, CASE mode WHEN 'linear' THEN current + base WHEN 'square' THEN (floor(sqrt(current)) + 1) ** 2 WHEN 'exp' THEN power
+  ELSE CASE WHEN floor(sqrt(power)) ** 2 > current AND floor(sqrt(power)) ** 2 < 20 THEN floor(sqrt(power)) ** 2 ELSE (floor(sqrt(power)) + 1) ** 2 END END::BIGINT AS next FROM p""",
+    "planted_places": f"WITH {PLACES} SELECT motif, start, round(scale, 6) AS scale FROM x",
+    "random_embeddings": f"""WITH s AS (SELECT s::INTEGER AS seed, 2 + floor({DRAW.format("s || ':many'")} * {WALK // (2 * WALK_MOTIF) - 1})::BIGINT AS many FROM range(100) t(s)),
+c AS (SELECT seed, 0 AS cut FROM s UNION ALL SELECT seed, k FROM s, range(1, {WALK // (2 * WALK_MOTIF) + 2}) t(k) WHERE k < many AND {DRAW.format("seed || ':cut:' || k")} < {generate.ANOTHER}::DOUBLE)
+SELECT seed, (row_number() OVER (PARTITION BY seed ORDER BY cut) - 1)::INTEGER AS motif, (lead(cut, 1, many) OVER (PARTITION BY seed ORDER BY cut) - cut)::INTEGER AS many FROM c JOIN s USING (seed)""",
+    "generated_walk": f"WITH {STEPS} SELECT pos, round(sum(d) OVER (ORDER BY pos), 3) AS value FROM z",
+    "generated_noise": f"WITH {STEPS} SELECT pos, round(d, 6) AS value FROM z",
+}
