@@ -470,6 +470,7 @@ def _profile(source: str, m: int, sides: str = BOTH, dist: str | None = None, di
     """CTEs up to ``p``: the profile, its distances rounded to ``digits`` if given."""
     dist = dist or _dist(m)
     dist = dist if digits is None else f"round({dist}, {digits})"
+    dist = f"CASE WHEN nn IS NOT NULL THEN {dist} END"  # greatest skips nulls
     return f"""WITH {source}, {_windows(m)}, {_cells(m, f"b.i - a.i > {m // 4}")}, {sides}, {TOP},
 p AS (SELECT w.i AS pos, {dist} AS dist, nn FROM w LEFT JOIN t ON w.i = t.pos)"""
 
