@@ -81,16 +81,16 @@ def test_the_temperature_is_the_least_loss_inside_its_bracket(scale):
     assert loss(t) < min(loss(t * 1.05), loss(t / 1.05))
 
 
-def brute_predict(model, text):
-    """N-grams, weights of terms and softmax in plain Python."""
+def grams(text):
+    """Bins and counts of a text's n-grams in plain Python; none without a letter."""
     letters = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in text)
     line = [32]
     for c in letters:
         if c != " " or line[-1] != 32:
             line.append(ord(c))
-    if all(c == 32 for c in line):
-        return L.UNKNOWN, 0.0
     m, counts = (1 << 32) - 1, {}
+    if all(c == 32 for c in line):
+        return counts
     for k in range(1, len(line)):
         a, b, c = line[k - 2] if k > 1 else None, line[k - 1], line[k]
         found = [(c * 2654435761 & m) >> 17, (((b * 2246822519 & m) ^ (c * 3266489917 & m)) * 668265263 & m) >> 17]
@@ -98,6 +98,14 @@ def brute_predict(model, text):
             found.append((((a * 374761393 & m) ^ (b * 2246822519 & m) ^ (c * 2654435761 & m)) * 3266489917 & m) >> 17)
         for f in found:
             counts[f] = counts.get(f, 0) + 1
+    return counts
+
+
+def brute_predict(model, text):
+    """N-grams, weights of terms and softmax in plain Python."""
+    counts = grams(text)
+    if not counts:
+        return L.UNKNOWN, 0.0
     value = {f: (1 + math.log(n)) * float(model.idf[f]) for f, n in counts.items()}
     length = math.sqrt(sum(v * v for v in value.values()))
     x = [(sum(v / length * float(model.weights[f][k]) for f, v in value.items()) + float(model.bias[k])) / model.temperature for k in range(len(model.langs))]
