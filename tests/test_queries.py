@@ -36,3 +36,11 @@ def test_entry_without_optional_parts():
     """The entry file works when the subpackage and the pipeline are gone."""
     code = "import sys; sys.modules['motifgrid.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'matrix_profile' in q and not any(k.startswith('op') or k == 'pipeline' for k in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
+def test_entry_without_a_library_says_so():
+    """A missing library isn't taken for missing folders."""
+    if not (ROOT / "motifgrid" / "llm").exists():
+        pytest.skip("the optional parts are gone")
+    code = "import sys; sys.modules['xxhash'] = None\ntry:\n    import __spark_entry__\nexcept ImportError as e:\n    assert e.name == 'xxhash', e.name\nelse:\n    raise SystemExit('not noticed')"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
