@@ -132,7 +132,10 @@ def read(page: str) -> list[Element]:
         tag = m[1].lower()
         at = end + 1
         if nxt == "/":
-            if (k := deepest((tag,))) and (tag in BLOCK or k >= deepest(WALLS)):
+            if len(stack) > 1 and nodes[stack[-1]].tag == tag:  # as it mostly is
+                depths[tag].pop()
+                stack.pop()
+            elif (k := deepest((tag,))) and (tag in BLOCK or k >= deepest(WALLS)):
                 close(k)
             elif not k and tag == "p":  # an end without a start is an empty paragraph
                 nodes.append(Element("p", {}, stack[-1]))
@@ -140,7 +143,7 @@ def read(page: str) -> list[Element]:
             continue
         if rule := CLOSES.get(tag):
             what, bound = rule
-            if (k := deepest(what)) > deepest(bound):
+            if any(map(depths.get, what)) and (k := deepest(what)) > deepest(bound):
                 close(k)
         raw = page[m.end() : end]
         element = Element(tag, attributes(raw) if raw.strip(" /\n\t\r") else {}, stack[-1])
