@@ -104,7 +104,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     found = table.select(F.col("item_id").alias("item"), F.struct("item_id", "n", "shingles").alias("own"))
     groups = dealt.join(found, dealt["item_id"].eqNullSafe(found["item"])).groupBy("candidate", "group").agg(F.collect_list("own").alias("items"))
     # the documents with a candidate again, whole, and only those
-    again = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    again, ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), many.select("candidate")
+    again = again.join(ids, again["doc_id"].eqNullSafe(ids["candidate"]), "left_semi")  # ids alone are small enough to send round
     again = again.join(groups, again["doc_id"].eqNullSafe(groups["candidate"])).select("doc_id", "text", "items")
 
     def counted(common: Column) -> Column:
