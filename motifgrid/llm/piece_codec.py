@@ -395,7 +395,8 @@ class Encoder:
 
         if self.limit and len(chunks):
             draws = first_draws(keys, self.limit)
-            needed = self.draws[number]
+            needed = np.zeros(len(number), np.int64)
+            needed[short] = self.draws[number[short]]
             looked = lambda n: np.where(n < DRAWS, (np.uint64(1) << np.minimum(n, DRAWS).astype(np.uint64)) - np.uint64(1), np.uint64(0xFFFFFFFF))
             at = np.flatnonzero(short & ((needed > DRAWS) | (draws & looked(needed) != 0)))
             # equal chunks with equal first draws run once, if the agenda takes no more draws than those

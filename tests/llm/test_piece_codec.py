@@ -118,6 +118,12 @@ def test_long_texts_in_parts(codec, monkeypatch):
         assert [x.tolist() for x in P.Encoder(codec).encode(texts)] == want
 
 
+def test_a_first_text_of_one_long_chunk(codec):
+    for text in ("a" * 500, "é" * 49, "x"):
+        assert codec.decode(P.Encoder(codec).encode([text])[0].tolist()) == text
+    assert P.Encoder(codec).encode(["", "", ""])[1].tolist() == [] and P.Encoder(codec).encode([]) == []
+
+
 def test_edge_rows(docs, clashing, nothing):
     for df in (docs, clashing):
         found = P.encode_rows(df, MODEL)
