@@ -184,7 +184,8 @@ def test_sampled_profile_is_never_better_than_exact(spark):
     exact, rough = got(strategies.matrix_profile(s, 12)), got(sampled.sampled_profile(s, 12, 5))
     assert all(rough[k][0] is None or rough[k][0] >= exact[k][0] for k in exact)
     same(got(sampled.sampled_profile(s, 12, 1, exclusion=4)), got(strategies.matrix_profile(s, 12, exclusion=3)))
-    same(got(sampled.refined_profile(s, 12, 5)), exact)
+    for how in ("auto", "shuffle", "sql"):
+        same(got(sampled.refined_profile(s, 12, 5, strategy=how)), exact)
     with pytest.raises(ValueError):
         sampled.sampled_profile(s, 12, 0)
 
