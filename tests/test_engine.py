@@ -175,8 +175,12 @@ def test_kernel_properties(values, m, size):
                         r[pos], nn[pos] = value, near
     want = brute(values, m)
     assert nn.tolist() == [-1 if v[1] is None else v[1] for v in want.values()]
-    _, _, moved = keyed.series_profile(3 * x + 100, m, band)
+    _, _, moved = keyed.series_profile(x + 100, m, band)
     assert moved.tolist() == nn.tolist()
+    _, scaled, other = keyed.series_profile(3 * x + 100, m, band)  # roots of other numbers: equal up to rounding, ties may fall another way
+    for k in np.flatnonzero(other != -1):
+        assert abs(scaled[k] - r[k]) < 1e-12 and abs(correlation(x[k : k + m], x[other[k] : other[k] + m]) - r[k]) < 1e-12
+    assert ((other == -1) == (nn == -1)).all()
 
 
 def test_sampled_profile_is_never_better_than_exact(spark):
