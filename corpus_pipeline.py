@@ -29,7 +29,7 @@ from motifgrid.llm.queries import PIECE_MODEL
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose n-grams aren't those of the learned languages, go."""
+    """Documents go whose language the model doesn't identify, or whose n-grams aren't those of the learned ones."""
     return langid.accepted(docs, langid.fit(langid.learnable(docs)))
 
 

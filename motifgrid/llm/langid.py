@@ -16,11 +16,19 @@ no score claims more than so many rows can show.
 Prediction is narrow and covers whole texts (in pieces of ``PIECE`` characters
 whose counts add up, so memory is bounded).
 
-``accepted`` also asks whether a text is language of the learned kind at all:
-the share of its n-grams that at least one in ``RARE`` learnable rows (and two of
+``accepted`` keeps the texts that the prediction identifies: the odds of the
+predicted language must be at least ``GAIN`` times those that the model gives it
+without any n-gram. A text in several languages is sure of none, so one that
+falls short is predicted again in parts of ``PART`` characters, without words
+that hold a digit, and stays if at least half of the n-grams stand in parts that
+are identified. Texts in languages never learned fall short both ways. With one
+language there are no odds and every text passes; the more languages there are,
+the lower a score can be.
+
+A check follows, whether a text is language of the learned kind at all: the
+share of its n-grams that at least one in ``RARE`` learnable rows (and two of
 them) has must reach ``FAMILIAR`` of what the sample's median text has. That
-doesn't depend on how many languages there are, and texts in several known
-languages stay.
+doesn't depend on how many languages there are.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0;
 rows with null language are never learned from; with no learnable row every
@@ -32,6 +40,7 @@ read, and filtering keeps all columns as they are.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -55,8 +64,13 @@ PIECE = 1 << 20
 RARE = 1000
 #: Least share of not rare n-grams in an accepted text, against the median text's.
 FAMILIAR = 0.75
+#: Least rise of the predicted language's odds in an identified text, over a text that says nothing.
+GAIN = 3.0
+#: Characters of the parts that doubtful texts are predicted in.
+PART = 64
 UNKNOWN = "und"
 
+_DIGIT = re.compile(r"\d")
 _table: np.ndarray | None = None
 
 
@@ -115,12 +129,32 @@ class Model:
         """Share of a text's n-grams that aren't rare."""
         return float(counts[self.idf[bins] <= self.common].sum() / max(1, counts.sum()))
 
+    def identified(self, bins: np.ndarray, counts: np.ndarray) -> bool:
+        """Whether n-grams raise the odds of the language predicted from them ``GAIN`` times."""
+        p, before = self.probabilities(bins, counts), self.probabilities(bins[:0], counts[:0])
+        k = int(p.argmax())
+        return bool(p[k] * (1 - before[k]) >= GAIN * before[k] * (1 - p[k]))
+
+    def identified_in_parts(self, text: str) -> bool:
+        """Whether at least half of the n-grams of words without digits stand in identified parts."""
+        known = total = 0
+        for at in range(0, len(text), PIECE):
+            line = " ".join(w for w in text[at : at + PIECE].split() if not _DIGIT.search(w))
+            for start in range(0, len(line), PART):
+                bins, counts = ngram_counts(line[start : start + PART])
+                n = int(counts.sum())
+                total += n
+                known += n if n and self.identified(bins, counts) else 0
+        return total > 0 and 2 * known >= total
+
     def accepts(self, text: str | None) -> bool:
-        """Whether a text is in a learned language, as far as its n-grams tell."""
+        """Whether a text is identified as one or several learned languages and looks like them."""
         if not text or not self.langs:
             return False
         bins, counts = ngram_counts(text)
-        return bool(len(bins)) and self.known_share(bins, counts) >= self.familiar
+        if not len(bins) or self.known_share(bins, counts) < self.familiar:
+            return False
+        return self.identified(bins, counts) or self.identified_in_parts(text)
 
     def vector(self, bins: np.ndarray, counts: np.ndarray) -> np.ndarray:
         v = ((1 + np.log(counts)) * self.idf[bins]).astype(np.float32)
@@ -284,7 +318,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text isn't in a learned language; columns unchanged."""
+    """``docs`` without the rows whose text the model doesn't identify as learned languages; columns unchanged."""
     ship_package(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import math
 import re
+from dataclasses import replace
 
 import pytest
 import regex
@@ -85,6 +87,59 @@ def test_stages_against_brute_force(spark, real):
     assert {r["doc_id"]: codec.decode(r["pieces"]) for r in found} == texts and all(r["lossless"] for r in found)
 
 
+#: Texts in languages that the tables don't have.
+FOREIGN = [
+    "La casa è grande e il giardino è pieno di fiori, ma la strada che porta alla città è lunga e stretta. Gli uomini della nave hanno visto una luce nella notte.",
+    "Het huis is groot en de tuin staat vol bloemen, maar de weg die naar de stad leidt is lang en smal. De mannen van het schip hebben in de nacht een licht gezien.",
+    "Talo on suuri ja puutarha on täynnä kukkia, mutta kaupunkiin johtava tie on pitkä ja kapea. Laivan miehet näkivät yöllä valon ja palasivat satamaan.",
+    "A casa é grande e o jardim está cheio de flores, mas a estrada que leva à cidade é longa e estreita. Os homens do navio viram uma luz durante a noite.",
+]
+
+
+def plain_identified(model, text):
+    """Whether n-grams raise the predicted language's odds three times, in plain Python."""
+
+    def softmax(x):
+        e = [math.exp((v - max(x)) / model.temperature) for v in x]
+        return [v / sum(e) for v in e]
+
+    value = {f: (1 + math.log(n)) * float(model.idf[f]) for f, n in grams(text).items()}
+    length = math.sqrt(sum(v * v for v in value.values()))
+    bias = [float(b) for b in model.bias]
+    p = softmax([b + sum(v / length * float(model.weights[f][k]) for f, v in value.items()) for k, b in enumerate(bias)])
+    k, before = p.index(max(p)), softmax(bias)
+    return p[k] / (1 - p[k]) >= 3 * before[k] / (1 - before[k])
+
+
+def plain_in_parts(model, text):
+    line = " ".join(w for w in text.split() if not any(c.isdigit() for c in w))
+    parts = [line[k : k + 64] for k in range(0, len(line), 64)]
+    sizes = [(sum(grams(x).values()), x) for x in parts]
+    return 2 * sum(n for n, x in sizes if n and plain_identified(model, x)) >= sum(n for n, _ in sizes) > 0
+
+
+def test_the_language_stage_predicts_languages(spark, real):
+    """Texts in languages never learned go, though their n-grams are common; texts in several learned ones stay."""
+    some = {r["lang"]: r["text"][:300] for r in real.filter("length(text) > 300").collect()}
+    assert len(some) == 4
+    hashed = "Straße und Haus, token = " + "6cfd1f1f244d4c4c327ecfd8fd9898497c475388 " * 3
+    odd = dict(enumerate([" ".join(some.values()), hashed, *FOREIGN], 1))
+    docs = real.unionByName(spark.createDataFrame([(-k, t, None, "x", len(t)) for k, t in odd.items()], real.schema))
+    model = langid.fit(langid.learnable(docs))
+    assert all(plain_accepts(model, t) for t in FOREIGN)  # by common n-grams alone they would stay
+    assert not plain_identified(model, odd[1]) and plain_in_parts(model, odd[1])
+    kept = {r["doc_id"] for r in C.language_id(spark, docs, SF).collect()}
+    assert -1 in kept and not kept & set(range(-len(odd), -2))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect() if grams(r["text"] or "")}
+    assert kept == {i for i, t in texts.items() if plain_accepts(model, t) and (plain_identified(model, t) or plain_in_parts(model, t))}
+
+
+def test_without_weights_no_language_is_identified(real):
+    model = langid.fit(langid.learnable(real))
+    assert langid.accepted(real, model).count() > 0.95 * real.count()
+    assert langid.accepted(real, replace(model, weights=0 * model.weights)).isEmpty()
+
+
 def test_a_run_leaves_only_its_result(spark):
     from motifgrid import storage
 
