@@ -43,10 +43,17 @@ def numbered(placed: DataFrame) -> DataFrame:
     return placed.withColumn("__part", part).join(F.broadcast(first), "__part").withColumn("pos", F.col("__first") + inside).drop("__part", "__first", "__at")
 
 
-def with_positions(rows: DataFrame, key: str, value: str | Column, check: bool = True, ranges: int | None = None) -> DataFrame:
-    """``pos, value`` in the order of ``key``, which must be unique; a null key counts as a value and comes first."""
+def with_positions(rows: DataFrame, key: str, value: str | Column, check: bool = True, ranges: int | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
+    """``pos, value`` in the order of ``key``, which must be unique; a null key counts as a value and comes first.
+
+    A key that may repeat takes ``ties``: columns that order rows with equal keys.
+    Rows equal in these too stand in the order of their values, so the result is
+    always the same.
+    """
     value = F.col(value) if isinstance(value, str) else value
-    keyed = rows.select(F.col(key).alias("k"), value.alias("value"))
+    keyed = rows.select(F.col(key).alias("k"), *[F.col(c).alias(f"t{at}") for at, c in enumerate(ties)], value.alias("value"))
+    if ties:
+        return ranked(keyed, *keyed.columns, ranges=ranges).select("pos", "value")
     if check and not keyed.groupBy("k").count().filter("count > 1").isEmpty():
         raise ValueError(f"{key} repeats, so it doesn't order the rows; give a key with a tie-breaker")
     return ranked(keyed, "k", ranges=ranges).select("pos", "value")

@@ -125,8 +125,8 @@ def score_forms(spark, d):
 
 
 def timestamp_positions(spark, d):
-    """Positions in the order of the events' time."""
-    return to_fixed(with_positions(table(spark, d, "events"), "ts", "value"), 100)
+    """Positions in the order of the events' time; events of the same time stand in the order of their ids."""
+    return to_fixed(with_positions(table(spark, d, "events"), "ts", "value", ties=("event_id",)), 100)
 
 
 # --- profiles -----------------------------------------------------------------------------

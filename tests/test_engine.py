@@ -204,6 +204,26 @@ def test_positions(spark):
         series.with_positions(rows.union(rows), "k", "v")
 
 
+def test_positions_of_a_key_that_repeats(spark):
+    """Equal times are no error where a tie-breaker is named; rows equal in all stand in the order of their values."""
+    rows = [(5, 2, 1.0), (3, 9, 2.0), (5, 1, 3.0), (3, 9, 1.0), (None, 4, 7.0)]
+    df = spark.createDataFrame(rows, "ts bigint, id bigint, value double")
+    with pytest.raises(ValueError):
+        series.with_positions(df, "ts", "value")
+    assert sorted(map(tuple, series.with_positions(df, "ts", "value", ties=("id",)).collect())) == [(0, 7.0), (1, 1.0), (2, 2.0), (3, 3.0), (4, 1.0)]
+
+
+def test_repeated_events_keep_their_timestamp_positions(spark, duck, tmp_path):
+    """A table that holds every event twice, under another id."""
+    from motifgrid import queries
+
+    once = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    once.unionByName(once.withColumn("event_id", F.col("event_id") + 10_000)).write.parquet(f"{tmp_path}/events.parquet")
+    found = sorted(map(tuple, queries.timestamp_positions(spark, str(tmp_path)).collect()))
+    sql = queries.ORACLE_SQL["timestamp_positions"].replace("FROM events", f"FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert len(found) == 2000 and found == sorted(duck.execute(sql).fetchall())
+
+
 @pytest.mark.parametrize("block", [10, 16, 1000])
 def test_window_sums_by_blocks(spark, block):
     x = np.random.default_rng(6).integers(-50, 50, 100)
