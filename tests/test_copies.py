@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from motifgrid.plans import copies, strategies
+from motifgrid.plans import copies, sampled, strategies
 from tests.test_engine import got, make, same
 
 
@@ -101,3 +101,29 @@ def test_long_repeated_series_needs_no_search(spark):
     found, rest = strategies.copied(df, 16, 4, strategies.TILE)
     assert rest == [] and found.count() == 400_000 - 15
     assert found.filter("nn <> if(pos < 1000, pos + 1000, pos % 1000)").count() == 0
+
+
+@pytest.mark.parametrize("step, period", [(4, 128), (5, 131)])
+def test_sampled_pass_of_copies(spark, monkeypatch, step, period):
+    """Classes' first members stand for all: the same rows as without looking for copies, with something new in one copy."""
+    rng = np.random.default_rng(7)
+    a = np.cumsum(rng.integers(-20, 21, period)).tolist()  # neighbouring windows are much alike
+    x = a * 8 + [1, 5, 2, 8] + a[:60] + [9, 9, 9, 9, 9, 9, 9, 9, 9] + a * 13
+    s, m, size = make(spark, x), 8, 16
+    plain = [got(f) for f in _sampled(s, m, step, size)]
+    monkeypatch.setattr(strategies, "COPIES_FROM", 0)
+    members, left = sampled.condensed(s, m, step, 2, size)
+    assert members.count() == len(x) - m + 1 and 2 * len(left) * size < len(x)
+    for f, before in zip(_sampled(s, m, step, size), plain):
+        same(got(f), before)
+
+
+def _sampled(s, m, step, size):
+    rows = sampled.sampled_rows(s, m, step, strategy="shuffle", size=size).selectExpr("i AS pos", "r AS dist", "nn")
+    return rows, sampled.sampled_profile(s, m, step, strategy="shuffle", size=size)
+
+
+def test_refined_profile_has_the_exact_ones_pairs_only(spark):
+    """Smooth values, whose nearest windows are the nearest in time: the sampled pass alone admits pairs at the band's distance."""
+    x = [round(100 * np.sin(k / 9) + 40 * np.sin(k / 31 + 1)) for k in range(150)]
+    same(got(sampled.refined_profile(make(spark, x), 8, 3)), truth(x, 8, 2))
