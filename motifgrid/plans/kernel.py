@@ -184,6 +184,42 @@ def pairwise(q: np.ndarray, m: int, s_i, d_i, s_j, d_j) -> np.ndarray:
     return r
 
 
+def on_diagonal(a: np.ndarray, diag: int, rows: int, m: int, whole: bool) -> np.ndarray:
+    """Correlations of the first ``rows`` windows of ``a`` with those ``diag`` later; minus infinity with an incomplete window.
+
+    ``whole``: whole values whose windows' sums fit 64 bits (running sums may wrap).
+    """
+    x, y = a[: rows + m - 1], a[diag : diag + rows + m - 1]
+    if not whole:
+        (s_i, d_i), (s_j, d_j) = centred_stats(x, m), centred_stats(y, m)
+        r = np.empty(rows)
+        for at in range(0, rows, 4096):  # so that windows are copied a few at a time
+            part = slice(at, min(at + 4096, rows))
+            ends = slice(at, part.stop + m - 1)
+            r[part] = np.einsum("ij,ij->i", normalised(x[ends], m, s_i[part], d_i[part]), normalised(y[ends], m, s_j[part], d_j[part]))
+        r[(d_i == 0) & (d_j == 0)] = 1.0
+        r[np.isnan(d_i) | np.isnan(d_j)] = -np.inf
+        return r
+    (u, s_i, d_i), (v, s_j, d_j) = (whole_stats(z, m) for z in (x, y))
+    cov = (m * sliding(u * v, m) - s_i * s_j).astype(float)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = cov / (d_i * d_j)
+    flat_i, flat_j = d_i == 0, d_j == 0
+    r[flat_i | flat_j] = 0.0
+    r[flat_i & flat_j] = 1.0
+    r[np.isnan(d_i) | np.isnan(d_j)] = -np.inf
+    return r
+
+
+def whole_stats(a: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whole values (0 where missing), and sum (an integer) and deviation of their windows (NaN where incomplete)."""
+    bad = np.isnan(a)
+    x = np.where(bad, 0.0, a).astype(np.int64)
+    s = sliding(x, m)
+    sd = np.sqrt((m * sliding(x * x, m) - s * s).astype(float))
+    return x, s, np.where(sliding(bad.astype(np.int64), m) > 0, np.nan, sd)
+
+
 class Best:
     """Best correlation and least neighbour of a run of positions."""
 

@@ -39,7 +39,7 @@ from motifgrid.sources.generate import draw
 from motifgrid.storage import ship_package
 
 from . import copies
-from .kernel import Best, cells, exact_bound, tile
+from .kernel import Best, cells, exact_bound, on_diagonal, tile
 
 #: Longest series (8 bytes a value) that is sent whole to every executor.
 BROADCAST_VALUES = 10_000_000
@@ -167,6 +167,37 @@ def two_pass_stats(values: DataFrame, m: int) -> DataFrame:
     return held.select("pos", "s0", F.when(F.array_max("x") == F.array_min("x"), 0.0).otherwise(F.sqrt(m * square)).alias("sd"))
 
 
+def diagonal_cells(series: DataFrame, m: int, first: int, last: int, size: int = 1 << 14) -> DataFrame:
+    """``i, j, r`` of all pairs on a few diagonals of a series of any length: ``cells_sql`` for lags ``first`` to ``last``.
+
+    Blocks take the ``last`` windows after them along, so every cell is made where
+    its block is: the values are shuffled once, whatever the number of diagonals,
+    and no row of a cell is. Sums of whole values are 64-bit integers wherever
+    windows' sums fit, general doubles take two passes over each window.
+    """
+    p = checked_length(series, m) - m + 1
+    if first < 1 or last < first:
+        raise ValueError("diagonals are numbered from 1, and the last is not before the first")
+    ship_package(series.sparkSession)
+    values, _ = centred(series, m)
+    top, size = centre(series)[1], max(size, last)  # the halo is no longer than the block
+    whole = top is not None and m * m * top * top < 2**62 and top < 2**53
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, b in enumerate(batch.column(0).to_pylist()):
+                a = batch.column(1)[k].values.to_numpy(zero_copy_only=False)
+                for diag in range(first, last + 1):
+                    rows = min(size, p - b * size - diag)
+                    if rows > 0:
+                        r = on_diagonal(a, diag, rows, m, whole)
+                        ok = np.flatnonzero(np.isfinite(r))
+                        i = ok + b * size
+                        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(i + diag), pa.array(r[ok])], names=["i", "j", "r"])
+
+    return blocks(values, m + last, size, (p - 1) // size).mapInArrow(run, "i bigint, j bigint, r double")
+
+
 # --- broadcast ----------------------------------------------------------------------------
 
 

@@ -100,7 +100,7 @@ def similarity_search(spark, d):
 def dot_from_distance(spark, d):
     """Dot products of a diagonal got back from its distances and the window statistics."""
     e = events_series(spark, d)
-    cells = strategies.cells_sql(e, M, M // 4, LAG, LAG).select("i", "j", profiles.correlation_to_dist2(F.col("r"), M).alias("d2"))
+    cells = strategies.diagonal_cells(e, M, LAG, LAG).select("i", "j", profiles.correlation_to_dist2(F.col("r"), M).alias("d2"))
     st = series.mean_std(e, M, 100)
     a, b = (st.select(F.col("pos").alias(k), F.col("mean").alias(f"m_{k}"), F.col("sd").alias(f"s_{k}")) for k in ("i", "j"))
     back = dot_from_dist2(F.col("d2"), F.col("m_i"), F.col("s_i"), F.col("m_j"), F.col("s_j"), M)
@@ -109,7 +109,7 @@ def dot_from_distance(spark, d):
 
 def diagonal_distances(spark, d):
     """Cells of ten diagonals, as squared distances."""
-    cells = strategies.cells_sql(events_series(spark, d), M, M // 4, LAG, LAG + 9)
+    cells = strategies.diagonal_cells(events_series(spark, d), M, LAG, LAG + 9)
     return rounded(cells.select("i", "j", profiles.correlation_to_dist2(F.col("r"), M).alias("dist2")), "dist2")
 
 

@@ -116,6 +116,30 @@ def test_tile_borders(spark, n):
         same(got(strategies.matrix_profile(make(spark, values), 8, "broadcast", tile_size=size)), whole)
 
 
+@pytest.mark.parametrize("size", [16, 50, 1 << 14])
+def test_diagonals_by_blocks_equal_the_joins(spark, size):
+    """Nulls, constant stretches, values beyond the exact bound, and more diagonals than a block has rows."""
+    rng = np.random.default_rng(12)
+    x = [int(v) for v in rng.integers(0, 900, 120)]
+    x[30], x[60:75] = None, [5] * 15
+    for values, kind, tolerance in ((x, "c", 0.0), ([None if v is None else v * 10**5 + 1 for v in x], "c", 0.0), ([None if v is None else v / 7 for v in x], "value", 1e-9)):
+        s = make(spark, values, kind)
+        first, last = (3, 5) if size > 50 else (17, 40)
+        rows = [{(r["i"], r["j"]): (r["r"], 0) for r in f.collect()} for f in (strategies.diagonal_cells(s, 6, first, last, size), strategies.cells_sql(s, 6, 1, first, last))]
+        same(*rows, tolerance)
+    assert strategies.diagonal_cells(s, 6, 400, 410, size).count() == 0
+
+
+def test_diagonals_shuffle_values_only(spark):
+    """No row of a cell is shuffled: blocks are made once, and cells where the blocks are."""
+    from motifgrid import queries
+    from tests.conftest import SF
+
+    plan = queries.diagonal_distances(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "MapInArrow" in plan
+    assert plan.index("MapInArrow") < plan.index("Exchange")  # plans are printed from the last step
+
+
 @pytest.mark.parametrize("long", [4, 512])
 def test_general_doubles_in_both_forms(long, monkeypatch):
     monkeypatch.setattr(kernel, "LONG_WINDOW", long)
